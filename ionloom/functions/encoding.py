@@ -74,8 +74,13 @@ def charge_one_hot(charge: Column | str) -> Column:
 
 
 def category_one_hot(value: Column | str, categories: Column) -> Column:
-    """One position per entry of the sorted category array."""
-    return F.transform(categories, lambda c: (c == col(value)).cast("float"))
+    """One position per entry of the sorted category array; all 0 for an unknown value."""
+    place = F.array_position(categories, col(value)).cast("int")
+    width = F.size(categories)
+    zero, one = F.lit(0.0).cast("float"), F.array(F.lit(1.0).cast("float"))
+    return F.when(place > 0, F.concat(F.array_repeat(zero, place - 1), one, F.array_repeat(zero, width - place))).otherwise(
+        F.array_repeat(zero, width)
+    )
 
 
 def pad_ions(rows: Column | str, size: int = K.MAX_IONS) -> Column:

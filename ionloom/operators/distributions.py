@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ionloom import constants as K
 from ionloom.operators.frames import attach
@@ -60,7 +61,7 @@ def quantile(distribution: str, mu: Column, scale: Column, q: float) -> Column:
     return mu + scale * F.lit(factor)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return 0.5 * (1 + z.map(lambda v: math.erf(v / math.sqrt(2)) if v == v else np.nan))
 

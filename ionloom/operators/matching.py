@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ionloom import constants as K
 from ionloom.functions import masses as S
@@ -107,7 +108,7 @@ def match_arrays(wanted: Column, mzs: Column, intensities: Column, resolution: s
     if resolution not in K.MASS_TOLERANCES:
         raise ValueError(f"resolution must be one of {sorted(K.MASS_TOLERANCES)}")
 
-    @pandas_udf("array<double>")
+    @pandas_udf(ArrayType(DoubleType()))
     def matched(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for w, m, i in parts:
             yield pd.Series(
@@ -120,7 +121,8 @@ def match_arrays(wanted: Column, mzs: Column, intensities: Column, resolution: s
                 dtype="object",
             )
 
-    return matched(wanted, mzs, intensities)
+    # keeps the optimiser from copying the call into every expression that reads it
+    return matched.asNondeterministic()(wanted, mzs, intensities)
 
 
 def normalise_matches(matches: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def score_retention_time(
         batch_size=batch_size,
         input_tensor_shapes=[[K.MAX_CODED_LEN]],
     )
-    return score(col(codes))
+    return score.asNondeterministic()(col(codes))  # evaluated once, never copied
 
 
 def score_fragments(
@@ -54,7 +54,7 @@ def score_fragments(
         batch_size=batch_size,
         input_tensor_shapes=shapes,
     )
-    return score(*inputs)
+    return score.asNondeterministic()(*inputs)  # evaluated once, never copied
 
 
 def as_ion_rows(flat: Column | str) -> Column:
@@ -111,7 +111,7 @@ def fit_retention(
         array_to_vector(symbol_counts(coded)).alias("features"),
         F.col(target).cast("double").alias("label"),
     )
-    fitted = LinearRegression(loss=loss, regParam=reg, maxIter=100).fit(features)
+    fitted = LinearRegression(loss=loss, regParam=reg, maxIter=1000, tol=1e-12).fit(features)
     return RetentionModel(float(fitted.intercept), (0.0, *map(float, fitted.coefficients)))
 
 

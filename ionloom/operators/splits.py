@@ -87,7 +87,7 @@ def exact_split(
         .agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn(
             "_chunk",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_copies") - 1) / COPIES_PER_TASK)),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPIES_PER_TASK))),
         )
         .repartition("_chunk")
         .withColumn("_start", F.col("_chunk") * COPIES_PER_TASK)

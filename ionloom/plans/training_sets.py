@@ -113,20 +113,16 @@ def samples_from_tables(
         F.map_from_entries(F.collect_list(F.struct(cell.alias("cell"), F.col("intensity")))).alias("_cells"),
     )
     n_ions = F.length("PeptideSeq") - 1
-    rows = F.array(
-        *[
-            F.transform(
-                F.sequence(F.lit(1), F.lit(K.MAX_IONS)),
-                lambda i, c=c: F.when(i > n_ions, F.lit(-1.0))
-                .otherwise(
-                    F.coalesce(F.try_element_at("_cells", F.lit(c * K.MAX_IONS) + i), F.lit(0.0))
-                    / (F.col("_top") + F.lit(K.EPSILON))
-                )
-                .cast("float"),
-            )
-            for c in range(K.N_CHANNELS)
-        ]
-    )
+
+    def channel_row(c: int) -> Column:
+        def value(i: Column) -> Column:
+            found = F.coalesce(F.try_element_at("_cells", F.lit(c * K.MAX_IONS) + i), F.lit(0.0))
+            norm = found / (F.col("_top") + F.lit(K.EPSILON))
+            return F.when(i > n_ions, F.lit(-1.0)).otherwise(norm).cast("float")
+
+        return F.transform(F.sequence(F.lit(1), F.lit(K.MAX_IONS)), value)
+
+    rows = F.array(*[channel_row(c) for c in range(K.N_CHANNELS)])
     samples = (
         coded.join(gathered, key)
         .where(F.col("_top") > 0)

@@ -9,9 +9,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    StructField,
+    StructType,
+)
 
 MZ_DTYPE, INTENSITY_DTYPE = ">f8", ">f4"  # big-endian
-PACKED = "MassEncodedLength int, MassArray binary, IntensityEncodedLength int, IntensityArray binary"
+PACKED = StructType(
+    [
+        StructField("MassEncodedLength", IntegerType()),
+        StructField("MassArray", BinaryType()),
+        StructField("IntensityEncodedLength", IntegerType()),
+        StructField("IntensityArray", BinaryType()),
+    ]
+)
+UNPACKED = StructType(
+    [
+        StructField("mzs", ArrayType(DoubleType())),
+        StructField("intensities", ArrayType(FloatType())),
+    ]
+)
 
 
 def _pack(values, dtype: str) -> bytes:
@@ -33,7 +55,7 @@ def _pack_arrays(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
 
 def pack_peaks(peaks: Column) -> Column:
     """struct of the four blob columns."""
-    return _pack_arrays(
+    return _pack_arrays.asNondeterministic()(
         F.transform(peaks, lambda p: p["mz"]), F.transform(peaks, lambda p: p["intensity"])
     )
 
@@ -47,7 +69,7 @@ def _unpack(blobs: pd.Series, lengths: pd.Series, dtype: str, out: str) -> list:
     ]
 
 
-@pandas_udf("mzs array<double>, intensities array<float>")
+@pandas_udf(UNPACKED)
 def _unpack_arrays(
     parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],
 ) -> Iterator[pd.DataFrame]:
@@ -62,7 +84,7 @@ def _unpack_arrays(
 
 def unpack_arrays() -> Column:
     """struct(mzs, intensities) of the four blob columns of an entries table."""
-    return _unpack_arrays(
+    return _unpack_arrays.asNondeterministic()(
         "MassEncodedLength", "MassArray", "IntensityEncodedLength", "IntensityArray"
     )
 

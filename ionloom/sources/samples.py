@@ -34,7 +34,7 @@ def dataset_from_name(df: DataFrame, file_name: str = "file_name") -> DataFrame:
 def read_named_samples(spark: SparkSession, path: str) -> DataFrame:
     """A flat folder of Parquet files (or folders) that carry their keys in the name."""
     files = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    inside = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/?[^/]*$", 1)
+    inside = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]*$", 1)
     own = F.col("_metadata.file_name")
     named = files.withColumn("file_name", F.when(F.size(F.split(own, "_")) >= 4, own).otherwise(inside))
     return dataset_from_name(named).drop("file_name")

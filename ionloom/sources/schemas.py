@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DoubleType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+TYPES = {
+    "string": StringType(),
+    "double": DoubleType(),
+    "int": IntegerType(),
+    "boolean": BooleanType(),
+    "binary": BinaryType(),
+}
 
 METADATA = "Key string, Value string"
 ENTRIES = (
@@ -26,8 +42,10 @@ SAMPLES = (
 )
 
 
-def struct(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def struct(columns: str) -> StructType:
+    """Schema of plain columns; worked out without a session, so tasks can use it too."""
+    pairs = (column.split() for column in columns.split(","))
+    return StructType([StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 def table_schema(table: str) -> StructType:

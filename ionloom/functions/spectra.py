@@ -24,27 +24,25 @@ def zip_peaks(mz_rows: Column | str, intensity_rows: Column | str) -> Column:
     )
 
 
-def base_peak_normalise(rows: Column | str) -> Column:
-    """Clamp at 0 and divide by the largest value of the matrix; all 0 without one."""
-
-    def scaled(clamped: Column) -> Column:
-        top = F.array_max(F.flatten(clamped))
-        return F.transform(
-            clamped,
-            lambda r: F.transform(r, lambda v: F.when(top > 0, v / top).otherwise(F.lit(0.0)).cast("float")),
-        )
-
-    clamped = F.transform(
-        col(rows), lambda r: F.transform(r, lambda v: F.greatest(v, F.lit(0.0).cast("float")))
+def base_peak_normalise(values: Column | str) -> Column:
+    """Clamp a flat prediction at 0 and divide by its largest value; all 0 without one."""
+    zero = F.lit(0.0).cast("float")
+    clamped = F.transform(col(values), lambda v: F.greatest(v, zero))
+    # the maximum is bound once, not looked for again at every cell
+    return let(
+        F.struct(clamped.alias("v"), F.array_max(clamped).alias("top")),
+        lambda s: F.when(
+            s["top"] > 0, F.transform(s["v"], lambda v: (v / s["top"]).cast("float"))
+        ).otherwise(s["v"]),
     )
-    return let(clamped, scaled)
 
 
 def matched_normalise(intensities: Column | str) -> Column:
     """Matched intensities over (their maximum + epsilon)."""
     values = col(intensities)
-    top = F.array_max(values) + F.lit(K.EPSILON)
-    return F.transform(values, lambda v: v / top)
+    return let(
+        F.array_max(values) + F.lit(K.EPSILON), lambda top: F.transform(values, lambda v: v / top)
+    )
 
 
 def count_strong_ions(rows: Column | str, threshold: float = 0.01) -> Column:

@@ -51,6 +51,15 @@ def attach(
     return df.join(table, list(keys), "left")
 
 
+def keep_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column and drop the rows in which it is NULL.
+
+    A filter on a computed column is pushed below its projection, which computes
+    it twice. A generator is not, so an expensive value is computed once.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def union_frames(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Concatenation by column name; a missing column becomes NULL."""
     out = first

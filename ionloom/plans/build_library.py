@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionloom import constants as K
-from ionloom.functions import encoding as E, masses as S, spectra as P
-from ionloom.operators import digestion, models, modification
-from ionloom.operators.frames import new_rows
+from ionloom.functions import encoding as E, masses as S
+from ionloom.operators import assembly, digestion, modification
+from ionloom.operators.frames import keep_computed, new_rows
 from ionloom.sources import blobs, library
 from ionloom.sources.schemas import METADATA
 
@@ -52,57 +52,54 @@ def score_entries(
     charges: Sequence[int] = (2, 3),
     nce: float | Sequence[float] = 30.0,
     beam: bool = True,
-    batch_size: int = models.BATCH_SIZE,
+    batch_size: int = assembly.BATCH_SIZE,
     source: str = "ionloom",
 ) -> DataFrame:
-    """Library entries with ``peaks`` arrays, from unique peptides.
+    """Library entries with a ``spectrum`` struct, from unique peptides.
 
-    Everything that does not depend on the charge (coding, mass, ladder,
-    retention time) is computed before the charges are expanded. A peptide with
-    a modification that has no code cannot be scored and is left out.
+    What does not depend on the charge (coding, mass, retention time) is computed
+    before the charges are expanded. A peptide with a modification that has no
+    code cannot be scored and is left out.
     """
     modified = modification.apply_mods(
         peptides, DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
     )
-    coded = modified.withColumn("_coded", E.coded_sequence("PeptideModSeq")).where(
-        F.col("_coded").isNotNull()
-    )
+    coded = keep_computed(modified, "_coded", E.coded_sequence("PeptideModSeq"))
     scored = coded.select(
         "PeptideSeq",
         "PeptideModSeq",
-        E.integer_codes("_coded").alias("_codes"),
+        "_coded",
         S.peptide_mass("PeptideModSeq").alias("_mass"),
-        S.ladder_nano("PeptideModSeq").alias("_ladder"),
-    ).withColumn("RTInSeconds", models.score_retention_time(retention_model, "_codes", batch_size))
-    charged = modification.expand_charges(scored, charges, nce).withColumn(
-        "_intensity",
-        models.score_fragments(
-            fragment_model,
-            "_codes",
-            E.charge_one_hot("PrecursorCharge"),
-            "nce" if beam else None,
-            batch_size,
-        ),
+        assembly.score_coded(retention_model, "_coded", batch_size).alias("RTInSeconds"),
+    )
+    charged = modification.expand_charges(scored, charges, nce)
+    spectrum = assembly.predicted_spectrum(
+        fragment_model,
+        "_coded",
+        "PeptideModSeq",
+        "PrecursorCharge",
+        "nce" if beam else None,
+        batch_size=batch_size,
     )
-    rows = E.trim_ions(P.base_peak_normalise(models.as_ion_rows("_intensity")), "PeptideSeq")
-    mz_rows = S.ladder_matrix("_ladder", "PrecursorCharge", 2)
     return charged.select(
         S.precursor_mz("_mass", "PrecursorCharge").alias("PrecursorMz"),
         "PrecursorCharge",
         "PeptideModSeq",
         "PeptideSeq",
         "RTInSeconds",
-        P.drop_low_peaks(P.zip_peaks(mz_rows, rows)).alias("peaks"),
+        spectrum.alias("spectrum"),
         F.lit(source).alias("SourceFile"),
     )
 
 
 def pack_entries(entries: DataFrame) -> DataFrame:
-    """Replace ``peaks`` by the four blob columns."""
-    packed = entries.withColumn("_blob", blobs.pack_peaks(F.col("peaks")))
+    """Replace ``spectrum`` by the four blob columns."""
+    packed = entries.withColumn(
+        "_blob", blobs.pack_arrays(F.col("spectrum.mzs"), F.col("spectrum.intensities"))
+    )
     names = ("MassEncodedLength", "MassArray", "IntensityEncodedLength", "IntensityArray")
     return packed.select(
-        *[c for c in entries.columns if c != "peaks"], *[F.col("_blob")[n].alias(n) for n in names]
+        *[c for c in entries.columns if c != "spectrum"], *[F.col("_blob")[n].alias(n) for n in names]
     )
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ionloom import constants as K
 from ionloom.functions import masses as S, mods as M, peptides as P
+from ionloom.functions.expr import let
 from ionloom.operators import digestion, modification
-from ionloom.operators.frames import union_frames
+from ionloom.operators.frames import keep_computed, union_frames
 from ionloom.plans.build_library import precursors
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.registry import query
@@ -16,6 +17,11 @@ from ionloom.plans.catalog.tables import CAM, OXIDATION, Tables
 ORACLE_RULES = ["trypsin", "lysc", "arg-c", "glutamyl endopeptidase", "asp-n", "chymotrypsin high specificity", "cnbr"]
 
 
+def some(array):
+    """NULL for an empty array."""
+    return let(array, lambda a: F.when(F.size(a) > 0, a))
+
+
 def micro(x):
     return F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("bigint")
 
@@ -63,8 +69,7 @@ def _rule_sql(rule: str) -> str:
 def digest_per_protease(t: Tables):
     proteins = t.proteins()
     counts = [
-        proteins.select("doc_id", P.digest("sequence", rule).alias("found"))
-        .where(F.size("found") > 0)
+        keep_computed(proteins.select("doc_id", "sequence"), "found", some(P.digest("sequence", rule)))
         .select(
             F.lit(rule).alias("protease"),
             "doc_id",
@@ -90,8 +95,8 @@ runs AS (
 md5(string_agg(DISTINCT p, ',' ORDER BY p)) AS peptides FROM runs WHERE {Q.VALID} GROUP BY doc_id""",
 )
 def digest_two_missed_cleavages(t: Tables):
-    found = t.proteins().select("doc_id", P.digest("sequence", missed_cleavages=2).alias("found"))
-    return found.where(F.size("found") > 0).select(
+    found = keep_computed(t.proteins(), "found", some(P.digest("sequence", missed_cleavages=2)))
+    return found.select(
         "doc_id",
         F.size("found").cast("bigint").alias("n_peptides"),
         F.md5(F.array_join(F.array_sort("found"), ",")).alias("peptides"),
@@ -129,10 +134,8 @@ SELECT doc_id, count(*) AS n_runs, count(DISTINCT p) AS n_distinct FROM runs WHE
 )
 def distinct_peptides_per_protein(t: Tables):
     valid = lambda p: P.has_peptide_length(p) & P.is_canonical(p)
-    runs = t.proteins().withColumn("f", P.cleave("sequence")).select(
-        "doc_id", F.filter(P.join_adjacent(F.col("f"), 1), valid).alias("runs")
-    )
-    return runs.where(F.size("runs") > 0).select(
+    runs = let(P.cleave("sequence"), lambda f: F.filter(P.join_adjacent(f, 1), valid))
+    return keep_computed(t.proteins(), "runs", some(runs)).select(
         "doc_id",
         F.size("runs").cast("bigint").alias("n_runs"),
         F.size(F.array_distinct("runs")).cast("bigint").alias("n_distinct"),

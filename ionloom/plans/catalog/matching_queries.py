@@ -154,8 +154,7 @@ SELECT vec_id, count(*) AS n, CAST(sum(CASE WHEN top > 0 THEN
  {Q.micro("CAST(greatest(v, 0::FLOAT)::DOUBLE / top::DOUBLE AS FLOAT)::DOUBLE")} ELSE 0 END) AS BIGINT) AS total_micro FROM m GROUP BY vec_id""",
 )
 def base_peak_normalisation(t: Tables):
-    rows = F.array(*[F.slice("embedding", c * 16 + 1, 16) for c in range(4)])
-    flat = t.embeddings().select("vec_id", F.flatten(P.base_peak_normalise(rows)).alias("cells"))
+    flat = t.embeddings().select("vec_id", P.base_peak_normalise("embedding").alias("cells"))
     return flat.select(
         "vec_id",
         F.size("cells").cast("bigint").alias("n"),

@@ -83,7 +83,8 @@ def batched_fragment_scores(t: Tables):
     )
     charged = expand_charges(codes, [2, 3], 30.0).withColumn("charge_one_hot", E.charge_one_hot("PrecursorCharge"))
     flat = charged.withColumn("flat", models.score_fragments(plain_fragment_model))
-    rows = E.trim_ions(P.base_peak_normalise(models.as_ion_rows("flat")), "PeptideSeq")
+    flat = flat.withColumn("flat", P.base_peak_normalise("flat"))
+    rows = E.trim_ions(models.as_ion_rows("flat"), "PeptideSeq")
     cells = flat.select("PeptideModSeq", "PrecursorCharge", F.flatten(rows).alias("cells"))
     return cells.select(
         "PeptideModSeq",
@@ -121,10 +122,10 @@ def library_entries(t: Tables):
         "PrecursorCharge",
         F.round("PrecursorMz", 6).alias("PrecursorMz"),
         F.round("RTInSeconds", 6).alias("RTInSeconds"),
-        F.size("peaks").cast("bigint").alias("n_peaks"),
-        F.aggregate("peaks", F.lit(0).cast("bigint"), lambda a, p: a + micro(p["mz"])).alias("mz_micro"),
+        F.size("spectrum.mzs").cast("bigint").alias("n_peaks"),
+        F.aggregate("spectrum.mzs", F.lit(0).cast("bigint"), lambda a, m: a + micro(m)).alias("mz_micro"),
         F.aggregate(
-            "peaks", F.lit(0).cast("bigint"), lambda a, p: a + micro(p["intensity"].cast("double"))
+            "spectrum.intensities", F.lit(0).cast("bigint"), lambda a, v: a + micro(v.cast("double"))
         ).alias("intensity_micro"),
     )
 

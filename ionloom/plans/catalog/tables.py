@@ -13,8 +13,9 @@ from ionloom import constants as K
 from ionloom.functions.mods import write_fixed
 from ionloom.functions.peptides import digest, protein_from_text
 from ionloom.operators.digestion import peptides_to_proteins, unique_peptides
-from ionloom.operators.frames import spread
+from ionloom.operators.frames import attach, keep_computed, spread
 from ionloom.operators.modification import apply_mods
+from ionloom.session import materialise
 
 CAM = {"C": K.MOD_MASSES["CAM"]}
 OXIDATION = {"M": K.MOD_MASSES["Ox"]}
@@ -56,12 +57,9 @@ class Tables:
 
     def first_peptides(self) -> DataFrame:
         """The alphabetically first peptide of each document that has one."""
-        first = F.array_min(digest("sequence"))
-        return (
-            self.proteins()
-            .select("doc_id", "lang", "source", "n_chars", first.alias("PeptideSeq"))
-            .where(F.col("PeptideSeq").isNotNull())
-            .withColumn("PeptideModSeq", write_fixed("PeptideSeq", CAM))
+        found = keep_computed(self.proteins(), "PeptideSeq", F.array_min(digest("sequence")))
+        return found.select("doc_id", "lang", "source", "n_chars", "PeptideSeq").withColumn(
+            "PeptideModSeq", write_fixed("PeptideSeq", CAM)
         )
 
     def peaks(self) -> DataFrame:
@@ -77,7 +75,7 @@ class Tables:
         owners = self.table("supplier").select(F.col("s_suppkey").alias("spectrum_id"))
         peptides = self.first_peptides().withColumnRenamed("doc_id", "spectrum_id")
         key = F.col("spectrum_id")
-        return owners.join(peptides, "spectrum_id").select(
+        spectra = owners.join(peptides, "spectrum_id").select(
             "spectrum_id",
             "PeptideSeq",
             "PeptideModSeq",
@@ -87,6 +85,7 @@ class Tables:
             F.when(key % 2 == 0, F.lit("hcd")).otherwise(F.lit("cid")).alias("frag_type"),
             F.when(key % 2 == 0, F.lit(30.0)).otherwise(F.lit(35.0)).alias("nce"),
         )
+        return materialise(spectra)  # read several times, but digested once
 
     def retention(self) -> DataFrame:
         """Peptide, measured value, source and a rough prediction (the mean of the language)."""
@@ -98,8 +97,7 @@ class Tables:
             F.col("n_chars").cast("double").alias("HI"),
             F.col("source").alias("Source"),
         )
-        from ionloom.operators.frames import attach
-
+        rows = materialise(rows)  # read several times, but digested once
         return attach(rows, rows.groupBy("lang").agg(F.avg("HI").alias("pred")), ["lang"])
 
     def embeddings(self) -> DataFrame:
@@ -107,8 +105,6 @@ class Tables:
 
     def ion_vectors(self) -> DataFrame:
         """vec_id, true (values below -0.2 are incompatible ions) and pred (the label's mean)."""
-        from ionloom.operators.frames import attach
-
         vectors = self.embeddings().withColumn(
             "embedding", F.transform("embedding", lambda v: v.cast("double"))
         )

@@ -53,11 +53,14 @@ def _pack_arrays(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
         )
 
 
-def pack_peaks(peaks: Column) -> Column:
+def pack_arrays(mzs: Column, intensities: Column) -> Column:
     """struct of the four blob columns."""
-    return _pack_arrays.asNondeterministic()(
-        F.transform(peaks, lambda p: p["mz"]), F.transform(peaks, lambda p: p["intensity"])
-    )
+    return _pack_arrays.asNondeterministic()(mzs, intensities)
+
+
+def pack_peaks(peaks: Column) -> Column:
+    """The same for an array of (mz, intensity)."""
+    return pack_arrays(peaks["mz"], peaks["intensity"])
 
 
 def _unpack(blobs: pd.Series, lengths: pd.Series, dtype: str, out: str) -> list:

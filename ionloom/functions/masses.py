@@ -119,20 +119,17 @@ def ladder_nano(modseq: Column | str) -> Column:
 
 
 def phospho_ions(modseq: Column | str) -> Column:
-    """struct(b, y): whether the prefix / suffix of each ion holds a phosphosite."""
+    """struct(b, y): the first ordinal whose prefix / suffix holds a phosphosite, or NULL.
 
-    def masks(flags: Column) -> Column:
-        n = F.size(flags)
-        ordinals = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.struct(
-            F.transform(ordinals, lambda i: F.exists(F.slice(flags, F.lit(1), i), lambda f: f)).alias("b"),
-            F.transform(ordinals, lambda i: F.exists(F.slice(flags, n - i + 1, i), lambda f: f)).alias("y"),
-        )
+    Every longer ion of the series holds the site too.
+    """
+
+    def first_ordinals(flags: Column) -> Column:
+        first = lambda series: F.nullif(F.array_position(series, F.lit(True)), F.lit(0))
+        return F.struct(first(flags).alias("b"), first(F.reverse(flags)).alias("y"))
 
     residues = F.filter(residue_tokens(modseq), lambda t: ~F.startswith(t, F.lit("[")))
-    return let(F.transform(residues, _is_phospho), masks)
+    return let(F.transform(residues, _is_phospho), first_ordinals)
 
 
 def ladder_matrix(
@@ -147,7 +144,7 @@ def ladder_matrix(
     ``phospho_ions``) the two neutral-loss rows follow b and y of each charge.
     """
     if phospho is None:
-        phospho = F.lit(None).cast("struct<b:array<boolean>,y:array<boolean>>")
+        phospho = F.lit(None).cast("struct<b:bigint,y:bigint>")
         losses = ()
     else:
         losses = ("b", "y")
@@ -165,12 +162,12 @@ def ladder_matrix(
                     )
                 )
             for ion in losses:
+                start = F.coalesce(both["phospho"][ion], F.lit(K.MAX_PEPTIDE_LEN))
                 rows.append(
-                    F.zip_with(
+                    F.transform(
                         both["ladder"][ion],
-                        both["phospho"][ion],
-                        lambda m, lost: F.when(
-                            possible & lost, mz_from_nano(m - F.lit(K.PHOSPHO_NANO), z)
+                        lambda m, i: F.when(
+                            possible & (i + 1 >= start), mz_from_nano(m - F.lit(K.PHOSPHO_NANO), z)
                         ).otherwise(F.lit(0.0)),
                     )
                 )

@@ -36,7 +36,7 @@ def fragment_ions(
         )
         if keep is None:
             return out
-        return F.filter(out, lambda s: F.element_at(keep[name[0]], s["ordinal"]))
+        return F.filter(out, lambda s: s["ordinal"] >= keep[name[0]])
 
     def ions(ladder: Column) -> Column:
         parts = [rows(ladder, "b"), rows(ladder, "y")]

@@ -29,50 +29,50 @@ def match_ions(
     keys: Sequence[str],
     ion_keys: Sequence[str],
     resolution: str = "high",
+    salts: int = 1,
 ) -> DataFrame:
     """Add ``intensity`` to ions(keys, ion_keys, mz) from peaks(keys, peak_index, mz, intensity).
 
     Nearest peak, first index on ties, 0 when none lies within the (inclusive)
-    tolerance. The band join is an equi-join on (keys, m/z bin): ions are copied
-    to the one or two bins their tolerance touches, peaks are never copied.
-
-    Skew: copies of one m/z in a spectrum are combined before the shuffle to the
-    first of them, the only one that can win; the bins split a dense spectrum;
-    and the winner per ion is combined on the map side of the last shuffle. A
-    spectrum has a fixed small number of ions, so the joined rows stay linear in
-    the peaks.
+    tolerance. The band join is an equi-join on (keys, m/z bin) with the exact
+    test as its residual: ions are copied to the one or two bins their tolerance
+    touches, peaks are shuffled once and never copied.
+
+    Skew: the bins split a dense spectrum, and the join is an inner one so that
+    AQE may split a hot bin on the side of the peaks (an outer join would not
+    allow it); ``salts`` spreads every bin over that many tasks where AQE is off.
+    The best peak per task is kept before the last shuffle. A spectrum has at
+    most a few hundred ions, so the joined rows stay linear in the peaks. Ions
+    without a peak come back by a union with the ions themselves.
     """
-    reach = S.tolerance(F.col("mz"), resolution)
-    wanted = (
-        ions.withColumn("_tol", reach)
-        .withColumn(
-            "_bin",
-            F.explode(
-                F.when(
-                    F.col("mz") > 0,
-                    F.sequence(
-                        _bin(F.greatest(F.col("mz") - F.lit(EDGE) * F.col("_tol"), F.lit(1e-9)), resolution),
-                        _bin(F.col("mz") + F.lit(EDGE) * F.col("_tol"), resolution),
-                    ),
-                ).otherwise(F.array(F.lit(None).cast("int")))
-            ),
-        )
-    )
-    first = F.min(F.struct("peak_index", "intensity"))
-    observed = (
-        peaks.where(F.col("mz") > 0)
-        .groupBy(*keys, F.col("mz").alias("_peak_mz"))
-        .agg(first.alias("_peak"))
-        .withColumn("_bin", _bin(F.col("_peak_mz"), resolution))
+    wanted = ions.where(F.col("mz") > 0).withColumn("_tol", S.tolerance("mz", resolution))
+    lowest = _bin(F.greatest(F.col("mz") - F.lit(EDGE) * F.col("_tol"), F.lit(1e-9)), resolution)
+    highest = _bin(F.col("mz") + F.lit(EDGE) * F.col("_tol"), resolution)
+    wanted = wanted.withColumn("_bin", F.explode(F.sequence(lowest, highest)))
+    observed = peaks.where(F.col("mz") > 0).select(
+        *keys,
+        "peak_index",
+        "intensity",
+        F.col("mz").alias("_peak_mz"),
+        _bin(F.col("mz"), resolution).alias("_bin"),
     )
+    on = [*keys, "_bin"]
+    if salts > 1:
+        wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        observed = observed.withColumn("_salt", F.pmod(F.xxhash64("peak_index"), F.lit(salts)).cast("int"))
+        on.append("_salt")
     distance = F.abs(F.col("_peak_mz") - F.col("mz"))
-    order = F.when(distance <= F.col("_tol"), F.struct(distance.alias("d"), F.col("_peak")["peak_index"].alias("i")))
-    joined = wanted.join(observed, [*keys, "_bin"], "left")
-    best = joined.groupBy(*keys, *ion_keys, "mz").agg(
-        F.min_by(F.when(order.isNotNull(), F.col("_peak")["intensity"]), order).alias("_found")
-    )
+    order = F.struct(distance.alias("d"), F.col("peak_index").alias("i"), F.col("intensity").alias("v"))
+    inside = wanted.join(observed, on).where(distance <= F.col("_tol"))
+    found = inside.select(*keys, *ion_keys, "mz", order.alias("_found"))
+    nothing = F.lit(None).cast(found.schema["_found"].dataType)
+    every = ions.select(*keys, *ion_keys, "mz", nothing.alias("_found"))
+    best = found.unionByName(every).groupBy(*keys, *ion_keys, "mz").agg(F.min("_found").alias("_found"))
     return best.select(
-        *keys, *ion_keys, "mz", F.coalesce(F.col("_found").cast("double"), F.lit(0.0)).alias("intensity")
+        *keys,
+        *ion_keys,
+        "mz",
+        F.coalesce(F.col("_found")["v"].cast("double"), F.lit(0.0)).alias("intensity"),
     )
 
 

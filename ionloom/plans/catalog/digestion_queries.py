@@ -278,7 +278,7 @@ def charge_energy_expansion(t: Tables):
     "precursor_mz_per_supplier",
     f"""WITH {Q.SPECTRA}, {Q.residue_rows("spectra", "spectrum_id, PrecursorCharge")},
 m AS (SELECT spectrum_id, PrecursorCharge AS z, CAST(sum(nano) AS BIGINT) + {K.WATER_NANO} AS nano FROM residues GROUP BY ALL)
-SELECT spectrum_id, z AS PrecursorCharge, least(z, 3) AS fragment_charge, round({Q.mz("nano", "z")}, 6) AS PrecursorMz FROM m""",
+SELECT spectrum_id, CAST(z AS INTEGER) AS PrecursorCharge, CAST(least(z, 3) AS INTEGER) AS fragment_charge, round({Q.mz("nano", "z")}, 6) AS PrecursorMz FROM m""",
 )
 def precursor_mz_per_supplier(t: Tables):
     """Precursor m/z and the fragment charge cap for every charge from 1 to 6."""

@@ -23,7 +23,7 @@ from ionloom.sources.samples import dataset_from_name, read_named_samples, read_
 
 @query(
     "fasta_scan",
-    f"""WITH {Q.PROTEINS} SELECT 'doc' || doc_id || ' ' || source AS ProteinAccession, length(sequence) AS n_residues,
+    f"""WITH {Q.PROTEINS} SELECT 'doc' || doc_id || ' ' || source AS ProteinAccession, CAST(length(sequence) AS INTEGER) AS n_residues,
 md5(sequence) AS digest FROM proteins""",
 )
 def fasta_scan(t: Tables):
@@ -86,7 +86,7 @@ def spectrum_blob_round_trip(t: Tables):
 @query(
     "library_file_round_trip",
     f"""WITH {_SELF_ENTRIES}, spectra AS (SELECT doc_id, count(*) AS n_peaks, CAST(sum({Q.micro("mz")}) AS BIGINT) AS mz_micro FROM cells GROUP BY doc_id)
-SELECT PeptideModSeq, PeptideSeq, 2 AS PrecursorCharge, CAST(n_chars AS DOUBLE) AS RTInSeconds, CAST(NULL AS INTEGER) AS Copies, n_peaks, mz_micro
+SELECT PeptideModSeq, PeptideSeq, 2 AS PrecursorCharge, CAST(n_chars AS DOUBLE) AS RTInSeconds, TRUE AS no_copies, n_peaks, mz_micro
 FROM first_peptides JOIN spectra USING (doc_id)""",
 )
 def library_file_round_trip(t: Tables):
@@ -106,7 +106,7 @@ def library_file_round_trip(t: Tables):
         "PeptideSeq",
         "PrecursorCharge",
         "RTInSeconds",
-        "Copies",
+        F.col("Copies").isNull().alias("no_copies"),
         F.size("arrays.mzs").cast("bigint").alias("n_peaks"),
         F.aggregate("arrays.mzs", F.lit(0).cast("bigint"), lambda a, m: a + micro(m)).alias("mz_micro"),
     )

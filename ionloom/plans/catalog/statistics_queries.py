@@ -50,7 +50,7 @@ def split_with_repeated_rows(t: Tables):
 
 @query(
     "seeded_shuffle",
-    """SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY md5('2447:' || o_orderkey)) AS place
+    """SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY md5('2447:' || o_orderkey)) AS INTEGER) AS place
 FROM orders""",
 )
 def seeded_shuffle(t: Tables):

@@ -15,7 +15,7 @@ from ionloom.functions.peptides import digest, protein_from_text
 from ionloom.operators.digestion import peptides_to_proteins, unique_peptides
 from ionloom.operators.frames import attach, keep_computed, spread
 from ionloom.operators.modification import apply_mods
-from ionloom.session import materialise
+from ionloom.session import materialise, ship_package
 
 CAM = {"C": K.MOD_MASSES["CAM"]}
 OXIDATION = {"M": K.MOD_MASSES["Ox"]}
@@ -24,6 +24,7 @@ OXIDATION = {"M": K.MOD_MASSES["Ox"]}
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

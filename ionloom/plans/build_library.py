@@ -11,6 +11,7 @@ from ionloom import constants as K
 from ionloom.functions import encoding as E, masses as S
 from ionloom.operators import assembly, digestion, modification
 from ionloom.operators.frames import keep_computed, new_rows
+from ionloom.session import materialise
 from ionloom.sources import blobs, library
 from ionloom.sources.schemas import METADATA
 
@@ -137,6 +138,7 @@ def append_library(
     after a failure is harmless.
     """
     relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
+    relation = materialise(relation.distinct())  # read several times, but digested once
     known = library.read_table(spark, base, "peptidetoprotein")
     library.append_table(
         new_rows(relation, known, ["PeptideSeq", "isDecoy", "ProteinAccession"]),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ionloom import constants as K
 from ionloom.functions import encoding as E, masses as S, spectra as P
-from ionloom.operators.frames import last_per_key
+from ionloom.operators.frames import keep_computed, last_per_key
 from ionloom.operators.ladder import fragment_ions
 from ionloom.operators.matching import match_arrays, match_ions
 from ionloom.sources import blobs
@@ -61,7 +61,8 @@ def samples_from_entries(
     cells = F.flatten(
         S.ladder_matrix(S.ladder_nano("peptide_mod_seq"), fragment_charge_cap("precursor_z"), 2)
     )
-    matched = spectra.withColumn("_mz", cells).withColumn(
+    # the generator keeps the ladder out of the arguments of the Python call
+    matched = keep_computed(spectra, "_mz", cells).withColumn(
         "_found",
         match_arrays(F.col("_mz"), F.col("_spectrum.mzs"), F.col("_spectrum.intensities"), resolution),
     )

@@ -86,25 +86,32 @@ def prefix_masses(modseqs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return lengths, b, sums[first[1:]] - sums[first[:-1]] + K.WATER_NANO
 
 
-def ion_cells(modseqs: pa.Array, charge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(m/z [n, 4, 34], which cells are ions) of the channels b1, y1, b2, y2."""
+CHANNEL_CHARGES = np.array([1, 1, 2, 2])[None, :, None]
+
+
+def ion_masses(modseqs: pa.Array, charge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(neutral masses [n, 4, 34], which cells are ions) of the channels b1, y1, b2, y2."""
     lengths, b, whole = prefix_masses(modseqs)
     ions = np.arange(K.MAX_IONS)
     real = ions < (lengths - 1)[:, None]
     mirrored = np.clip(lengths[:, None] - 2 - ions, 0, K.MAX_IONS - 1)
     y = whole[:, None] - np.take_along_axis(b, mirrored, axis=1)
-    masses = np.stack([b, y, b, y], axis=1) / float(K.NANO)
-    z = np.array([1, 1, 2, 2])[None, :, None]
-    possible = real[:, None, :] & (z <= charge[:, None, None])
-    return (masses + z * K.PROTON_MASS) / z, possible
+    possible = real[:, None, :] & (CHANNEL_CHARGES <= charge[:, None, None])
+    return np.stack([b, y, b, y], axis=1), possible
+
+
+def ion_mz(masses: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """m/z of the chosen cells, row by row."""
+    z = np.broadcast_to(CHANNEL_CHARGES, masses.shape)[cells]
+    return (masses[cells] / float(K.NANO) + z * K.PROTON_MASS) / z
 
 
 def normalise_cells(predicted: np.ndarray) -> np.ndarray:
     """Clamp at 0 and divide by the largest of each row; all 0 without one."""
-    cells = np.maximum(np.asarray(predicted, "float32").reshape(len(predicted), K.N_CHANNELS, K.MAX_IONS), 0)
-    top = cells.max(axis=(1, 2), keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(top > 0, cells.astype("float64") / top, 0.0).astype("float32")
+    cells = np.maximum(np.asarray(predicted, "float32").reshape(len(predicted), -1), 0)
+    top = cells.max(axis=1, keepdims=True)
+    cells /= np.where(top > 0, top, 1)
+    return cells.reshape(len(predicted), K.N_CHANNELS, K.MAX_IONS)
 
 
 def _chunks(arrays: tuple[pa.Array, ...], size: int) -> Iterator[tuple[pa.Array, ...]]:
@@ -157,9 +164,9 @@ def predicted_spectrum(
                 if nce is not None:
                     inputs.append(energy.to_numpy(zero_copy_only=False).astype("float32"))
                 cells = normalise_cells(predict(*inputs))
-                mz, possible = ion_cells(mods, z)
-                kept = possible & (cells >= threshold)
-                mzs.append(mz[kept])
+                masses, possible = ion_masses(mods, z)
+                kept = possible & (cells >= np.float32(threshold))
+                mzs.append(ion_mz(masses, kept))
                 intensities.append(cells[kept])
                 counts.append(kept.sum(axis=(1, 2)))
             ends = np.cumsum(np.concatenate([[0], *counts])).astype("int32")

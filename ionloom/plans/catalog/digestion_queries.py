@@ -67,18 +67,17 @@ def _rule_sql(rule: str) -> str:
     f"WITH {Q.PROTEINS} " + " UNION ALL ".join(_rule_sql(r) for r in ORACLE_RULES),
 )
 def digest_per_protease(t: Tables):
-    proteins = t.proteins()
-    counts = [
-        keep_computed(proteins.select("doc_id", "sequence"), "found", some(P.digest("sequence", rule)))
-        .select(
-            F.lit(rule).alias("protease"),
-            "doc_id",
-            F.size("found").cast("bigint").alias("n_peptides"),
-            F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("n_residues"),
-        )
-        for rule in ORACLE_RULES
-    ]
-    return union_frames(*counts)
+    """All rules in one pass over the proteins."""
+    digests = F.array(
+        *[F.struct(F.lit(rule).alias("protease"), P.digest("sequence", rule).alias("found")) for rule in ORACLE_RULES]
+    )
+    found = t.proteins().select("doc_id", F.inline(digests)).where(F.size("found") > 0)
+    return found.select(
+        "protease",
+        "doc_id",
+        F.size("found").cast("bigint").alias("n_peptides"),
+        F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("n_residues"),
+    )
 
 
 TWO_MISSED = f"""{Q.PROTEINS}, {Q.fragments()},

@@ -96,7 +96,9 @@ MODSEQS = [
 def test_arrow_ladder_equals_column_ladder(spark):
     df = spark.createDataFrame([(m, z) for m in MODSEQS for z in (1, 2, 3)], "m string, z int")
     rows = df.select("m", "z", S.ladder_matrix(S.ladder_nano("m"), "z", 2).alias("mz")).collect()
-    mz, possible = assembly.ion_cells(pa.array([r["m"] for r in rows]), np.array([r["z"] for r in rows]))
+    masses, possible = assembly.ion_masses(pa.array([r["m"] for r in rows]), np.array([r["z"] for r in rows]))
+    mz = np.zeros(masses.shape)
+    mz[possible] = assembly.ion_mz(masses, possible)
     for i, r in enumerate(rows):
         for c in range(4):
             n = len(r["mz"][c])

@@ -51,10 +51,12 @@ tokened AS (SELECT m, c, CASE {tokens} WHEN starts_with(c, '[') THEN NULL
 coded AS (SELECT m, c, CASE WHEN strpos(w, '[') = 0 THEN w END AS coded FROM tokened)"""
 
 
-@query("coded_sequences", f"WITH {Q.VARIANTS}, {_coded_sql('variants', _VARIED)} SELECT m, c AS renamed, coded FROM coded")
+@query("coded_sequences", f"WITH {Q.VARIANTS}, {_coded_sql('variants', _VARIED)} SELECT m, c AS renamed, coalesce(coded, 'unknown') AS coded FROM coded")
 def coded_sequences(t: Tables):
     return _varied(t).select(
-        "m", E.coded_sequence("m", terminals=False).alias("renamed"), E.coded_sequence("m").alias("coded")
+        "m",
+        E.coded_sequence("m", terminals=False).alias("renamed"),
+        F.coalesce(E.coded_sequence("m"), F.lit("unknown")).alias("coded"),
     )
 
 

@@ -9,14 +9,17 @@ from ionloom import constants as K
 from ionloom.functions import encoding as E, spectra as P
 from ionloom.operators import models
 from ionloom.operators.modification import expand_charges
-from ionloom.plans.build_library import score_entries
+from ionloom.operators.frames import union_frames
+from ionloom.plans.build_library import build_library, save_library, score_entries
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.registry import query
 from ionloom.plans.catalog.tables import CAM, Tables
 from ionloom.plans.training import train_fragments, train_retention
 from ionloom.plans.training_sets import samples_from_tables
-from ionloom.session import materialise
+from ionloom.session import materialise, scratch_path
+from ionloom.sources import library
+from ionloom.streaming.incremental import stream_library
 
 
 def plain_retention_model():
@@ -218,3 +221,31 @@ def fragment_training(t: Tables):
     """Split per dataset, fit, batched scoring and masked score of the test part."""
     samples = samples_from_tables(t.spectra(), t.peaks(), "spectrum_id", "low").drop("spectrum_id")
     return train_fragments(samples).evaluation
+
+
+@query(
+    "library_grown_by_stream",
+    f"""WITH {Q.DIGEST}
+SELECT 'entries' AS name, 2 * count(DISTINCT PeptideSeq) AS n_rows, 2 * count(DISTINCT PeptideSeq) AS n_distinct FROM relation
+UNION ALL SELECT 'peptidetoprotein', count(*), count(*) FROM relation""",
+)
+def library_grown_by_stream(t: Tables):
+    """A library of the English documents; FASTA files of all documents then arrive as a stream."""
+    proteins = t.proteins().select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("ProteinAccession"), "sequence", "lang"
+    )
+    base, incoming = scratch_path(t.spark, "grown"), scratch_path(t.spark, "incoming")
+    english = build_library(proteins.where(F.col("lang") == "en"), plain_retention_model, plain_fragment_model)
+    save_library(t.spark, english, base)
+    proteins.select(F.concat(F.lit(">"), "ProteinAccession", F.lit("\n"), "sequence")).write.text(incoming)
+    stream_library(
+        t.spark, incoming, base, scratch_path(t.spark, "progress"), plain_retention_model, plain_fragment_model, create=False
+    ).awaitTermination()
+    keys = {"entries": ["PeptideModSeq", "PrecursorCharge"], "peptidetoprotein": ["PeptideSeq", "ProteinAccession"]}
+    counts = [
+        library.read_table(t.spark, base, name).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(
+            F.lit(name).alias("name"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")
+        )
+        for name, key in keys.items()
+    ]
+    return union_frames(*counts)

@@ -12,7 +12,7 @@ from ionloom.functions import encoding as E, masses as S
 from ionloom.operators import assembly, digestion, modification
 from ionloom.operators.frames import keep_computed, new_rows
 from ionloom.session import materialise
-from ionloom.sources import blobs, library
+from ionloom.sources import library
 from ionloom.sources.schemas import METADATA
 
 DEFAULT_FIXED = {"C": K.MOD_MASSES["CAM"]}
@@ -93,15 +93,10 @@ def score_entries(
     )
 
 
-def pack_entries(entries: DataFrame) -> DataFrame:
-    """Replace ``spectrum`` by the four blob columns."""
-    packed = entries.withColumn(
-        "_blob", blobs.pack_arrays(F.col("spectrum.mzs"), F.col("spectrum.intensities"))
-    )
-    names = ("MassEncodedLength", "MassArray", "IntensityEncodedLength", "IntensityArray")
-    return packed.select(
-        *[c for c in entries.columns if c != "spectrum"], *[F.col("_blob")[n].alias(n) for n in names]
-    )
+def entry_arrays(entries: DataFrame) -> DataFrame:
+    """The two arrays of ``spectrum`` as columns of the entries table."""
+    rest = [c for c in entries.columns if c != "spectrum"]
+    return entries.select(*rest, F.col("spectrum.mzs").alias("mzs"), F.col("spectrum.intensities").alias("intensities"))
 
 
 def build_library(
@@ -118,7 +113,7 @@ def build_library(
     peptides = digestion.unique_peptides(relation)
     entries = score_entries(peptides, retention_model, fragment_model, **scoring)
     metadata = proteins.sparkSession.createDataFrame([("version", K.LIBRARY_VERSION)], METADATA)
-    return Library(metadata, pack_entries(entries), relation)
+    return Library(metadata, entry_arrays(entries), relation)
 
 
 def save_library(spark: SparkSession, built: Library, base: str, overwrite: bool = True) -> None:
@@ -148,4 +143,4 @@ def append_library(
     entries = library.read_table(spark, base, "entries").select("PeptideSeq").distinct()
     fresh = new_rows(digestion.unique_peptides(relation), entries, ["PeptideSeq"])
     scored = score_entries(fresh, retention_model, fragment_model, charges=charges, **scoring)
-    library.append_table(pack_entries(scored), "entries", base)
+    library.append_table(entry_arrays(scored), "entries", base)

@@ -44,18 +44,19 @@ def samples_from_entries(
     entries: DataFrame, frag_type: str, nce: float, dataset: str, resolution: str = "high",
     order: Column | None = None,
 ) -> DataFrame:
-    """Samples of library entries, where a spectrum is one row with two blobs.
+    """Samples of library entries, where a spectrum is one row with two blobs or arrays.
 
     Unpacking, the ladder and the match all happen in the row; the only shuffle
     is the last one, which keeps the last sample per peptide and charge.
     """
+    arrays = F.struct("mzs", "intensities") if "mzs" in entries.columns else blobs.unpack_arrays()
     spectra = entries.select(
         F.col("PeptideModSeq").alias("peptide_mod_seq"),
         F.col("PrecursorCharge").alias("precursor_z"),
         F.col("RTInSeconds").alias("RT"),
         F.col("PeptideSeq").alias("_seq"),
         E.coded_sequence("PeptideModSeq").alias("coded_seq"),
-        blobs.unpack_arrays().alias("_spectrum"),
+        arrays.alias("_spectrum"),
         (F.monotonically_increasing_id() if order is None else order).alias("_order"),
     ).where(rejection(F.col("_seq"), F.col("coded_seq")) == NO_REASON)
     cells = F.flatten(

@@ -262,6 +262,6 @@ def write_dlib(df, path: str, table: str = "entries", overwrite: bool = True) ->
     from ionloom.sources.library import conform
 
     register(df.sparkSession)
-    conform(df, table).write.format("dlib").option("path", path).option("table", table).mode(
+    conform(df, table, packed=True).write.format("dlib").option("path", path).option("table", table).mode(
         "overwrite" if overwrite else "append"
     ).save()

@@ -1,10 +1,12 @@
-"""The spectral library as three Parquet tables."""
+"""The spectral library as three Parquet tables; spectra are plain arrays there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionloom import constants as K
+from ionloom.sources.blobs import PACKED, pack_arrays
+from ionloom.sources.dlib import write_dlib
 from ionloom.sources.schemas import LIBRARY_TABLES, table_schema
 
 
@@ -12,9 +14,9 @@ def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
+def conform(df: DataFrame, table: str, packed: bool = False) -> DataFrame:
     """The columns of the table in order; a missing one is NULL, an unknown one an error."""
-    schema = table_schema(table)
+    schema = table_schema(table, packed)
     unknown = set(df.columns) - set(schema.names)
     if unknown:
         raise ValueError(f"columns not in {table}: {sorted(unknown)}")
@@ -31,7 +33,7 @@ def create_library(spark: SparkSession, base: str, overwrite: bool = True) -> No
     mode = "overwrite" if overwrite else "errorifexists"
     for table in LIBRARY_TABLES:
         rows = [("version", K.LIBRARY_VERSION)] if table == "metadata" else []
-        spark.createDataFrame(rows, table_schema(table)).coalesce(1).write.mode(mode).parquet(
+        spark.createDataFrame(rows, table_schema(table, packed=False)).coalesce(1).write.mode(mode).parquet(
             _path(base, table)
         )
 
@@ -42,4 +44,19 @@ def append_table(df: DataFrame, table: str, base: str) -> None:
 
 def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Explicit schema, so filters and columns reach the Parquet scan."""
-    return spark.read.schema(table_schema(table)).parquet(_path(base, table))
+    return spark.read.schema(table_schema(table, packed=False)).parquet(_path(base, table))
+
+
+def pack_entries(entries: DataFrame) -> DataFrame:
+    """Replace the arrays of a spectrum by the four blob columns of a library file."""
+    packed = entries.withColumn("_blob", pack_arrays(F.col("mzs"), F.col("intensities")))
+    return packed.select(
+        *[c for c in entries.columns if c not in ("mzs", "intensities")],
+        *[F.col("_blob")[n].alias(n) for n in PACKED.names],
+    )
+
+
+def export_library(spark: SparkSession, base: str, path: str, overwrite: bool = True) -> None:
+    """Write the Parquet library as library-file shards (entries, then the relation)."""
+    write_dlib(pack_entries(read_table(spark, base, "entries")), path, "entries", overwrite)
+    write_dlib(read_table(spark, base, "peptidetoprotein"), path, "peptidetoprotein", overwrite=False)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
+    ArrayType,
     BinaryType,
     BooleanType,
     DoubleType,
+    FloatType,
     IntegerType,
     StringType,
     StructField,
@@ -18,6 +20,8 @@ TYPES = {
     "int": IntegerType(),
     "boolean": BooleanType(),
     "binary": BinaryType(),
+    "doubles": ArrayType(DoubleType()),
+    "floats": ArrayType(FloatType()),
 }
 
 METADATA = "Key string, Value string"
@@ -35,6 +39,9 @@ LIBRARY_TABLES = {
     "entries": ENTRIES,
     "peptidetoprotein": PEPTIDE_TO_PROTEIN,
 }
+# In Parquet a spectrum is a pair of arrays; it is packed only for a library file.
+BLOBS = "MassEncodedLength int, MassArray binary, IntensityEncodedLength int, IntensityArray binary"
+PARQUET_TABLES = {**LIBRARY_TABLES, "entries": ENTRIES.replace(BLOBS, "mzs doubles, intensities floats")}
 RT_TABLE = "PeptideModSeq string, HI double, Source string"
 SAMPLES = (
     "coded_seq string, peptide_mod_seq string, precursor_z int, ion_array array<array<float>>, "
@@ -48,7 +55,8 @@ def struct(columns: str) -> StructType:
     return StructType([StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
-def table_schema(table: str) -> StructType:
+def table_schema(table: str, packed: bool = True) -> StructType:
+    """Columns of a table in a library file (``packed``) or in Parquet."""
     if table not in LIBRARY_TABLES:
         raise ValueError(f"unknown library table {table!r}; known: {sorted(LIBRARY_TABLES)}")
-    return struct(LIBRARY_TABLES[table])
+    return struct((LIBRARY_TABLES if packed else PARQUET_TABLES)[table])

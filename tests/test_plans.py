@@ -5,7 +5,7 @@ from ionloom.plans.build_library import append_library, build_library, save_libr
 from ionloom.plans.catalog.model_queries import plain_fragment_model, plain_retention_model
 from ionloom.plans.training_sets import samples_from_entries, samples_from_tables
 from ionloom.sources import blobs, library
-from ionloom.sources.dlib import read_dlib, write_dlib
+from ionloom.sources.dlib import read_dlib
 from ionloom.streaming.incremental import stream_library
 
 PROTEINS = [("p1", "MAAAAAKCCCCDDDKPEEEEEERGGGGGGSK"), ("p2", "MAAAAAKWWWWWWR"), ("p3", "LLLLLLLK")]
@@ -24,10 +24,11 @@ def test_library_to_samples(spark, tmp_path):
     assert entries.count() == 3 * relation.select("PeptideSeq").distinct().count()
     assert relation.where("isDecoy").count() == relation.where("not isDecoy").count() > 0
 
-    write_dlib(entries, str(tmp_path / "dlib"))
+    library.export_library(spark, base, str(tmp_path / "dlib"))
     back = read_dlib(spark, str(tmp_path / "dlib"))
+    assert read_dlib(spark, str(tmp_path / "dlib"), "peptidetoprotein").count() == relation.count()
     in_row = samples_from_entries(back, "hcd", 30.0, "d")
-    assert in_row.count() == entries.count()
+    assert in_row.count() == samples_from_entries(entries, "hcd", 30.0, "d").count() == entries.count()
     # a predicted spectrum matches itself: the intensities come back normalised to the base peak
     one = in_row.select("coded_seq", "precursor_z", F.array_max(F.flatten("ion_array")).alias("top")).first()
     assert one["top"] == pytest.approx(1.0, abs=1e-6)
@@ -89,7 +90,7 @@ def test_result_does_not_depend_on_partitions(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         built = build_library(proteins(spark).repartition(int(parts) % 7 + 1), plain_retention_model, plain_fragment_model)
-        rows = built.entries.select("PeptideModSeq", "PrecursorCharge", "PrecursorMz", "RTInSeconds", "MassArray", "IntensityArray")
+        rows = built.entries.select("PeptideModSeq", "PrecursorCharge", "PrecursorMz", "RTInSeconds", "mzs", "intensities")
         digest = rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()["h"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -111,8 +111,12 @@ def test_dlib_relation_table(spark, tmp_path):
 def test_parquet_library(spark, tmp_path):
     base = str(tmp_path / "lib")
     library.create_library(spark, base)
-    library.append_table(entries(spark), "entries", base)
+    unpacked = entries(spark).withColumn("a", blobs.unpack_arrays()).select("PeptideModSeq", "PrecursorCharge", "a.*")
+    library.append_table(unpacked, "entries", base)
     assert library.read_table(spark, base, "entries").count() == 57
+    library.export_library(spark, base, base + "-files")
+    back = read_dlib(spark, base + "-files").select("PeptideModSeq", blobs.unpack_arrays().alias("a"))
+    assert {tuple(r["a"]["mzs"]) for r in back.collect()} == {tuple(100.0 + j for j in range(n)) for n in range(5)}
     with pytest.raises(Exception, match="(?i)exists"):
         library.create_library(spark, base, overwrite=False)
     with pytest.raises(ValueError):

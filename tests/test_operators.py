@@ -252,3 +252,30 @@ def test_retention_model_recovers_weights(spark):
     for r in both:
         assert r["a"] == pytest.approx(r["HI"], abs=1e-4)
         assert r["a"] == pytest.approx(r["b"], abs=1e-3) == pytest.approx(r["c"], abs=1e-3)
+
+
+def test_hot_bin_is_split_by_aqe(spark):
+    """One bin holds most peaks: the join is split on their side, and the result is whole."""
+    ions = spark.createDataFrame([(s, i, 500.0 + i * 30) for s in range(8) for i in range(10)], "spectrum_id int, ion int, mz double")
+    cold = spark.range(4000).selectExpr("cast(id % 8 as int) spectrum_id", "id peak_index", "100 + id * 0.4 mz", "cast(1 as float) intensity")
+    hot = spark.range(0, 400000, 1, 8).selectExpr("1 spectrum_id", "id + 10000 peak_index", "500 + 1e-9 * id mz", "cast(2 as float) intensity")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        matched = match_ions(ions, hot.unionByName(cold), ["spectrum_id"], ["ion"], "high")
+        rows = matched.collect()
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan or "isSkewJoin=true" in plan
+    assert len(rows) == 80
+    assert {r["ion"]: r["intensity"] for r in rows if r["spectrum_id"] == 1}[0] == 2.0

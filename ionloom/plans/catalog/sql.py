@@ -182,22 +182,6 @@ DATASETS = """datasets AS (
          CASE WHEN user_id % 2 = 1 THEN 30.0 ELSE 35.0 END::DOUBLE AS nce, value FROM events)"""
 
 
-def coded(text: str) -> str:
-    """Coded sequence of a modseq expression; NULL where a modification is unknown."""
-    body = text
-    for residue, prefix, symbol in K.CODED_MODS:
-        body = f"regexp_replace({body}, '{K.coded_mod_pattern(residue, prefix)}', '{symbol}', 'g')"
-    tokens = " ".join(
-        f"WHEN starts_with(c, '[{prefix}') THEN '{token}' || substr(c, strpos(c, ']') + 1) || '_'"
-        for prefix, token in K.NTERM_TOKENS.items()
-    )
-    return (
-        f"(SELECT CASE WHEN strpos(w, '[') = 0 THEN w END FROM (SELECT CASE {tokens} "
-        f"WHEN starts_with(c, '[') THEN NULL WHEN starts_with(c, 'd') THEN ')' || c || '_' "
-        f"WHEN starts_with(c, 'e') THEN '(' || c || '_' ELSE '-' || c || '_' END AS w FROM (SELECT {body} AS c)))"
-    )
-
-
 def codes(text: str, size: int = K.MAX_CODED_LEN) -> str:
     """Integer codes of a coded sequence as a list."""
     return (

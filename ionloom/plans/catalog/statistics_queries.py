@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ionloom import constants as K
 from ionloom.functions import metrics as M
 from ionloom.operators import distributions as D, losses
-from ionloom.operators.frames import seeded_key, union_frames
+from ionloom.operators.frames import attach, seeded_key, union_frames
 from ionloom.operators.splits import exact_split
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.registry import query
@@ -127,8 +127,6 @@ SELECT doc_id, round(CASE WHEN x <= l.mu THEN 0.5 * exp((x - l.mu) / l.s) ELSE 1
 round(exp(-exp(-(x - g.mu) / g.s)), 9) AS gumbel FROM v, laplace l, gumbel g""",
 )
 def distribution_cdf(t: Tables):
-    from ionloom.operators.frames import attach
-
     rows = _values(t)
     for name in ("laplace", "gumbel"):
         fitted = D.fit(_values(t), "x", name).select(F.col("mu").alias("m"), F.col("scale").alias("s"))
@@ -141,8 +139,6 @@ def distribution_cdf(t: Tables):
 @query("gaussian_cdf")
 def gaussian_cdf(t: Tables):
     """DuckDB has no erf; checked in the tests against the standard library."""
-    from ionloom.operators.frames import attach
-
     rows = attach(_values(t), D.fit(_values(t), "x", "gaussian"), [])
     value = D.cumulative("gaussian", F.col("mu"), F.col("scale"), F.col("x"))
     return rows.select("doc_id", "x", F.round(value, 9).alias("cdf"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ionloom.llm.files import written
@@ -27,14 +27,16 @@ from ionloom.llm.tokens import blocks, encode_texts
 CAPACITY = 2048
 GROUP_PIECES = 100_000      # pieces that are packed together, about
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_NAMES = [part.split()[0] for part in PIECES.split(", ")]
+
 
 def _pieces(
-    batches: Iterator[pd.DataFrame], path: str, end_id: int | None, capacity: int
-) -> Iterator[pd.DataFrame]:
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, capacity: int
+) -> Iterator[pa.RecordBatch]:
     end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
     for batch in batches:
-        keys, texts = batch["doc_id"].array, [t if isinstance(t, str) else "" for t in batch["text"]]
-        rows = []
+        texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
         for start, stop in blocks(texts):
             for i, ids in enumerate(encode_texts(path, texts[start:stop]), start):
                 raw = ids + end
@@ -45,9 +47,9 @@ def _pieces(
                     at, piece = at + take, piece + 1
                     if at >= n:
                         break
-        table = pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32"])
-        table.insert(0, "doc_id", keys.take(table.pop("row").to_numpy()))
-        yield table
+        row, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
+        columns = [batch.column(0).take(pa.array(row)), piece.astype(np.int32), start, length, crc]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PIECE_NAMES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +87,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-def _pack(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    group = group.sort_values(
-        ["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable"
-    )
+def _pack(group: pa.Table, capacity: int) -> pa.Table:
+    order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]]
+    group = group.sort_by(order)
     bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
-    return group.assign(sequence_id=(group["pack"].to_numpy() << 32) + bins, offset=offsets).drop(columns="pack")
+    numbers = (group["pack"].to_numpy() << 32) + bins
+    return (
+        group.drop_columns(["pack"])
+        .append_column("sequence_id", pa.array(numbers))
+        .append_column("offset", pa.array(offsets))
+    )
 
 
 def pack_documents(
@@ -103,10 +109,12 @@ def pack_documents(
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = written(rows.mapInPandas(partial(_pieces, path=path, end_id=end_id, capacity=capacity), shape), "pieces")
+    cut = partial(_pieces, path=path, end_id=end_id, capacity=capacity)
+    pieces = written(rows.mapInArrow(cut, PIECES), "pieces")
     groups = -(-pieces.count() // GROUP_PIECES) or 1
     dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("pack").applyInPandas(
-        partial(_pack, capacity=capacity), f"{shape}, sequence_id long, offset long"
-    )
+
+    def pack(group: pa.Table) -> pa.Table:
+        return _pack(group, capacity)
+
+    return dealt.groupBy("pack").applyInArrow(pack, f"{PIECES}, sequence_id long, offset long")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, packing, sequences, token_counts
+from ionloom.llm import fingerprints, language, packing, sequences, token_counts
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op5_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit_languages(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)

@@ -9,14 +9,16 @@ for themselves, and other columns are left as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ionloom.llm.rows import with_text_columns
 from ionloom.llm.tokens import TextEncoder, blocks, id_counts
 
 TABLE_ENTRIES = 50_000      # pre-tokens in the broadcast table
@@ -77,18 +79,25 @@ def frequent_lengths(texts: DataFrame, path: str, entries: int = TABLE_ENTRIES)
     return LengthTable({w: encoder.cache[w] for w in words})
 
 
+class Shared:
+    """A broadcast table with a name by which a worker keeps its encoder."""
+
+    def __init__(self, broadcast, name: str):
+        self.broadcast, self.id = broadcast, name
+
+    @property
+    def value(self) -> LengthTable:
+        return self.broadcast.value
+
+
 _COUNTERS: dict[tuple, TextEncoder] = {}
 
 
-def _counts(batches: Iterator[pd.DataFrame], path: str, table) -> Iterator[pd.DataFrame]:
-    key = (path, table.id if hasattr(table, "id") else id(table))
-    if key not in _COUNTERS:
+def _counts(texts: list[str], path: str, table) -> tuple:
+    if (path, table.id) not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = TextEncoder(path, id_counts, known=table.value.lookup())
-    encoder = _COUNTERS[key]
-    for batch in batches:
-        texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
-        yield batch.drop(columns="_text").assign(n_tokens=encoder.encode(texts, sum))
+        _COUNTERS[path, table.id] = TextEncoder(path, id_counts, known=table.value.lookup())
+    return (np.array(_COUNTERS[path, table.id].encode(texts, sum), dtype=np.int64),)
 
 
 def count_tokens(
@@ -102,14 +111,14 @@ def count_tokens(
     """Per row: its id, bytes, tokens, and whether it has more than ``limit`` tokens."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias(id_col),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        text.alias("_text"),
+        F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text")
     )
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_lengths(rows.select("_text"), path, entries))
-    id_type = rows.schema[id_col].dataType.simpleString()
-    counted = rows.mapInPandas(
-        partial(_counts, path=path, table=table), f"`{id_col}` {id_type}, n_bytes long, n_tokens long"
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows.select("_text"), path, entries))
+    counted = with_text_columns(
+        rows,
+        [id_col, "n_bytes"],
+        "_text",
+        partial(_counts, path=path, table=Shared(shared, uuid.uuid4().hex)),
+        [T.StructField("n_tokens", T.LongType())],
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -161,7 +161,7 @@ def _predict(texts: list[str], model) -> tuple:
     return model.value.predict(texts)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str | Column = "text") -> DataFrame:
     """The columns ``keep`` of every row, with lang_pred, score and ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return with_text_columns(docs, keep, text_col, partial(_predict, model=shared), FIELDS)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, jaccard, language, packing, sequences, token_counts
+from ionloom.llm import fingerprints, jaccard, language, packing, quality, sequences, token_counts
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = language.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit_quality(docs.join(labels.where(~held_out), "doc_id"))
+    found = quality.score_quality(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, jaccard, language, packing, quality, sequences, token_counts
+from ionloom.llm import fingerprints, jaccard, language, packing, quality, sequences, token_counts, warc
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +37,41 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+SQL["op1_ngram_jaccard_join"] = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1),
+  lambda i: array_to_string(words[i:i + 4], ' ')))) AS grams FROM w),
+c AS (SELECT grams, min(doc_id) AS id, count(*) AS copies FROM s GROUP BY grams),
+g AS MATERIALIZED (SELECT id, len(grams) AS n, unnest(grams) AS gram FROM c),
+shared AS MATERIALIZED (SELECT a.id AS u, b.id AS v, a.n AS p, b.n AS q, count(*) AS k
+  FROM g a JOIN g b ON a.gram = b.gram AND a.id <> b.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM shared WHERE k / (p + q - k) >= 0.8),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+root AS (SELECT u AS id, least(u, min(v)) AS root FROM reach GROUP BY u),
+near AS (SELECT l.u AS id, CAST(sum(c.copies) AS BIGINT) AS links FROM links l JOIN c ON c.id = l.v GROUP BY l.u)
+SELECT s.doc_id, coalesce(root, c.id) AS class_id, c.id AS copy_class, c.copies - 1 + coalesce(links, 0) AS n_links
+FROM s JOIN c ON s.grams = c.grams LEFT JOIN root ON root.id = c.id LEFT JOIN near ON near.id = c.id"""
+
+
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)

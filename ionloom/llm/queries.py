@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, jaccard, language, packing, quality, sequences, token_counts, warc
+from ionloom.llm import fingerprints, hash_forest, jaccard, language, packing, quality, sequences, token_counts, warc
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
 
 
+@query
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, hash_forest, jaccard, language, packing, quality, sequences, token_counts, warc
+from ionloom.llm import fingerprints, hash_forest, jaccard, language, packing, pieces, quality, sequences, token_counts, warc
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs.join(labels.where(~held_out), "doc_id"))
     found = quality.score_quality(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=4)

@@ -2,7 +2,7 @@
 
 Only a document longer than a sequence is cut: its last pieces are full, its first
 piece takes the rest. Every piece that is not full is placed, longest first, into
-the open bin (or a new one) that makes the sum of squared numbers of open bins per
+the open bin that makes the sum of squared numbers of open bins per
 residual gap smallest. Pieces are dealt by hash into groups of bounded size, which
 are packed independently, so no task sees more than one group.
 
@@ -56,8 +56,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     """Bin number and offset of each piece, placed in the given order.
 
     ``open_bins[g]`` counts the open bins with gap ``g``. Moving a bin from gap g to
-    g - s changes the sum of squares by 2 (open[g - s] - open[g]) + 2; a full bin and
-    an unopened one count nothing. On a tie the smallest gap wins, and an open bin wins over a new one.
+    g - s changes the sum of squares by 2 (open[g - s] - open[g]) + 2, or by
+    1 - 2 open[g] if that fills it. On a tie the smallest gap wins.
     """
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     open_bins = np.zeros(capacity + 1, np.int64)
@@ -72,9 +72,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
             if len(gaps):
                 change = 2 * (open_bins[gaps - size] - open_bins[gaps]) + 2
                 change[gaps == size] = 1 - 2 * open_bins[size]
-                best = int(change.argmin())
-                if change[best] <= 2 * open_bins[capacity - size] + 1:
-                    gap = int(gaps[best])
+                gap = int(gaps[change.argmin()])
         if gap < 0:
             gap, number, made = capacity, made, made + 1
         else:

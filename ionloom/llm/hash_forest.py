@@ -32,7 +32,7 @@ from ionloom.llm.files import locate, shared_folder
 BITS = 64
 TREES = 16
 SHARD_ROWS = 8_192
-SHARE = 0.6                 # candidates of a shard, as a share of its rows; measured recall is in the README
+SHARE = 0.6                 # matches of all trees together at which they stop, as a share of a shard
 LEAST = 400                 # and at least so many
 QUERY_ROWS = 1_024          # queries searched at a time
 

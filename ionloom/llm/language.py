@@ -135,8 +135,9 @@ def fit_languages(train: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModel:
     weights = np.zeros(((2 << BITS) + 1, code.shape[1]), np.float32)
     for order in range(2):
         part = slice(order << BITS, (order + 1) << BITS)
-        share = counts[:, part] + 0.1
-        share /= share.sum(axis=1, keepdims=True)
+        total = np.maximum(counts[:, part].sum(axis=1, keepdims=True), 1)
+        # the same floor for all languages: an n-gram that none has seen tells nothing
+        share = counts[:, part] / total + 0.1 / total.mean()
         for bit in range(code.shape[1]):
             plus, minus = (share[code[:, bit] == sign] for sign in (1, -1))
             if len(plus) and len(minus):

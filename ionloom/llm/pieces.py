@@ -154,16 +154,21 @@ class PieceModel:
         for i, j, value in edges:
             forward[j] = max(forward[j], forward[i] + value)
             into[j].append((i, value))
-        # (minus what the whole will score, order, position, score so far, cuts from here to the end)
-        queue, pushed, out = [(-forward[size], 0, size, 0.0, (size,))], 0, []
+        # (minus what the whole will score, position, order, score so far, cuts from here to the end);
+        # of equal promises the one nearest to the start goes first, so ties are not all unfolded
+        queue, pushed, out = [(-forward[size], size, 0, 0.0, (size, None))], 0, []
         while queue and len(out) < n:
-            _, _, j, done, cuts = heapq.heappop(queue)
+            _, j, _, done, link = heapq.heappop(queue)
             if j == 0:
+                cuts = []
+                while link:
+                    cuts.append(link[0])
+                    link = link[1]
                 out.append((done, self.ids_of(unit, cuts)))
                 continue
             for i, value in into[j]:
                 pushed += 1
-                heapq.heappush(queue, (-(forward[i] + value + done), pushed, i, value + done, (i, *cuts)))
+                heapq.heappush(queue, (-(forward[i] + value + done), i, pushed, value + done, (i, link)))
         return out
 
     def _learn(self, units: set[str]) -> None:

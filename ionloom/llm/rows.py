@@ -30,5 +30,10 @@ def with_text_columns(
 ) -> DataFrame:
     """The columns ``keep`` and the arrays that ``compute`` gives for blocks of texts (null: empty)."""
     rows = df.select(*keep, (F.col(text) if isinstance(text, str) else text).alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *fields])
-    return rows.mapInArrow(partial(_apply, compute=compute, columns=schema.names), schema)
+    shape = [*rows.schema.fields[:-1], *fields]
+    # by place while Python works, so that no name clashes and a dot is no path
+    places = [f"c{i}" for i in range(len(shape))]
+    inside = T.StructType([T.StructField(p, f.dataType) for p, f in zip(places, shape, strict=True)])
+    placed = rows.toDF(*places[: len(keep)], "_text")
+    out = placed.mapInArrow(partial(_apply, compute=compute, columns=places), inside)
+    return out.toDF(*[f.name for f in shape])

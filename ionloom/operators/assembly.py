@@ -34,6 +34,27 @@ def _table(values: dict[str, int]) -> np.ndarray:
 
 
 _CODES, _NANO = _table(K.SYMBOL_CODES), _table(K.RESIDUE_NANO)
+_CODED, _WEIGHED = (_table(dict.fromkeys(t, 1)) > 0 for t in (K.SYMBOL_CODES, K.RESIDUE_NANO))
+
+
+def unknown(data: np.ndarray, starts: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which texts hold a symbol that is not known; their codes and masses mean nothing."""
+    wrong = np.concatenate([[0], np.cumsum(~known[data])])
+    return wrong[starts[1:]] > wrong[starts[:-1]]
+
+
+def uncoded(coded: pa.Array) -> np.ndarray:
+    """Which coded sequences hold a symbol without a code."""
+    return unknown(*_bytes(coded), _CODED)
+
+
+def unweighed(modseqs: pa.Array) -> np.ndarray:
+    """Which modified sequences hold a residue without a mass."""
+    data, starts = _bytes(modseqs)
+    inside = np.cumsum(data == _OPEN) - np.cumsum(data == _CLOSE) > 0
+    known = _WEIGHED[data] | inside | (data == _CLOSE)
+    wrong = np.concatenate([[0], np.cumsum(~known)])
+    return wrong[starts[1:]] > wrong[starts[:-1]]
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +141,7 @@ def _chunks(arrays: tuple[pa.Array, ...], size: int) -> Iterator[tuple[pa.Array,
 
 
 def score_coded(make_model: Callable, coded: Column | str, batch_size: int = BATCH_SIZE) -> Column:
-    """Retention time of coded sequences, encoded and scored in one pass."""
+    """Retention time of coded sequences, encoded and scored in one pass; NULL with an unknown symbol."""
 
     @arrow_udf(DoubleType())
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -130,7 +151,8 @@ def score_coded(make_model: Callable, coded: Column | str, batch_size: int = BAT
                 np.asarray(predict(code_matrix(chunk)), "float64").reshape(-1)
                 for (chunk,) in _chunks((texts,), batch_size)
             ]
-            yield pa.array(np.concatenate(values) if values else [], pa.float64())
+            none = uncoded(texts)
+            yield pa.array(np.concatenate(values) if values else [], pa.float64(), mask=none if values else None)
 
     return score.asNondeterministic()(col(coded))  # evaluated once, never copied
 
@@ -146,6 +168,7 @@ def predicted_spectrum(
 ) -> Column:
     """struct(mzs, intensities) of one precursor: the peaks the model gives it.
 
+    A sequence with an unknown residue gives NULL, as in the column form.
     ``make_model()`` returns ``predict(codes[n, 37], charge[n, 6], nce[n])`` (no
     ``nce`` for trap fragmentation) -> [n, 4 * 34].
     """
@@ -177,7 +200,8 @@ def predicted_spectrum(
                     offsets, pa.array(np.concatenate([np.zeros(0, "float32"), *intensities]), pa.float32())
                 ),
             ]
-            yield pa.StructArray.from_arrays(lists, names=["mzs", "intensities"])
+            none = pa.array(uncoded(part[0]) | unweighed(part[1]))
+            yield pa.StructArray.from_arrays(lists, names=["mzs", "intensities"], mask=none)
 
     energy = F.lit(0.0) if nce is None else col(nce).cast("double")
     return assemble.asNondeterministic()(col(coded), col(modseq), col(charge).cast("int"), energy)

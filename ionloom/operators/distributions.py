@@ -6,13 +6,10 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ionloom import constants as K
+from ionloom.functions.expr import let
 from ionloom.operators.frames import attach
 
 DISTRIBUTIONS = ("gaussian", "laplace", "gumbel")
@@ -61,9 +58,33 @@ def quantile(distribution: str, mu: Column, scale: Column, q: float) -> Column:
     return mu + scale * F.lit(factor)
 
 
-@pandas_udf(DoubleType())
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    return 0.5 * (1 + z.map(lambda v: math.erf(v / math.sqrt(2)) if v == v else np.nan))
+# Coefficients of a published rational approximation of the normal tail
+# (Hart's, as given by West), highest power first, good to about 1e-15.
+NORMAL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+NORMAL_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+NORMAL_SPLIT = 7.07106781186547
+
+
+def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def _normal_cdf(z: Column) -> Column:
+    """The standard normal cdf as a column expression."""
+
+    def tail(u: Column) -> Column:
+        near = _polynomial(u, NORMAL_TOP) / _polynomial(u, NORMAL_BOTTOM)
+        far = u + 0.65
+        for i in (4, 3, 2, 1):
+            far = u + i / far
+        return F.when(u > 37, F.lit(0.0)).otherwise(
+            F.exp(-u * u / 2) * F.when(u < NORMAL_SPLIT, near).otherwise(1 / far / math.sqrt(2 * math.pi))
+        )
+
+    return let(z, lambda v: F.when(v > 0, 1 - tail(v)).otherwise(tail(-v)))
 
 
 def cumulative(distribution: str, mu: Column, scale: Column, x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ionloom.session import materialise
 
@@ -37,6 +37,7 @@ def attach(
 ) -> DataFrame:
     """Add the columns of a per-key table to every row (NULL where a key is missing).
 
+    A NULL key is a key like any other and finds the row of the NULL key.
     Without keys ``small`` has at most one row and is read as a scalar subquery.
     With keys it is computed once and broadcast only behind a check of its size.
     """
@@ -47,8 +48,10 @@ def attach(
             df.withColumn("_one", one)
             .select(*df.columns, *[F.col("_one")[f].alias(f) for f in fields])
         )
-    table = bounded_broadcast(materialise(small), limit)
-    return df.join(table, list(keys), "left")
+    renamed = {k: f"_key{i}" for i, k in enumerate(keys)}
+    table = bounded_broadcast(materialise(small.withColumnsRenamed(renamed)), limit)
+    same = [df[k].eqNullSafe(table[r]) for k, r in renamed.items()]
+    return df.join(table, same, "left").drop(*renamed.values())
 
 
 def keep_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -75,9 +78,8 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame
     most one row per task.
     """
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), order).alias("_kept")
-    )
+    # in a struct a NULL order is the smallest, where max_by alone would skip its row
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.alias("o"))).alias("_kept"))
     return kept.select(*keys, *[F.col("_kept")[c].alias(c) for c in rest]).select(*df.columns)
 
 
@@ -98,9 +100,29 @@ def new_rows(
 
 def seeded_key(key: Sequence[str | Column], seed: int) -> Column:
     """Hash text that orders rows like a shuffle, the same on any partitioning."""
-    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    values = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]
+    # each value with its length before it, so that no two rows give one text
+    parts = [F.coalesce(F.concat(F.lit(";"), F.length(v).cast("string"), F.lit(":"), v), F.lit(";-")) for v in values]
+    return F.md5(F.concat(F.lit(str(seed)), *parts))
 
 
 def seeded_shuffle(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     return df.orderBy(seeded_key(key, seed), *key)
+
+
+def seeded_places(df: DataFrame, key: Sequence[str], seed: int, label: str = "place") -> DataFrame:
+    """Add each row's place (from 0) in the seeded order of all rows.
+
+    Rows are dealt by ranges of the hash and counted per range; a row's place is the
+    number of rows in earlier ranges and its place within its own. No window holds
+    more than one range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_h", seeded_key(key, seed)).repartitionByRange(parts, "_h")
+    ranged = materialise(ranged.withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("_h", *key)
+    placed = attach(ranged.withColumn("_i", F.row_number().over(inside)), starts, ["_range"])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_i") - 1).alias(label))

@@ -10,6 +10,9 @@ from ionloom import constants as K
 from ionloom.functions import metrics as M
 from ionloom.operators.distributions import mark_inliers
 from ionloom.operators.frames import attach
+from ionloom.session import materialise
+
+INITIAL_SCALE = 10.0    # what the scales start from before they are fitted
 
 
 def source_scales(df: DataFrame, pred: str, true: str, source: str) -> DataFrame:
@@ -27,10 +30,13 @@ def rt_likelihood_rows(
     df: DataFrame, pred: str, true: str, source: str, scales: DataFrame | None = None,
     fdr: float = K.TRAIN_FDR,
 ) -> DataFrame:
-    """Add norm_error, neg_log_l and kept (error below the Laplace quantile)."""
-    scales = source_scales(df, pred, true, source) if scales is None else scales
+    """Add norm_error, neg_log_l, kept (error below the Laplace quantile) and unseen (no scale of its own)."""
+    scales = materialise(source_scales(df, pred, true, source) if scales is None else scales)
+    pooled = scales.agg(F.avg("b")).scalar()
     rows = attach(df, scales, [source])
-    b = F.greatest(F.col("b"), F.lit(K.EPSILON))
+    # a source without a scale takes the mean scale of the others, or the initial one
+    b = F.greatest(F.coalesce(F.col("b"), pooled, F.lit(INITIAL_SCALE)), F.lit(K.EPSILON))
+    rows = rows.withColumn("unseen", F.col("b").isNull())
     rows = rows.withColumn("norm_error", F.abs(F.col(pred) - F.col(true)) / b).withColumn(
         "neg_log_l", F.col("norm_error") + F.log(2 * b)
     )
@@ -46,6 +52,7 @@ def rt_masked_likelihood(
         masked_mean(F.col("neg_log_l"), F.col("kept")).alias("score"),
         F.count_if("kept").alias("n_kept"),
         F.count(F.lit(1)).alias("n"),
+        F.count_if("unseen").alias("n_unseen"),
     )
 
 

@@ -23,7 +23,9 @@ def choose_sites(
     if not variable or max_sites < 1:
         return out
     out = out.withColumn("_open", M.mod_sites("PeptideSeq", variable))
-    for _ in range(min(max_sites, K.MAX_PEPTIDE_LEN)):
+    if max_sites > K.MAX_PEPTIDE_LEN:
+        raise ValueError(f"at most {K.MAX_PEPTIDE_LEN} variable sites can be chosen")
+    for _ in range(max_sites):
         stop = F.array(F.lit(-1))
         taken = F.col("_taken")
         options = F.concat(

@@ -21,9 +21,12 @@ ENTRY_KEY = ["PeptideModSeq", "PrecursorCharge"]
 
 @dataclass(frozen=True)
 class Library:
+    """The three tables, and how entries are made of unique peptides."""
+
     metadata: DataFrame
     entries: DataFrame
     peptidetoprotein: DataFrame
+    score: Callable[[DataFrame], DataFrame] | None = None
 
 
 def precursors(
@@ -65,6 +68,28 @@ def score_entries(
     modified = modification.apply_mods(
         peptides, DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
     )
+    return score_forms(
+        modified, retention_model, fragment_model, charges, nce, beam, batch_size, source
+    )
+
+
+def score_forms(
+    modified: DataFrame,
+    retention_model: Callable,
+    fragment_model: Callable,
+    charges: Sequence[int] = (2, 3),
+    nce: float | Sequence[float] = 30.0,
+    beam: bool = True,
+    batch_size: int = assembly.BATCH_SIZE,
+    source: str = "ionloom",
+    wanted: str | None = None,
+) -> DataFrame:
+    """Entries of modified peptides (PeptideSeq, PeptideModSeq) at the given charges.
+
+    ``wanted`` names a column with the array of charges each form is scored at; other
+    charges of that form are left out.
+    """
+    kept = [] if wanted is None else [wanted]
     coded = keep_computed(modified, "_coded", E.coded_sequence("PeptideModSeq"))
     scored = coded.select(
         "PeptideSeq",
@@ -72,8 +97,11 @@ def score_entries(
         "_coded",
         S.peptide_mass("PeptideModSeq").alias("_mass"),
         assembly.score_coded(retention_model, "_coded", batch_size).alias("RTInSeconds"),
+        *kept,
     )
     charged = modification.expand_charges(scored, charges, nce)
+    if wanted is not None:
+        charged = charged.where(F.array_contains(wanted, F.col("PrecursorCharge")))
     spectrum = assembly.predicted_spectrum(
         fragment_model,
         "_coded",
@@ -110,27 +138,36 @@ def build_library(
 ) -> Library:
     """The three library tables, lazily. One shuffle: the distinct peptides."""
     relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
-    peptides = digestion.unique_peptides(relation)
-    entries = score_entries(peptides, retention_model, fragment_model, **scoring)
+
+    def score(peptides: DataFrame) -> DataFrame:
+        return entry_arrays(score_entries(peptides, retention_model, fragment_model, **scoring))
+
     metadata = proteins.sparkSession.createDataFrame([("version", K.LIBRARY_VERSION)], METADATA)
-    return Library(metadata, entry_arrays(entries), relation)
+    return Library(metadata, score(digestion.unique_peptides(relation)), relation, score)
 
 
 def save_library(spark: SparkSession, built: Library, base: str, overwrite: bool = True) -> None:
     library.create_library(spark, base, overwrite)
     library.append_table(built.peptidetoprotein, "peptidetoprotein", base)
-    library.append_table(built.entries, "entries", base)
+    if built.score is None:
+        library.append_table(built.entries, "entries", base)
+        return
+    # the proteins are digested once: the peptides come from the table just written
+    relation = library.read_table(spark, base, "peptidetoprotein")
+    library.append_table(built.score(digestion.unique_peptides(relation)), "entries", base)
 
 
 def append_library(
     spark: SparkSession, proteins: DataFrame, base: str, retention_model: Callable,
     fragment_model: Callable, charges: Sequence[int] = (2, 3), protease: str = "trypsin",
-    missed_cleavages: int = 1, decoys: bool = False, **scoring,
+    missed_cleavages: int = 1, decoys: bool = False, fixed: Mapping[str, float] | None = None,
+    variable: Mapping[str, float] | None = None, max_variable: int = 2, **scoring,
 ) -> None:
-    """Add the peptides of new proteins; what the library already holds is not scored again.
+    """Add the precursors of proteins; a modified form and charge the library holds is not scored again.
 
     Running it twice with the same proteins adds nothing, so a repeated batch
-    after a failure is harmless.
+    after a failure is harmless. Other charges or modified forms of a known
+    peptide are new precursors.
     """
     relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
     relation = materialise(relation.distinct())  # read several times, but digested once
@@ -140,7 +177,14 @@ def append_library(
         "peptidetoprotein",
         base,
     )
-    entries = library.read_table(spark, base, "entries").select("PeptideSeq").distinct()
-    fresh = new_rows(digestion.unique_peptides(relation), entries, ["PeptideSeq"])
-    scored = score_entries(fresh, retention_model, fragment_model, charges=charges, **scoring)
+    forms = modification.apply_mods(
+        digestion.unique_peptides(relation), DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
+    ).select("PeptideSeq", "PeptideModSeq")
+    asked = F.explode(F.array(*[F.lit(int(z)) for z in charges])).alias("PrecursorCharge")
+    fresh = new_rows(
+        forms.select("*", asked), library.read_table(spark, base, "entries").select(*ENTRY_KEY), ENTRY_KEY
+    )
+    # a form is scored once for all the charges it lacks
+    wanted = fresh.groupBy("PeptideSeq", "PeptideModSeq").agg(F.collect_set("PrecursorCharge").alias("_wanted"))
+    scored = score_forms(wanted, retention_model, fragment_model, charges, wanted="_wanted", **scoring)
     library.append_table(entry_arrays(scored), "entries", base)

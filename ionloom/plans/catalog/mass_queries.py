@@ -21,13 +21,13 @@ PHOSPHO = {r: K.MOD_MASSES["Phospho"] for r in "STY"}
 @query(
     "peptide_masses",
     f"""WITH {Q.VARIANTS}, {Q.RESIDUES},
-letters AS (SELECT PeptideModSeq, unnest(string_split(PeptideSeq, '')) AS residue FROM variants),
-base AS (SELECT PeptideModSeq, CAST(sum(nano) AS BIGINT) AS nano FROM letters JOIN residue_mass USING (residue) GROUP BY 1),
-extra AS (SELECT PeptideModSeq,
+forms AS MATERIALIZED (SELECT PeptideSeq, PeptideModSeq,
   (length(PeptideModSeq) - length(replace(PeptideModSeq, '{Q.CAM_TEXT}', ''))) // {len(Q.CAM_TEXT)} AS n_cam,
-  (length(PeptideModSeq) - length(replace(PeptideModSeq, '{Q.OX_TEXT}', ''))) // {len(Q.OX_TEXT)} AS n_ox FROM variants)
+  (length(PeptideModSeq) - length(replace(PeptideModSeq, '{Q.OX_TEXT}', ''))) // {len(Q.OX_TEXT)} AS n_ox FROM variants),
+letters AS (SELECT PeptideSeq, unnest(string_split(PeptideSeq, '')) AS residue FROM (SELECT DISTINCT PeptideSeq FROM forms)),
+base AS (SELECT PeptideSeq, CAST(sum(nano) AS BIGINT) AS nano FROM letters JOIN residue_mass USING (residue) GROUP BY 1)
 SELECT PeptideModSeq, round((nano + {K.WATER_NANO} + n_cam * 57021464000 + n_ox * 15994915000) / 1e9, 9) AS mass
-FROM base JOIN extra USING (PeptideModSeq)""",
+FROM base JOIN forms USING (PeptideSeq)""",
 )
 def peptide_masses(t: Tables):
     return t.variants().select("PeptideModSeq", F.round(S.peptide_mass("PeptideModSeq"), 9).alias("mass"))

@@ -10,6 +10,7 @@ from ionloom.functions import encoding as E, spectra as P
 from ionloom.operators import models
 from ionloom.operators.modification import expand_charges
 from ionloom.operators.frames import union_frames
+from ionloom.operators.splits import exact_split
 from ionloom.plans.build_library import build_library, save_library, score_entries
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
@@ -159,12 +160,28 @@ def retention_model_fit(t: Tables):
     )
 
 
-@query("retention_training")
+@query(
+    "retention_training",
+    f"""WITH {Q.RETENTION}, split AS (SELECT *, row_number() OVER (ORDER BY {Q.shuffle_key("doc_id")}) <= round_even(count(*) OVER () * 0.2::DOUBLE, 0) AS is_test FROM retention),
+letters AS (SELECT is_test, HI, unnest(string_split({_CODED}, '')) AS symbol FROM split)
+SELECT symbol, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
+round(avg(HI) FILTER (NOT is_test), 2) AS mean_measured, round(avg(HI) FILTER (NOT is_test), 2) AS mean_fitted FROM letters GROUP BY symbol""",
+)
 def retention_training(t: Tables):
-    """Split, fit, scale per source and masked likelihood of the test part."""
-    rows = _retention_rows(t)
+    """Split and fit of the training job, checked by the normal equations of its training part."""
+    rows = materialise(_retention_rows(t))
     trained = train_retention(rows, ["doc_id"])
-    return trained.evaluation
+    fitted = exact_split(rows, K.VALIDATION_FRACTION, ["doc_id"]).withColumn(
+        "pred", trained.model.predict(E.integer_codes("CodedPeptideSeq"))
+    )
+    symbols = fitted.select("is_test", "HI", "pred", F.explode(F.split("CodedPeptideSeq", "")).alias("symbol"))
+    of_train = {c: F.round(F.avg(F.when(~F.col("is_test"), F.col(c))), 2) for c in ("HI", "pred")}
+    return symbols.groupBy("symbol").agg(
+        F.count_if(~F.col("is_test")).alias("n_train"),
+        F.count_if("is_test").alias("n_test"),
+        of_train["HI"].alias("mean_measured"),
+        of_train["pred"].alias("mean_fitted"),
+    )
 
 
 _CONTEXTS = """contexts AS (

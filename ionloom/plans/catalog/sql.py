@@ -182,6 +182,12 @@ DATASETS = """datasets AS (
          CASE WHEN user_id % 2 = 1 THEN 30.0 ELSE 35.0 END::DOUBLE AS nce, value FROM events)"""
 
 
+def shuffle_key(*columns: str) -> str:
+    """The hash that orders rows like a shuffle: each value with its length before it."""
+    parts = [f"coalesce(';' || length({c}::VARCHAR) || ':' || {c}, ';-')" for c in columns]
+    return "md5('2447' || " + " || ".join(parts) + ")"
+
+
 def codes(text: str, size: int = K.MAX_CODED_LEN) -> str:
     """Integer codes of a coded sequence as a list."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ionloom import constants as K
 from ionloom.functions import metrics as M
 from ionloom.operators import distributions as D, losses
-from ionloom.operators.frames import attach, seeded_key, union_frames
+from ionloom.operators.frames import attach, seeded_places, union_frames
 from ionloom.operators.splits import exact_split
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.registry import query
@@ -17,7 +17,7 @@ from ionloom.plans.catalog.tables import Tables
 
 @query(
     "exact_train_test_split",
-    """SELECT o_orderkey, row_number() OVER (ORDER BY md5('2447:' || o_orderkey)) <= round_even(count(*) OVER () * 0.2::DOUBLE, 0) AS is_test
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY {Q.shuffle_key("o_orderkey")}) <= round_even(count(*) OVER () * 0.2::DOUBLE, 0) AS is_test
 FROM orders""",
 )
 def exact_train_test_split(t: Tables):
@@ -27,7 +27,7 @@ def exact_train_test_split(t: Tables):
 @query(
     "split_per_dataset",
     f"""WITH {Q.DATASETS} SELECT event_id, dataset, frag_type, nce,
-row_number() OVER (PARTITION BY dataset, frag_type, nce ORDER BY md5('2447:' || event_id))
+row_number() OVER (PARTITION BY dataset, frag_type, nce ORDER BY {Q.shuffle_key("event_id")})
   <= round_even(count(*) OVER (PARTITION BY dataset, frag_type, nce) * 0.2::DOUBLE, 0) AS is_test FROM datasets""",
 )
 def split_per_dataset(t: Tables):
@@ -37,8 +37,8 @@ def split_per_dataset(t: Tables):
 
 @query(
     "split_with_repeated_rows",
-    """WITH r AS (SELECT l_suppkey, l_linenumber FROM lineitem), p AS (
-SELECT *, row_number() OVER (ORDER BY md5('2447:' || l_suppkey || ':' || l_linenumber)) <= round_even(count(*) OVER () * 0.3::DOUBLE, 0) AS is_test FROM r)
+    f"""WITH r AS (SELECT l_suppkey, l_linenumber FROM lineitem), p AS (
+SELECT *, row_number() OVER (ORDER BY {Q.shuffle_key("l_suppkey", "l_linenumber")}) <= round_even(count(*) OVER () * 0.3::DOUBLE, 0) AS is_test FROM r)
 SELECT l_suppkey, l_linenumber, is_test, count(*) AS n FROM p GROUP BY ALL""",
 )
 def split_with_repeated_rows(t: Tables):
@@ -50,19 +50,23 @@ def split_with_repeated_rows(t: Tables):
 
 @query(
     "seeded_shuffle",
-    """SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY md5('2447:' || o_orderkey)) AS INTEGER) AS place
-FROM orders""",
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY {Q.shuffle_key("o_orderkey")}, o_orderkey) - 1 AS place FROM orders""",
 )
 def seeded_shuffle(t: Tables):
-    """Order by seeded hash: the same permutation on any partitioning."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("o_orderpriority", "o_custkey").orderBy(seeded_key(["o_orderkey"], K.SEED))
-    return t.table("orders").select(
-        "o_orderpriority", "o_orderkey", F.row_number().over(order).alias("place")
-    )
+    """The place of each row in a seeded order of the whole table, the same on any partitioning."""
+    return seeded_places(t.table("orders").select("o_orderkey"), ["o_orderkey"], K.SEED)
 
 
+@query(
+    "split_with_null_groups",
+    f"""WITH g AS (SELECT event_id, nullif(event_type, 'click') AS kind FROM events)
+SELECT event_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {Q.shuffle_key("event_id")})
+  <= round_even(count(*) OVER (PARTITION BY kind) * 0.2::DOUBLE, 0) AS is_test FROM g""",
+)
+def split_with_null_groups(t: Tables):
+    """A group without a name is split like any other."""
+    rows = t.table("events").select("event_id", F.nullif("event_type", F.lit("click")).alias("kind"))
+    return exact_split(rows, 0.2, ["event_id"], ["kind"])
 
 
 def _values(t: Tables):
@@ -72,6 +76,13 @@ def _values(t: Tables):
 _QS = (0.05, 0.5, 0.99)
 
 
+def _horner(coefficients: tuple[float, ...]) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out}) * u + {c!r}::DOUBLE"
+    return out
+
+
 def _ppf_row(name: str, expr) -> str:
     cols = ", ".join(f"round({expr(q)}, 6) AS q{i}" for i, q in enumerate(_QS))
     return f"SELECT '{name}' AS distribution, round(mu, 6) AS mu, round(s, 6) AS scale, {cols} FROM {name}"
@@ -136,9 +147,17 @@ def distribution_cdf(t: Tables):
     return rows.select("doc_id", "laplace", "gumbel")
 
 
-@query("gaussian_cdf")
+@query(
+    "gaussian_cdf",
+    f"""WITH v AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x FROM documents),
+z AS (SELECT doc_id, x, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS z FROM v),
+a AS (SELECT doc_id, x, z, abs(z) AS u, exp(-z * z / 2) AS e FROM z),
+tail AS (SELECT doc_id, x, z, CASE WHEN u > 37 THEN 0
+  WHEN u < {D.NORMAL_SPLIT} THEN e * ({_horner(D.NORMAL_TOP)}) / ({_horner(D.NORMAL_BOTTOM)})
+  ELSE e / (u + 1 / (u + 2 / (u + 3 / (u + 4 / (u + 0.65))))) / sqrt(2 * pi()) END AS tail FROM a)
+SELECT doc_id, x, round(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 9) AS cdf FROM tail""",
+)
 def gaussian_cdf(t: Tables):
-    """DuckDB has no erf; checked in the tests against the standard library."""
     rows = attach(_values(t), D.fit(_values(t), "x", "gaussian"), [])
     value = D.cumulative("gaussian", F.col("mu"), F.col("scale"), F.col("x"))
     return rows.select("doc_id", "x", F.round(value, 9).alias("cdf"))
@@ -174,11 +193,11 @@ e AS (SELECT abs(pred - HI) / b AS x, abs(pred - HI) / b + ln(2 * b) AS nll FROM
 f AS (SELECT any_value(mu) AS mu, avg(abs(x - mu)) AS s FROM e, (SELECT avg(x) AS mu FROM e)),
 k AS (SELECT nll, x < mu - s * ln(2 - 2 * (1 - 0.01)) AS kept FROM e, f)
 SELECT round((sum(CASE WHEN kept THEN nll ELSE 0 END) + 1e-7) / (count(*) FILTER (kept) + 1e-7), 6) AS score,
-count(*) FILTER (kept) AS n_kept, count(*) AS n FROM k""",
+count(*) FILTER (kept) AS n_kept, count(*) AS n, 0::BIGINT AS n_unseen FROM k""",
 )
 def retention_masked_likelihood(t: Tables):
     scored = losses.rt_masked_likelihood(t.retention(), "pred", "HI", "Source")
-    return scored.select(F.round("score", 6).alias("score"), "n_kept", "n")
+    return scored.select(F.round("score", 6).alias("score"), "n_kept", "n", "n_unseen")
 
 
 _COSINES = f"""{Q.VECTORS},

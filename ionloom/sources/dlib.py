@@ -129,8 +129,9 @@ class LibraryReader(DataSourceReader):
                 out.append(RowRange(path, None, None))  # one task per shard: it is copied once
                 continue
             with _open(inner) as con:
-                last = con.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0] or 0
-            out += [RowRange(path, lo, lo + step) for lo in range(1, last + 1, step)]
+                first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            if first is not None:
+                out += [RowRange(path, lo, lo + step) for lo in range(first, last + 1, step)]
         return out or [RowRange("", None, None)]
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:

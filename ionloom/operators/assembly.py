@@ -173,6 +173,8 @@ def predicted_spectrum(
     ``nce`` for trap fragmentation) -> [n, 4 * 34].
     """
 
+    with_energy = nce is not None
+
     @arrow_udf(SPECTRUM)
     def assemble(
         parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]],
@@ -184,7 +186,7 @@ def predicted_spectrum(
                 z = z.to_numpy(zero_copy_only=False)
                 hot = (z[:, None] == np.arange(K.MIN_PRECURSOR_CHARGE, K.MAX_PRECURSOR_CHARGE + 1)).astype("float32")
                 inputs = [code_matrix(texts), hot]
-                if nce is not None:
+                if with_energy:
                     inputs.append(energy.to_numpy(zero_copy_only=False).astype("float32"))
                 cells = normalise_cells(predict(*inputs))
                 masses, possible = ion_masses(mods, z)

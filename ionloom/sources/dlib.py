@@ -145,13 +145,19 @@ class LibraryReader(DataSourceReader):
             values = [part.start, part.stop, *values]
         sql = f'SELECT {names} FROM "{self.table}"' + (f" WHERE {' AND '.join(where)}" if where else "")
         booleans = {i for i, f in enumerate(self.schema.fields) if f.dataType.typeName() == "boolean"}
+        # SQLite turns a text that looks like a number into one
+        texts = {i for i, f in enumerate(self.schema.fields) if f.dataType.typeName() == "string"}
         with _LocalCopy(part.path) as local:
             con = _open(local)
             try:
                 cursor = con.execute(sql, values)
                 while rows := cursor.fetchmany(ROWS_PER_BATCH):
                     columns = [
-                        [None if v is None else bool(v) for v in column] if i in booleans else column
+                        [None if v is None else bool(v) for v in column]
+                        if i in booleans
+                        else [v if v is None else str(v) for v in column]
+                        if i in texts
+                        else column
                         for i, column in enumerate(zip(*rows))
                     ]
                     arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ionloom.operators.frames import bounded_broadcast
+from ionloom.session import materialise
+
 RECORD_SEPARATOR = "\n>"
 
 
@@ -23,23 +26,44 @@ def parse_records(records: DataFrame, *carried: Column) -> DataFrame:
     )
 
 
+def raw_records(reader) -> DataFrame:
+    """Raw records of a (streaming) reader with the file and the split each comes from."""
+    return reader.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+
+
+def proteins_of(records: DataFrame) -> DataFrame:
+    """(ProteinAccession, sequence) of raw records.
+
+    Text before a file's first '>' is no record, and a record without a header is
+    dropped. Of records with one header the last one is kept, by file, then by
+    position in the file.
+    """
+    place = F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
+    placed = records.select("value", "file", "block", place.alias("place"))
+    # what a file opens with, where that is not a record; for most inputs there is none
+    opening = placed.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("_opening"))
+    stray = materialise(opening.where(~F.startswith("_opening", F.lit(">"))))
+    if not stray.isEmpty():
+        stray = bounded_broadcast(stray.withColumnRenamed("file", "_file"))
+        same = (F.col("file") == F.col("_file")) & (F.col("value") == F.col("_opening")) & (F.col("block") == 0)
+        placed = placed.join(stray, same, "left_anti")
+    parsed = parse_records(placed, F.col("place")).where(F.length("ProteinAccession") > 0)
+    return parsed.groupBy("ProteinAccession").agg(F.max_by("sequence", "place").alias("sequence"))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(ProteinAccession, sequence); of records with one header the last one is kept.
+    """(ProteinAccession, sequence); see ``proteins_of``.
 
     The reader splits files at record boundaries, so a file of any size is read
-    in parallel. "Last" is by file, then by position in the file.
+    in parallel.
     """
-    records = spark.read.option("lineSep", RECORD_SEPARATOR).text(path)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    placed = parse_records(records.select("value", place.alias("place")), F.col("place"))
-    return placed.groupBy("ProteinAccession").agg(F.max_by("sequence", "place").alias("sequence"))
+    return proteins_of(raw_records(spark.read.option("lineSep", RECORD_SEPARATOR).text(path)))
 
 
 def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA files that arrive in a folder, as a stream of proteins."""
-    records = spark.readStream.option("lineSep", RECORD_SEPARATOR).text(path)
-    return parse_records(records)
+    """FASTA files that arrive in a folder, as a stream of raw records for ``proteins_of``."""
+    return raw_records(spark.readStream.option("lineSep", RECORD_SEPARATOR).text(path))

@@ -19,13 +19,17 @@ def with_coded(rows: DataFrame) -> DataFrame:
 
 
 def read_rt_table(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
-    """A gzip file is one task to read, so its rows are spread before they are coded."""
+    """A gzip file is one task to read, so the rows of few files are spread before they are coded."""
     rows = spark.read.csv(path, sep="\t", header=True, schema=RT_TABLE)
-    return with_coded(rows.repartition(partitions or spark.sparkContext.defaultParallelism))
+    wanted = partitions or spark.sparkContext.defaultParallelism
+    return with_coded(rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted))
+
+
+MAX_SOURCES = 10_000    # a one-hot vector of more is refused
 
 
 def sorted_sources(rows: DataFrame, column: str = "Source") -> DataFrame:
     """All distinct sources in alphabetical order, as one array (fitted before any split)."""
-    return rows.select(column).distinct().agg(
-        F.array_sort(F.collect_list(column)).alias("sources")
-    )
+    found = rows.select(column).distinct().agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(column)).alias("sources"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_SOURCES} sources")).cast("array<string>")
+    return found.select(F.when(F.col("n") > MAX_SOURCES, too_many).otherwise(F.col("sources")).alias("sources"))

@@ -12,7 +12,8 @@ PARTITIONS = ["dataset", "frag_type", "nce"]
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    samples.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    """One folder per set; rows are brought together first, so a set has few files and a hot set is split."""
+    samples.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

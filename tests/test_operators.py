@@ -139,7 +139,7 @@ def test_exact_split(spark, fraction, parts):
     assert len(rows) == 1001 and sum(rows.values()) == round(1001 * fraction)
     import hashlib
 
-    order = sorted(range(1001), key=lambda i: hashlib.md5(f"2447:{i}".encode()).hexdigest())
+    order = sorted(range(1001), key=lambda i: hashlib.md5(f"2447;{len(str(i))}:{i}".encode()).hexdigest())
     assert {i for i, t in rows.items() if t} == set(order[: round(1001 * fraction)])
 
 

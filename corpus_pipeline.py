@@ -34,8 +34,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier does not predict as quality 1."""
     ship_package(spark)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.fit_quality(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*_judged(docs)).alias("doc"))
     found = quality.score_quality(whole, model, ["doc"], F.col("doc.text"))
     return found.where("predicted = 1").select("doc.*")

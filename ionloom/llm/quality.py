@@ -155,20 +155,21 @@ def _bags(texts: list[str]) -> tuple:
     return (pa.array([p.tobytes() for p in parts], pa.binary()),)
 
 
-def fit_quality(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:
-    """Fit on ``labelled`` (doc_id, text, quality); other labels than 0 and 1 are left out.
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:
+    """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, quality); only labels 0 and 1 count, each pair once.
 
-    About ``sample`` documents per label, picked by a hash, with whole texts. Their
-    passages are described on the cluster; the bounded sample is fitted on the driver.
+    About ``sample`` labels of each kind, picked by a hash, go to all tasks, so texts
+    stay where they are. The passages of those documents' whole texts are described on
+    the cluster, and that bounded sample is fitted on the driver.
     """
-    known = labelled.where(F.col("quality").isin(0, 1))
+    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int")).distinct()
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     rate = F.when(F.col("quality") == 1, min(1.0, sample / max(sizes.get(1, 0), 1))).otherwise(
         min(1.0, sample / max(sizes.get(0, 0), 1))
     )
-    rows = known.where(draw < rate)
-    bags = with_text_columns(rows, ["doc_id", "quality"], "text", _bags, [T.StructField("bag", T.BinaryType())])
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known.where(draw < rate)), "doc_id")
+    bags = with_text_columns(drawn, ["doc_id", "quality"], "text", _bags, [T.StructField("bag", T.BinaryType())])
     table = bags.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     features = [
         np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in table["bag"].to_pylist()

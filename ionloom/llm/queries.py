@@ -106,7 +106,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = language.held_out(F.col("doc_id"), 5, 0)
-    model = quality.fit_quality(docs.join(labels.where(~held_out), "doc_id"))
+    model = quality.fit_quality(docs, labels.where(~held_out))
     found = quality.score_quality(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -66,7 +66,11 @@ def spectral_scores(df: DataFrame, pred: str, true: str) -> DataFrame:
 def spectral_masked_score(
     df: DataFrame, pred: str, true: str, fdr: float = K.TRAIN_FDR
 ) -> DataFrame:
-    scored = spectral_scores(df, pred, true).select("cosine", "score")
+    return masked_score(spectral_scores(df, pred, true).select("cosine", "score"), fdr)
+
+
+def masked_score(scored: DataFrame, fdr: float = K.TRAIN_FDR) -> DataFrame:
+    """Mean of cosine and, without outliers, of score. Reads its input twice."""
     rows = mark_inliers(scored, "score", "gumbel", fdr)
     return rows.agg(
         masked_mean(F.col("score"), F.col("kept")).alias("score"),

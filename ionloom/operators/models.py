@@ -215,12 +215,13 @@ def load_fragment_model(table: DataFrame, frag_type: str = "HCD") -> FragmentMod
     fine = np.full((K.N_CHANNELS, charges, POSITION_BINS, states, states), np.nan, "float32")
     coarse = np.full((K.N_CHANNELS, charges, POSITION_BINS), np.nan, "float32")
     channel = np.zeros(K.N_CHANNELS, "float32")
+    for r in table.select("channel", "channel_mean").distinct().collect():     # one row per channel
+        channel[r["channel"]] = r["channel_mean"]
     for r in table.where(F.col("frag_type") == frag_type.upper()).toLocalIterator():
         z, b = r["charge"] - 1, min(r["position_bin"], POSITION_BINS - 1)
         left, right = K.SYMBOL_CODES.get(r["residue_left"], 0), K.SYMBOL_CODES.get(r["residue_right"], 0)
         fine[r["channel"], z, b, left, right] = r["mean"]
         coarse[r["channel"], z, b] = r["coarse_mean"]
-        channel[r["channel"]] = r["channel_mean"]
     return FragmentModel(fine, coarse, channel)
 
 

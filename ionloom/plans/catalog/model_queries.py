@@ -233,11 +233,37 @@ def fragment_model_scores(t: Tables):
     )
 
 
-@query("fragment_training")
+@query(
+    "fragment_training",
+    f"""WITH {_samples_sql()},
+split AS MATERIALIZED (SELECT spectrum_id, row_number() OVER (PARTITION BY dataset, frag_type, nce
+    ORDER BY {Q.shuffle_key("dataset", "frag_type", "nce", "coded_seq", "PrecursorCharge")})
+  <= round_even(count(*) OVER (PARTITION BY dataset, frag_type, nce) * 0.2::DOUBLE, 0) AS is_test FROM last_ones),
+cells AS MATERIALIZED (SELECT spectrum_id, is_test, channel, i, n, PrecursorCharge AS charge, frag_type, cell,
+  CASE WHEN channel % 2 = 0 THEN i ELSE n - i END AS cut, coded_seq FROM filled JOIN split USING (spectrum_id)),
+keyed AS MATERIALIZED (SELECT spectrum_id, is_test, channel, i, n, charge, frag_type, cell, floor(cut * 10 / n) AS bin,
+  coded_seq[cut + 1] AS l, coded_seq[cut + 2] AS r FROM cells),
+train AS (SELECT * FROM keyed WHERE NOT is_test AND cell >= 0 AND i < n),
+fine AS (SELECT channel, charge, frag_type, bin, l, r, avg(cell::DOUBLE) AS f FROM train GROUP BY ALL),
+coarse AS (SELECT channel, charge, frag_type, bin, avg(cell::DOUBLE) AS c FROM train GROUP BY ALL),
+whole AS (SELECT channel, avg(cell::DOUBLE) AS h FROM train GROUP BY ALL),
+scored AS (SELECT spectrum_id, cell::DOUBLE AS t, (cell::DOUBLE + 1.0) / (cell::DOUBLE + 1.0 + 1e-7::DOUBLE) AS m,
+  CASE WHEN i < n THEN coalesce(f, c, h, 0)::FLOAT::DOUBLE ELSE 0 END AS p
+  FROM (SELECT * FROM keyed WHERE is_test) LEFT JOIN fine USING (channel, charge, frag_type, bin, l, r)
+  LEFT JOIN coarse USING (channel, charge, frag_type, bin) LEFT JOIN whole USING (channel)),
+cosines AS (SELECT spectrum_id, sum(p * m * t * m) / sqrt(greatest(sum(p * m * p * m), 1e-7)) / sqrt(greatest(sum(t * m * t * m), 1e-7)) AS cosine
+  FROM scored GROUP BY spectrum_id),
+scores AS (SELECT cosine, ln(greatest(1 - cosine, 1e-7)) - ln(greatest(cosine, 1e-7)) AS score FROM cosines),
+g AS (SELECT avg(score) - 0.57721 * stddev_samp(score) * sqrt(6) / pi() AS mu, stddev_samp(score) * sqrt(6) / pi() AS s FROM scores),
+k AS (SELECT cosine, score, score < mu - s * ln(-ln(1 - 0.01)) AS kept FROM scores, g)
+SELECT round((sum(CASE WHEN kept THEN score ELSE 0 END) + 1e-7) / (count(*) FILTER (kept) + 1e-7), 3) AS score,
+round(avg(cosine), 5) AS mean_cosine, count(*) FILTER (kept) AS n_kept, count(*) AS n FROM k""",
+)
 def fragment_training(t: Tables):
-    """Split per dataset, fit, batched scoring and masked score of the test part."""
+    """Split per dataset, fit per type, batched scoring and masked score of the test part."""
     samples = samples_from_tables(t.spectra(), t.peaks(), "spectrum_id", "low").drop("spectrum_id")
-    return train_fragments(samples).evaluation
+    found = train_fragments(samples).evaluation
+    return found.select(F.round("score", 3).alias("score"), F.round("mean_cosine", 5).alias("mean_cosine"), "n_kept", "n")
 
 
 @query(

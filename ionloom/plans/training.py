@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ionloom import constants as K
 from ionloom.functions.encoding import integer_codes
 from ionloom.operators import losses, models
+from ionloom.operators.frames import union_frames
 from ionloom.operators.splits import exact_split
 from ionloom.plans.training_sets import sample_features
 from ionloom.session import materialise
@@ -42,23 +44,33 @@ def train_retention(
 @dataclass(frozen=True)
 class TrainedFragments:
     table: DataFrame
-    model: models.FragmentModel
-    evaluation: DataFrame
+    models: dict[str, models.FragmentModel]     # per fragmentation type
+    evaluation: DataFrame                       # score, mean_cosine, n_kept, n on the test part
 
 
 def train_fragments(
-    samples: DataFrame, frag_type: str = "HCD", fraction: float = K.VALIDATION_FRACTION,
+    samples: DataFrame, frag_types: Sequence[str] = ("HCD", "CID"), fraction: float = K.VALIDATION_FRACTION,
     seed: int = K.SEED, fdr: float = K.TRAIN_FDR,
 ) -> TrainedFragments:
-    """Split in each dataset, mean intensities per ion context, masked score on the test part."""
+    """Split in each dataset, mean intensities per ion context, masked score on the test part.
+
+    Every spectrum is scored with the means of its own fragmentation type. Samples of
+    other types than ``frag_types`` are an error.
+    """
     groups = ["dataset", "frag_type", "nce"]
+    samples = materialise(samples)      # read several times, but matched once
+    other = samples.where(~F.upper("frag_type").isin(*[t.upper() for t in frag_types]) | F.col("frag_type").isNull())
+    if not other.isEmpty():
+        raise ValueError(f"samples of other fragmentation types than {list(frag_types)}")
     split = materialise(exact_split(samples, fraction, [*groups, "coded_seq", "precursor_z"], groups, seed))
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     table = materialise(models.fit_fragments(models.ion_context(train)))
-    model = models.load_fragment_model(table, frag_type)
-    features = sample_features(test)
-    scored = features.withColumn(
-        "pred", models.score_fragments(model.make_model(), "codes", "charge", "nce")
-    ).withColumn("true", F.flatten("target"))
-    evaluation = losses.spectral_masked_score(scored, "pred", "true", fdr)
-    return TrainedFragments(table, model, evaluation)
+    fitted = {t.upper(): models.load_fragment_model(table, t) for t in frag_types}
+    parts = []
+    for frag_type, model in fitted.items():
+        features = sample_features(test.where(F.upper("frag_type") == frag_type))
+        pred = models.score_fragments(model.make_model(), "codes", "charge", "nce")
+        parts.append(features.select(F.flatten("target").alias("true"), pred.alias("pred")))
+    # scored once: the mask reads its input twice
+    scored = materialise(losses.spectral_scores(union_frames(*parts), "pred", "true").select("cosine", "score"))
+    return TrainedFragments(table, fitted, losses.masked_score(scored, fdr))

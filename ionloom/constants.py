@@ -103,6 +103,19 @@ PROTEASES = {
     "enterokinase": r"(?<=[DE]{3}K)(?=.)",
     "factor xa": r"(?<=[AFGILTVM][DE]GR)(?=.)",
     "granzyme b": r"(?<=IEPD)(?=.)",
+    "caspase 1": r"(?<=[FLWY]\w[AHT]D)(?=[^DEKPQR])",
+    "caspase 2": r"(?<=DVAD)(?=[^DEKPQR])",
+    "caspase 3": r"(?<=DMQD)(?=[^DEKPQR])",
+    "caspase 4": r"(?<=LEVD)(?=[^DEKPQR])",
+    "caspase 5": r"(?<=[LW]EHD)(?=.)",
+    "caspase 6": r"(?<=VE[HI]D)(?=[^DEKPQR])",
+    "caspase 7": r"(?<=DEVD)(?=[^DEKPQR])",
+    "caspase 8": r"(?<=[IL]ETD)(?=[^DEKPQR])",
+    "caspase 9": r"(?<=LEHD)(?=.)",
+    "caspase 10": r"(?<=IEAD)(?=.)",
+    "pepsin ph1.3": r"(?<=[^HKR][^P][^R])(?=[FL][^P])|(?<=[^HKR][^P][FL])(?=\w[^P])",
+    "pepsin ph2.0": r"(?<=[^HKR][^P][^R])(?=[FLWY][^P])|(?<=[^HKR][^P][FLWY])(?=\w[^P])",
+    "thrombin": r"(?<=GR)(?=G)|(?<=[AFGILMTV][AFGILMTVW]PR)(?=[^DE]{2})",
 }
 
 # --- Derived values ------------------------------------------------------------

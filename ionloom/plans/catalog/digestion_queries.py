@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ionloom import constants as K
@@ -81,6 +83,42 @@ def digest_per_protease(t: Tables):
     )
 
 
+def _site_sql(rule: str) -> str:
+    """Where a rule cuts, from the four residues before and the two after each place."""
+    sides = re.findall(r"\(\?<=(.*?)\)\(\?=(.*?)\)(?:\||$)", K.PROTEASES[rule])
+    either = " OR ".join(f"(regexp_matches(l, '({a})$') AND regexp_matches(r, '^({b})'))" for a, b in sides)
+    return f"SELECT '{rule}' AS protease, doc_id, i FROM places WHERE {either}"
+
+
+@query(
+    "digest_every_protease",
+    f"""WITH {Q.PROTEINS},
+places AS MATERIALIZED (SELECT doc_id, i, sequence[greatest(i - 3, 1):i] AS l, sequence[i + 1:i + 2] AS r
+  FROM (SELECT doc_id, sequence, unnest(range(1, length(sequence))) AS i FROM proteins)),
+sites AS ({" UNION ALL ".join(_site_sql(r) for r in K.PROTEASES)}),
+rules AS (SELECT unnest([{", ".join(repr(r) for r in K.PROTEASES)}]) AS protease),
+ends AS (SELECT * FROM sites UNION ALL SELECT protease, doc_id, 0 FROM rules, proteins
+  UNION ALL SELECT protease, doc_id, length(sequence) FROM rules, proteins WHERE length(sequence) > 0),
+next AS (SELECT *, lead(i) OVER w AS one, lead(i, 2) OVER w AS two FROM ends WINDOW w AS (PARTITION BY protease, doc_id ORDER BY i)),
+pieces AS (SELECT protease, doc_id, i, one AS j FROM next WHERE one - i BETWEEN {K.MIN_PEPTIDE_LEN} AND {K.MAX_PEPTIDE_LEN}
+  UNION ALL SELECT protease, doc_id, i, two FROM next WHERE two - i BETWEEN {K.MIN_PEPTIDE_LEN} AND {K.MAX_PEPTIDE_LEN}),
+found AS (SELECT DISTINCT protease, doc_id, sequence[i + 1:j] AS p FROM pieces JOIN proteins USING (doc_id))
+SELECT protease, doc_id, count(*) AS n_peptides, CAST(sum(length(p)) AS BIGINT) AS n_residues FROM found GROUP BY ALL""",
+)
+def digest_every_protease(t: Tables):
+    """Every rule of the table, each document in one pass."""
+    digests = F.array(
+        *[F.struct(F.lit(r).alias("protease"), P.digest("sequence", r).alias("found")) for r in K.PROTEASES]
+    )
+    found = t.proteins().select("doc_id", F.inline(digests)).where(F.size("found") > 0)
+    return found.select(
+        "protease",
+        "doc_id",
+        F.size("found").cast("bigint").alias("n_peptides"),
+        F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("n_residues"),
+    )
+
+
 TWO_MISSED = f"""{Q.PROTEINS}, {Q.fragments()},
 runs AS (
   SELECT doc_id, unnest(f) AS p FROM fragments UNION ALL
@@ -153,18 +191,17 @@ def decoy_sequences(t: Tables):
 
 @query(
     "target_decoy_union",
-    f"""WITH {Q.DIGEST} SELECT doc_id, 2 * count(*) AS n_rows, count(*) AS n_decoys FROM relation GROUP BY doc_id""",
+    f"""WITH {Q.DIGEST} SELECT doc_id, PeptideSeq, false AS isDecoy FROM relation
+UNION ALL SELECT doc_id, PeptideSeq[1] || reverse(PeptideSeq[2:-2]) || PeptideSeq[-1], true FROM relation""",
 )
 def target_decoy_union(t: Tables):
-    """Set union of separate target and decoy frames, by column name."""
-    targets = t.relation()
-    decoys = targets.select(
-        P.decoy("PeptideSeq").alias("PeptideSeq"), F.lit(True).alias("isDecoy"), "ProteinAccession"
-    )
-    return (
-        union_frames(targets, decoys)
-        .groupBy(F.col("ProteinAccession").cast("bigint").alias("doc_id"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("isDecoy").alias("n_decoys"))
+    """Set union of separate target and decoy frames, by column name; the targets have no flag yet."""
+    targets = t.relation().drop("isDecoy")
+    decoys = targets.select(F.lit(True).alias("isDecoy"), "ProteinAccession", P.decoy("PeptideSeq").alias("PeptideSeq"))
+    return union_frames(targets, decoys).select(
+        F.col("ProteinAccession").cast("bigint").alias("doc_id"),
+        "PeptideSeq",
+        F.coalesce("isDecoy", F.lit(False)).alias("isDecoy"),
     )
 
 

@@ -8,9 +8,10 @@ from ionloom import constants as K
 from ionloom.functions import encoding as E, masses as S
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
+from ionloom.plans.catalog.matching_queries import _SAMPLES_SQL
 from ionloom.plans.catalog.registry import query
 from ionloom.plans.catalog.tables import Tables
-from ionloom.plans.training_sets import retention_features, sample_features
+from ionloom.plans.training_sets import retention_features, sample_features, samples_from_tables
 from ionloom.sources.retention import sorted_sources
 
 # every kind of terminal and an unknown modification, chosen by the length
@@ -120,31 +121,29 @@ def retention_feature_table(t: Tables):
 
 @query(
     "sample_feature_table",
-    f"""WITH {Q.SPECTRA}
-SELECT spectrum_id, '-' || replace(PeptideSeq, 'C', 'c') || '_' AS coded_seq,
-array_to_string({Q.codes("'-' || replace(PeptideSeq, 'C', 'c') || '_'")}, ' ') AS codes,
+    f"""WITH {_SAMPLES_SQL}
+SELECT coded_seq, CAST(PrecursorCharge AS INTEGER) AS precursor_z,
+array_to_string({Q.codes("coded_seq")}, ' ') AS codes,
 array_to_string(list_transform(range(1, 7), lambda z: CASE WHEN z = PrecursorCharge THEN '1.0' ELSE '0.0' END), ' ') AS charge,
-CASE WHEN frag_type = 'hcd' THEN nce ELSE 0 END::FLOAT AS nce, frag_type = 'hcd' AS is_beam, 1.0::FLOAT AS weight FROM spectra""",
+CASE WHEN frag_type = 'hcd' THEN nce ELSE 0 END::FLOAT AS nce, frag_type = 'hcd' AS is_beam, 1.0::FLOAT AS weight,
+string_agg(CAST({Q.micro("cell::DOUBLE")} AS VARCHAR), ' ' ORDER BY channel, i) AS target
+FROM filled GROUP BY ALL""",
 )
 def sample_feature_table(t: Tables):
-    rows = t.spectra().select(
-        "spectrum_id",
-        E.coded_sequence("PeptideModSeq").alias("coded_seq"),
-        F.col("PrecursorCharge").alias("precursor_z"),
-        "frag_type",
-        "nce",
-        F.struct("spectrum_id").alias("ion_array"),
-    )
-    features = sample_features(rows)
+    """Model inputs of the training samples, with the ion matrix as target."""
+    samples = samples_from_tables(t.spectra(), t.peaks(), "spectrum_id", "low")
+    features = sample_features(samples)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    cells = F.transform(F.flatten("target"), lambda v: micro(v.cast("double")).cast("string"))
     return features.select(
-        F.col("target.spectrum_id").alias("spectrum_id"),
         "coded_seq",
+        "precursor_z",
         text("codes").alias("codes"),
         text("charge").alias("charge"),
         "nce",
         "is_beam",
         "weight",
+        F.array_join(cells, " ").alias("target"),
     )
 
 

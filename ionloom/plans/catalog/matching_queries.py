@@ -13,6 +13,7 @@ from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.registry import query
 from ionloom.plans.catalog.tables import Tables
 from ionloom.plans.training_sets import matched_channels, rejection, samples_from_tables
+from ionloom.session import materialise
 from ionloom.sources.samples import usable_samples
 
 
@@ -164,16 +165,18 @@ def base_peak_normalisation(t: Tables):
 
 @query(
     "last_spectrum_per_key",
-    """SELECT l_partkey, l_suppkey, max(l_orderkey * 8 + l_linenumber) AS peak_index, count(*) AS n_in
-FROM lineitem GROUP BY l_partkey, l_suppkey""",
+    """SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_comment_of FROM (
+SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_returnflag || l_linestatus AS l_comment_of,
+  row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_returnflag || l_linestatus DESC) AS place FROM lineitem) WHERE place = 1""",
 )
 def last_spectrum_per_key(t: Tables):
+    """The whole row of the last record of each key."""
     items = t.table("lineitem").select(
-        "l_partkey", "l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("peak_index")
+        "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity",
+        F.concat("l_returnflag", "l_linestatus").alias("l_comment_of"),
     )
-    last = last_per_key(items, ["l_partkey", "l_suppkey"], F.col("peak_index"))
-    counts = items.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n_in"))
-    return last.join(counts, ["l_partkey", "l_suppkey"])
+    order = F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_comment_of")
+    return last_per_key(items, ["l_partkey", "l_suppkey"], order)
 
 
 @query(
@@ -187,8 +190,8 @@ def new_peptides_for_library(t: Tables):
     from ionloom.functions.peptides import digest
 
     found = t.proteins().select("lang", F.explode(digest("sequence")).alias("PeptideSeq"))
-    library = found.where(F.col("lang") == "en").select("PeptideSeq")
-    candidates = found.where(F.col("lang") != "en").select("PeptideSeq").distinct()
+    found = materialise(found.groupBy("PeptideSeq").agg(F.bool_or(F.col("lang") == "en").alias("en"), F.bool_or(F.col("lang") != "en").alias("other")))
+    library, candidates = found.where("en").select("PeptideSeq"), found.where("other").select("PeptideSeq")
     return new_rows(candidates, library, ["PeptideSeq"])
 
 

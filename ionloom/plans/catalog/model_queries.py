@@ -9,9 +9,8 @@ from ionloom import constants as K
 from ionloom.functions import encoding as E, spectra as P
 from ionloom.operators import models
 from ionloom.operators.modification import expand_charges
-from ionloom.operators.frames import union_frames
 from ionloom.operators.splits import exact_split
-from ionloom.plans.build_library import build_library, save_library, score_entries
+from ionloom.plans.build_library import append_library, build_library, save_library, score_entries
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.registry import query
@@ -19,7 +18,8 @@ from ionloom.plans.catalog.tables import CAM, Tables
 from ionloom.plans.training import train_fragments, train_retention
 from ionloom.plans.training_sets import samples_from_tables
 from ionloom.session import materialise, scratch_path
-from ionloom.sources import library
+from ionloom.sources import blobs, library
+from ionloom.sources.dlib import read_dlib
 from ionloom.streaming.incremental import stream_library
 
 
@@ -43,6 +43,12 @@ def plain_fragment_model():
     return predict
 
 
+def trap_fragment_model():
+    """The same without an energy."""
+    predict = plain_fragment_model()
+    return lambda codes, charge: predict(codes, charge, np.zeros(len(codes)))
+
+
 _CODED = "'-' || replace(PeptideSeq, 'C', 'c') || '_'"
 _RT = f"""(list_sum(list_transform(list_zip({Q.codes(_CODED)}, range(0, 37)), lambda z: z[1] * (1 + z[2] % 7))) / 100.0::DOUBLE)"""
 
@@ -134,6 +140,50 @@ def library_entries(t: Tables):
     )
 
 
+@query(
+    "library_entries_without_energy",
+    f"""WITH {Q.MODIFIED}, {_CELLS.replace("z + 30", "z")}
+SELECT PeptideModSeq, z AS PrecursorCharge, count(*) FILTER (CAST(v::DOUBLE / top AS FLOAT) >= 0.001 AND 1 + channel // 2 <= z) AS n_peaks,
+CAST(sum(CASE WHEN CAST(v::DOUBLE / top AS FLOAT) >= 0.001 AND 1 + channel // 2 <= z THEN {Q.micro("CAST(v::DOUBLE / top AS FLOAT)::DOUBLE")} ELSE 0 END) AS BIGINT) AS intensity_micro
+FROM predicted JOIN tops USING (PeptideModSeq, z) WHERE pos < n GROUP BY ALL""",
+)
+def library_entries_without_energy(t: Tables):
+    """Trap fragmentation: the model takes no collision energy."""
+    entries = score_entries(t.peptides(), plain_retention_model, trap_fragment_model, CAM, beam=False)
+    return entries.select(
+        "PeptideModSeq",
+        "PrecursorCharge",
+        F.size("spectrum.mzs").cast("bigint").alias("n_peaks"),
+        F.aggregate("spectrum.intensities", F.lit(0).cast("bigint"), lambda a, v: a + micro(v.cast("double"))).alias("intensity_micro"),
+    )
+
+
+@query(
+    "library_exported_and_read_back",
+    f"""WITH {Q.MODIFIED}, {_CELLS}
+SELECT PeptideModSeq, PeptideSeq, z AS PrecursorCharge, round({_RT}, 6) AS RTInSeconds,
+count(*) FILTER (CAST(v::DOUBLE / top AS FLOAT) >= 0.001) AS n_peaks,
+CAST(sum(CASE WHEN CAST(v::DOUBLE / top AS FLOAT) >= 0.001 THEN {Q.micro("CAST(v::DOUBLE / top AS FLOAT)::DOUBLE")} ELSE 0 END) AS BIGINT) AS intensity_micro
+FROM predicted JOIN tops USING (PeptideModSeq, z) JOIN modified USING (PeptideModSeq) WHERE pos < n
+  AND PeptideSeq IN (SELECT p.PeptideSeq FROM relation p JOIN documents USING (doc_id) WHERE lang = 'es') GROUP BY PeptideModSeq, PeptideSeq, z""",
+)
+def library_exported_and_read_back(t: Tables):
+    """A library built, saved as Parquet, exported as library files and read from them: the Spanish proteins."""
+    base, files = scratch_path(t.spark, "built"), scratch_path(t.spark, "exported")
+    spanish = t.proteins().where(F.col("lang") == "es").select("ProteinAccession", "sequence")
+    save_library(t.spark, build_library(spanish, plain_retention_model, plain_fragment_model), base)
+    library.export_library(t.spark, base, files)
+    back = read_dlib(t.spark, files).withColumn("s", blobs.unpack_arrays())
+    return back.select(
+        "PeptideModSeq",
+        "PeptideSeq",
+        "PrecursorCharge",
+        F.round("RTInSeconds", 6).alias("RTInSeconds"),
+        F.size("s.mzs").cast("bigint").alias("n_peaks"),
+        F.aggregate("s.intensities", F.lit(0).cast("bigint"), lambda a, v: a + micro(v.cast("double"))).alias("intensity_micro"),
+    )
+
+
 def _retention_rows(t: Tables):
     return t.retention().withColumn("CodedPeptideSeq", E.coded_sequence("PeptideModSeq"))
 
@@ -268,12 +318,20 @@ def fragment_training(t: Tables):
 
 @query(
     "library_grown_by_stream",
-    f"""WITH {Q.DIGEST}
-SELECT 'entries' AS name, 2 * count(DISTINCT PeptideSeq) AS n_rows, 2 * count(DISTINCT PeptideSeq) AS n_distinct FROM relation
-UNION ALL SELECT 'peptidetoprotein', count(*), count(*) FROM relation""",
+    f"""WITH {Q.VARIANTS}, {Q.RESIDUES},
+forms AS MATERIALIZED (SELECT PeptideSeq, PeptideModSeq,
+  (length(PeptideModSeq) - length(replace(PeptideModSeq, '{Q.CAM_TEXT}', ''))) // {len(Q.CAM_TEXT)} AS n_cam,
+  (length(PeptideModSeq) - length(replace(PeptideModSeq, '{Q.OX_TEXT}', ''))) // {len(Q.OX_TEXT)} AS n_ox FROM variants),
+letters AS (SELECT PeptideSeq, unnest(string_split(PeptideSeq, '')) AS residue FROM (SELECT DISTINCT PeptideSeq FROM forms)),
+base AS (SELECT PeptideSeq, CAST(sum(nano) AS BIGINT) AS nano FROM letters JOIN residue_mass USING (residue) GROUP BY 1),
+owners AS (SELECT PeptideSeq, count(*) AS n_proteins FROM relation GROUP BY PeptideSeq)
+SELECT PeptideModSeq, z AS PrecursorCharge, n_proteins,
+  round({Q.mz("(nano + " + str(K.WATER_NANO) + " + n_cam * 57021464000 + n_ox * 15994915000)", "z")}, 6) AS PrecursorMz
+FROM forms JOIN base USING (PeptideSeq) JOIN owners USING (PeptideSeq), (VALUES (2), (3), (4)) c(z) WHERE z = 4 OR n_ox = 0""",
 )
 def library_grown_by_stream(t: Tables):
-    """A library of the English documents; FASTA files of all documents then arrive as a stream."""
+    """A library of the English documents; FASTA files of all documents arrive as a stream, and then
+    all are appended again with another charge and a variable modification."""
     proteins = t.proteins().select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("ProteinAccession"), "sequence", "lang"
     )
@@ -284,11 +342,12 @@ def library_grown_by_stream(t: Tables):
     stream_library(
         t.spark, incoming, base, scratch_path(t.spark, "progress"), plain_retention_model, plain_fragment_model, create=False
     ).awaitTermination()
-    keys = {"entries": ["PeptideModSeq", "PrecursorCharge"], "peptidetoprotein": ["PeptideSeq", "ProteinAccession"]}
-    counts = [
-        library.read_table(t.spark, base, name).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.lit(name).alias("name"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")
-        )
-        for name, key in keys.items()
-    ]
-    return union_frames(*counts)
+    append_library(
+        t.spark, proteins, base, plain_retention_model, plain_fragment_model, charges=[4], variable={"M": K.MOD_MASSES["Ox"]}
+    )
+    relation = library.read_table(t.spark, base, "peptidetoprotein")
+    owners = relation.groupBy("PeptideSeq").agg(F.count(F.lit(1)).alias("n_proteins"))
+    entries = library.read_table(t.spark, base, "entries")
+    return entries.join(owners, "PeptideSeq").select(
+        "PeptideModSeq", "PrecursorCharge", "n_proteins", F.round("PrecursorMz", 6).alias("PrecursorMz")
+    )

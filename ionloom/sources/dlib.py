@@ -1,24 +1,27 @@
 """Library files (SQLite) as a Spark data source: ``spark.read.format("dlib")``.
 
-Reading: each file is cut into rowid ranges, one task each; ``columns`` limits
-what is selected and simple filters become a WHERE clause.
+Reading: a large file is cut into rowid ranges, one task each, and small files are
+read several to a task; ``columns`` limits what is selected and simple filters
+become a WHERE clause.
 
-Writing: every task writes one complete library file (a shard with all three
-tables), which the driver only renames on commit. SQLite has a single writer,
+Writing: every task writes complete library files of bounded size (shards with all
+three tables), which the driver only renames on commit. SQLite has a single writer,
 so one file for a whole library would be one task.
 
-Files on a remote file system are copied to the task's own scratch space first.
+Shards are made in memory, and files on a remote file system are read into memory,
+so no task needs a folder of its own. Paths are full URIs: ``read_dlib`` and
+``write_dlib`` resolve a plain path by the cluster's own file system settings.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import sqlite3
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -41,61 +44,64 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ionloom import constants as K
+from ionloom.session import qualified
 from ionloom.sources.schemas import LIBRARY_TABLES, table_schema
 
 SUFFIX = ".dlib"
 ROWS_PER_PARTITION = 100_000
+ROWS_PER_SHARD = 50_000         # about 100 MB of spectra in memory
 ROWS_PER_BATCH = 2_048
+LARGE_BYTES = 128 << 20         # a larger file on a local disk is read by ranges of rows
+PACKED_BYTES = 8 << 20          # smaller files are read together, about so many bytes a task
 SQL_TYPES = {"integer": "int", "double": "double", "string": "string", "binary": "blob", "boolean": "boolean"}
 COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), os.path.abspath(path)
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
-def _library_files(path: str) -> list[str]:
+    """The file system of a full URI (see ``session.qualified``) and the path in it."""
+    scheme, found, _ = path.partition("://")
+    if not found:
+        raise ValueError(f"not a full URI: {path}")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), path.removeprefix("file://")
+    # the same store by the name that this library knows
+    return pafs.FileSystem.from_uri("s3" + path[len(scheme) :] if scheme in ("s3a", "s3n") else path)
+
+
+def _library_files(path: str) -> list[tuple[str, int]]:
+    """(URI, bytes) of a library file, or of those in a folder."""
     fs, inner = _file_system(path)
-    if fs.get_file_info(inner).type == pafs.FileType.File:
-        return [path]
+    info = fs.get_file_info(inner)
+    if info.type == pafs.FileType.File:
+        return [(path, info.size)]
     found = fs.get_file_info(pafs.FileSelector(inner))
-    names = sorted(f.base_name for f in found if f.base_name.endswith(SUFFIX))
-    return [f"{path.rstrip('/')}/{name}" for name in names]
-
+    names = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(SUFFIX))
+    return [(f"{path.rstrip('/')}/{name}", size) for name, size in names]
 
-class _LocalCopy:
-    """A readable local path of a library file for the time of one task."""
 
-    def __init__(self, path: str):
-        self.path, self.folder = path, None
-
-    def __enter__(self) -> str:
-        fs, inner = _file_system(self.path)
-        if isinstance(fs, pafs.LocalFileSystem):
-            return inner
-        self.folder = tempfile.mkdtemp()
-        local = os.path.join(self.folder, "copy" + SUFFIX)
-        pafs.copy_files(inner, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        return local
-
-    def __exit__(self, *_):
-        if self.folder:
-            shutil.rmtree(self.folder, ignore_errors=True)
+def _connect(path: str) -> sqlite3.Connection:
+    """A library file for reading: in place on a local disk, else from memory."""
+    fs, inner = _file_system(path)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return sqlite3.connect(f"file:{quote(inner)}?mode=ro", uri=True)
+    con = sqlite3.connect(":memory:")
+    with fs.open_input_stream(inner) as source:
+        con.deserialize(source.read())
+    return con
 
 
-def _open(local: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{local}?mode=ro", uri=True)
+@dataclass
+class RowRange:
+    path: str
+    start: int | None = None
+    stop: int | None = None
 
 
 @dataclass
-class RowRange(InputPartition):
-    path: str
-    start: int | None
-    stop: int | None
+class Ranges(InputPartition):
+    """What one task reads: a range of rows of a large file, or several small files."""
+
+    ranges: list[RowRange]
 
 
 class LibraryReader(DataSourceReader):
@@ -121,22 +127,29 @@ class LibraryReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        step = int(self.options.get("rows_per_partition", ROWS_PER_PARTITION))
-        out = []
-        for path in _library_files(self.options["path"]):
-            fs, inner = _file_system(path)
-            if not isinstance(fs, pafs.LocalFileSystem):
-                out.append(RowRange(path, None, None))  # one task per shard: it is copied once
+        step = self.options.get("rows_per_partition")
+        out, held, size = [], [], 0
+        for path, n_bytes in _library_files(self.options["path"]):
+            local = isinstance(_file_system(path)[0], pafs.LocalFileSystem)
+            if local and (step or n_bytes > LARGE_BYTES):   # only large files are opened here
+                rows = int(step or ROWS_PER_PARTITION)
+                with closing(_connect(path)) as con:
+                    first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+                if first is not None:
+                    out += [Ranges([RowRange(path, lo, lo + rows)]) for lo in range(first, last + 1, rows)]
                 continue
-            with _open(inner) as con:
-                first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-            if first is not None:
-                out += [RowRange(path, lo, lo + step) for lo in range(first, last + 1, step)]
-        return out or [RowRange("", None, None)]
-
-    def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+            held.append(RowRange(path))
+            size += n_bytes
+            if size >= PACKED_BYTES:
+                out.append(Ranges(held))
+                held, size = [], 0
+        return out + [Ranges(held)] if held or not out else out
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for found in part.ranges:
+            yield from self._read_range(found)
+
+    def _read_range(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.schema)
         names = ", ".join(f'"{n}"' for n in self.schema.names)
         where, values = list(self.where), list(self.values)
@@ -147,28 +160,24 @@ class LibraryReader(DataSourceReader):
         booleans = {i for i, f in enumerate(self.schema.fields) if f.dataType.typeName() == "boolean"}
         # SQLite turns a text that looks like a number into one
         texts = {i for i, f in enumerate(self.schema.fields) if f.dataType.typeName() == "string"}
-        with _LocalCopy(part.path) as local:
-            con = _open(local)
-            try:
-                cursor = con.execute(sql, values)
-                while rows := cursor.fetchmany(ROWS_PER_BATCH):
-                    columns = [
-                        [None if v is None else bool(v) for v in column]
-                        if i in booleans
-                        else [v if v is None else str(v) for v in column]
-                        if i in texts
-                        else column
-                        for i, column in enumerate(zip(*rows))
-                    ]
-                    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-            finally:
-                con.close()
+        with closing(_connect(part.path)) as con:
+            cursor = con.execute(sql, values)
+            while rows := cursor.fetchmany(ROWS_PER_BATCH):
+                columns = [
+                    [None if v is None else bool(v) for v in column]
+                    if i in booleans
+                    else [v if v is None else str(v) for v in column]
+                    if i in texts
+                    else column
+                    for i, column in enumerate(zip(*rows))
+                ]
+                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
 @dataclass
-class Shard(WriterCommitMessage):
-    name: str | None
+class Shards(WriterCommitMessage):
+    names: list[str]
 
 
 class LibraryWriter(DataSourceArrowWriter):
@@ -182,45 +191,54 @@ class LibraryWriter(DataSourceArrowWriter):
     def _pending(self, name: str) -> str:
         return f"{self.path}/.pending-{self.job}/{name}"
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Shard:
-        folder = tempfile.mkdtemp()
-        try:
-            local = os.path.join(folder, "shard" + SUFFIX)
-            con, count = sqlite3.connect(local), 0
-            for table in LIBRARY_TABLES:
-                columns = ", ".join(
-                    f'"{f.name}" {SQL_TYPES[f.dataType.typeName()]}' for f in table_schema(table).fields
-                )
-                con.execute(f'CREATE TABLE "{table}" ({columns})')
-            if self.table != "metadata":
-                con.execute("INSERT INTO metadata VALUES ('version', ?)", (K.LIBRARY_VERSION,))
-            names = ", ".join(f'"{n}"' for n in self.schema.names)
-            marks = ", ".join("?" * len(self.schema.names))
-            insert = f'INSERT INTO "{self.table}" ({names}) VALUES ({marks})'
-            for batch in batches:
-                con.executemany(insert, zip(*[c.to_pylist() for c in batch.columns]))
-                count += batch.num_rows
-            con.commit()
-            con.close()
-            if not count:
-                return Shard(None)
-            # a task that runs twice writes two names; only the committed one is renamed
-            name = f"{self.table}-{uuid.uuid4().hex}{SUFFIX}"
-            fs, inner = _file_system(self._pending(name))
-            fs.create_dir(os.path.dirname(inner), recursive=True)
-            pafs.copy_files(local, inner, source_filesystem=pafs.LocalFileSystem(), destination_filesystem=fs)
-            return Shard(name)
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
+    def _shard(self) -> sqlite3.Connection:
+        """An empty library in memory."""
+        con = sqlite3.connect(":memory:")
+        for table in LIBRARY_TABLES:
+            columns = ", ".join(
+                f'"{f.name}" {SQL_TYPES[f.dataType.typeName()]}' for f in table_schema(table).fields
+            )
+            con.execute(f'CREATE TABLE "{table}" ({columns})')
+        if self.table != "metadata":
+            con.execute("INSERT INTO metadata VALUES ('version', ?)", (K.LIBRARY_VERSION,))
+        return con
+
+    def _store(self, con: sqlite3.Connection) -> str:
+        # a task that runs twice writes two names; only the committed one is renamed
+        name = f"{self.table}-{uuid.uuid4().hex}{SUFFIX}"
+        con.commit()
+        fs, inner = _file_system(self._pending(name))
+        fs.create_dir(os.path.dirname(inner), recursive=True)
+        with fs.open_output_stream(inner) as out:
+            out.write(con.serialize())
+        con.close()
+        return name
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
+        """Shards of bounded size, made in memory, so that no task needs a folder of its own."""
+        names = ", ".join(f'"{n}"' for n in self.schema.names)
+        marks = ", ".join("?" * len(self.schema.names))
+        insert = f'INSERT INTO "{self.table}" ({names}) VALUES ({marks})'
+        done, con, count = [], None, 0
+        for batch in batches:
+            if con is None:
+                con, count = self._shard(), 0
+            con.executemany(insert, zip(*[c.to_pylist() for c in batch.columns]))
+            count += batch.num_rows
+            if count >= ROWS_PER_SHARD:
+                done.append(self._store(con))
+                con = None
+        if con is not None and count:
+            done.append(self._store(con))
+        return Shards(done)
 
     def commit(self, messages) -> None:
         fs, base = _file_system(self.path)
         fs.create_dir(base, recursive=True)
         old = _library_files(self.path) if self.overwrite else []
-        for message in messages:
-            if message is not None and message.name:
-                fs.move(_file_system(self._pending(message.name))[1], f"{base}/{message.name}")
-        for path in old:
+        for name in [n for message in messages if message is not None for n in message.names]:
+            fs.move(_file_system(self._pending(name))[1], f"{base}/{name}")
+        for path, _ in old:
             fs.delete_file(_file_system(path)[1])
         self._drop_pending()
 
@@ -234,7 +252,7 @@ class LibraryWriter(DataSourceArrowWriter):
 
 
 class LibraryFiles(DataSource):
-    """Options: ``path`` (file or folder), ``table``, ``columns``, ``rows_per_partition``."""
+    """Options: ``path`` (full URI of a file or folder), ``table``, ``columns``, ``rows_per_partition``."""
 
     @classmethod
     def name(cls) -> str:
@@ -259,7 +277,7 @@ def register(spark: SparkSession) -> None:
 
 def read_dlib(spark: SparkSession, path: str, table: str = "entries", columns: list[str] | None = None):
     register(spark)
-    reader = spark.read.format("dlib").option("path", path).option("table", table)
+    reader = spark.read.format("dlib").option("path", qualified(spark, path)).option("table", table)
     if columns:
         reader = reader.option("columns", ",".join(columns))
     return reader.load()
@@ -269,6 +287,6 @@ def write_dlib(df, path: str, table: str = "entries", overwrite: bool = True) ->
     from ionloom.sources.library import conform
 
     register(df.sparkSession)
-    conform(df, table, packed=True).write.format("dlib").option("path", path).option("table", table).mode(
+    conform(df, table, packed=True).write.format("dlib").option("path", qualified(df.sparkSession, path)).option("table", table).mode(
         "overwrite" if overwrite else "append"
     ).save()

@@ -1,10 +1,13 @@
 import gzip
 import os
 import random
+import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ionloom.session import qualified
 from ionloom.sources import blobs, library
 from ionloom.sources.dlib import read_dlib, write_dlib
 from ionloom.sources.fasta import read_fasta
@@ -90,7 +93,7 @@ def test_dlib_round_trip(spark, tmp_path):
     assert some.columns == ["PeptideModSeq", "PrecursorCharge"]
     assert some.where("PrecursorCharge = 2 and PeptideModSeq in ('PEPTIDE2', 'PEPTIDE3')").count() == 1
     assert some.where("PrecursorCharge >= 2 and PrecursorCharge < 3").count() == 14
-    ranges = spark.read.format("dlib").option("path", path).option("rows_per_partition", 5).load()
+    ranges = spark.read.format("dlib").option("path", qualified(spark, path)).option("rows_per_partition", 5).load()
     assert ranges.rdd.getNumPartitions() >= 12 and ranges.count() == 57
     # every shard is a complete library
     assert {r["Value"] for r in read_dlib(spark, path, "metadata").collect()} == {"0.1.14"}
@@ -143,3 +146,44 @@ def test_samples(spark, tmp_path):
         df.limit(2).select("coded_seq").coalesce(1).write.parquet(str(tmp_path / "flat" / name))
     named = read_named_samples(spark, str(tmp_path / "flat"))
     assert {tuple(r) for r in named.select("dataset", "frag_type", "nce").distinct().collect()} == {("d1", "HCD", 30.0), ("d2", "CID", 35.0)}
+
+
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_library_files_by_any_path(spark, tmp_path, prefix, monkeypatch):
+    from ionloom.sources import dlib
+
+    folder = prefix + str(tmp_path / "a b")
+    rows = spark.range(300, numPartitions=20).select(F.col("id").cast("string").alias("PeptideSeq"), F.lit("x").alias("ProteinAccession"), F.lit(True).alias("isDecoy"))
+    dlib.write_dlib(rows, folder, "peptidetoprotein")
+    back = dlib.read_dlib(spark, folder, "peptidetoprotein")
+    assert {int(r["PeptideSeq"]) for r in back.collect()} == set(range(300))
+    assert back.rdd.getNumPartitions() == 1      # twenty small shards, one task
+    with pytest.raises(ValueError):
+        dlib._file_system("/user/me/library")
+
+
+def test_shards_are_bounded(spark, tmp_path, monkeypatch):
+    from ionloom.sources import dlib
+
+    monkeypatch.setattr(dlib, "ROWS_PER_SHARD", 100)
+    writer = dlib.LibraryWriter(dlib.table_schema("metadata"), {"path": f"file://{tmp_path}", "table": "metadata"}, False)
+    batches = [pa.record_batch([["k"] * 60, ["v"] * 60], names=["Key", "Value"]) for _ in range(4)]
+    done = writer.write(iter(batches))
+    assert len(done.names) == 2
+    writer.commit([done])
+    assert dlib.read_dlib(spark, str(tmp_path), "metadata").count() == 240
+
+
+def test_files_of_another_store_are_read_into_memory(tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+
+    from ionloom.sources import dlib
+
+    con = sqlite3.connect(tmp_path / "a.dlib")
+    con.execute("CREATE TABLE t (x int)")
+    con.execute("INSERT INTO t VALUES (4)")
+    con.commit()
+    con.close()
+    store = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    monkeypatch.setattr(dlib, "_file_system", lambda path: (store, "a.dlib"))
+    assert dlib._connect("far://a.dlib").execute("SELECT x FROM t").fetchall() == [(4,)]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ionloom.llm.files import written
+from ionloom.llm.rows import slices
 from ionloom.llm.tokens import blocks, encode_texts
 
 CAPACITY = 2048
@@ -35,7 +36,7 @@ def _pieces(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, capacity: int
 ) -> Iterator[pa.RecordBatch]:
     end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
-    for batch in batches:
+    for batch in slices(batches):
         texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
         for start, stop in blocks(texts):
             for i, ids in enumerate(encode_texts(path, texts[start:stop]), start):

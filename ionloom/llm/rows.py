@@ -11,12 +11,20 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ionloom.llm.tokens import blocks
 
 
-def _apply(batches: Iterator[pa.RecordBatch], compute: Callable, columns: list[str]) -> Iterator[pa.RecordBatch]:
+SLICE_ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that only few texts are Python strings at a time."""
     for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _apply(batches: Iterator[pa.RecordBatch], compute: Callable, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
         parts = [compute(texts[start:stop]) for start, stop in blocks(texts)]
-        if not parts:
-            continue
         new = [pa.concat_arrays([pa.array(p[i]) for p in parts]) for i in range(len(parts[0]))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=columns)
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ionloom.llm.files import locate, new_file, shared_folder, written
+from ionloom.llm.rows import slices
 from ionloom.llm.tokens import blocks, encode_texts
 
 LENGTH = 2048               # ids in a sequence
@@ -106,7 +107,7 @@ def _write_shards(
     end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
     names = [part.split()[0] for part in MANIFEST.split(", ")]
     writer, done = None, []
-    for batch in batches:
+    for batch in slices(batches):
         keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for start, stop in blocks(texts):
             for key, ids in zip(keys[start:stop], encode_texts(path, texts[start:stop]), strict=True):

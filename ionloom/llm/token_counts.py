@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ionloom.llm.rows import with_text_columns
+from ionloom.llm.rows import slices, with_text_columns
 from ionloom.llm.tokens import TextEncoder, blocks, id_counts
 
 TABLE_ENTRIES = 50_000      # pre-tokens in the broadcast table
@@ -41,7 +41,7 @@ class LengthTable:
 def _summaries(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The most frequent pre-tokens of a task, with counts that may be short for rare ones."""
     encoder, counts = TextEncoder(path, id_counts), Counter()
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column(0).to_pylist()]
         for start, stop in blocks(texts):
             for text in texts[start:stop]:

@@ -27,10 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while True:
         both = current.unionByName(current.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the aggregates are tables, so each join reads two plain scans and AQE can split a hot node
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v"))
-        large = large.where(u != v).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where(u != v).distinct(), "large")
+        root = written(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         small = large.join(root, "u").select(v.alias("u"), F.col("m").alias("v"))
         small = small.unionByName(root.select("u", F.col("m").alias("v")))
         following = written(small.where(u != v).distinct(), "edges")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ionloom.session import materialise
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -23,17 +23,31 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(4 * cores)
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a *materialised* frame for broadcast if it has at most ``limit`` rows.
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a *materialised* frame's values: whole texts and arrays, and a word for any other value."""
+    width = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct", "variant"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            width = width + 8
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a *materialised* frame for broadcast if it has at most ``limit`` bytes.
 
     Beyond the limit the frame is returned unmarked and joins by shuffle, where
     AQE splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def attach(
-    df: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
+    df: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Add the columns of a per-key table to every row (NULL where a key is missing).
 
@@ -84,7 +98,7 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame
 
 
 def new_rows(
-    candidates: DataFrame, existing: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
+    candidates: DataFrame, existing: DataFrame, keys: Sequence[str], limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Candidates whose key is not in ``existing``.
 
@@ -93,7 +107,7 @@ def new_rows(
     """
     wanted = materialise(candidates.select(*keys).distinct())
     present = existing.select(*keys)
-    if wanted.limit(limit + 1).count() <= limit:
+    if measured_bytes(wanted) <= limit:
         present = present.join(F.broadcast(wanted), list(keys), "left_semi").distinct()
     return candidates.join(present, list(keys), "left_anti")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from ionloom import constants as K
 from ionloom.functions.expr import col
@@ -73,8 +73,8 @@ def code_matrix(coded: pa.Array) -> np.ndarray:
     return out
 
 
-def prefix_masses(modseqs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, b masses [n, 34] padded with 0, whole masses) in nano-daltons."""
+def residue_sums(modseqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first residue of each text and one more, running masses of all residues from 0) in nano-daltons."""
     data, starts = _bytes(modseqs)
     opened, closed = data == _OPEN, data == _CLOSE
     inside = np.cumsum(opened) - np.cumsum(closed) > 0
@@ -99,11 +99,40 @@ def prefix_masses(modseqs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
         some = np.diff(first) > 0
         values[first[:-1][some]] += start_delta[some]
 
-    sums = np.concatenate([[0], np.cumsum(values)])
+    return first, np.concatenate([[0], np.cumsum(values)])
+
+
+LADDER = StructType([StructField("b", ArrayType(LongType())), StructField("y", ArrayType(LongType()))])
+
+
+@arrow_udf(LADDER)
+def ladder_arrays(modseqs: pa.Array) -> pa.Array:
+    """struct(b, y) as ``functions.masses.ladder_nano`` gives it, for a batch of peptides of any length.
+
+    NULL, and a residue without a mass, give NULL.
+    """
+    none = modseqs.is_null().to_numpy(zero_copy_only=False)
+    texts = modseqs.fill_null("")
+    first, sums = residue_sums(texts)
+    n_ions = np.maximum(np.diff(first) - 1, 0)
+    starts = np.concatenate([[0], np.cumsum(n_ions)])
+    owner = np.repeat(np.arange(len(texts)), n_ions)
+    ion = np.arange(starts[-1]) - starts[owner]
+    b = sums[first[owner] + ion + 1] - sums[first[owner]]
+    whole = sums[first[1:]] - sums[first[:-1]] + K.WATER_NANO
+    y = whole[owner] - b[starts[owner] + n_ions[owner] - 1 - ion]
+    offsets = pa.array(starts.astype("int32"))
+    series = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (b, y)]
+    return pa.StructArray.from_arrays(series, names=["b", "y"], mask=pa.array(none | unweighed(texts)))
+
+
+def prefix_masses(modseqs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, b masses [n, 34] padded with 0, whole masses) in nano-daltons."""
+    first, sums = residue_sums(modseqs)
     lengths = np.diff(first)
     ions = np.arange(1, K.MAX_IONS + 1)
     real = ions < lengths[:, None]
-    b = np.where(real, sums[np.minimum(first[:-1, None] + ions, len(values))] - sums[first[:-1], None], 0)
+    b = np.where(real, sums[np.minimum(first[:-1, None] + ions, len(sums) - 1)] - sums[first[:-1], None], 0)
     return lengths, b, sums[first[1:]] - sums[first[:-1]] + K.WATER_NANO
 
 

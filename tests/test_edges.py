@@ -141,3 +141,14 @@ def test_normal_cdf(spark):
     got = df.select("z", distributions.cumulative("gaussian", F.lit(0.0), F.lit(1.0), F.col("z")).alias("p")).collect()
     for r in got:
         assert r["p"] == pytest.approx(0.5 * (1 + erf(r["z"] / sqrt(2))), abs=1e-13)
+
+
+def test_ladder_in_batches_equals_the_column_form(spark):
+    texts = ["AAK", "[+42.010565]AAC[+57.021464]K", "K", "", None, "[+1.5]", "AM[+15.994915][+1.0]K", "G" * 60 + "K", "AC[-17.0]", "QS[+79.966331]T[+79.966331]R"]
+    df = spark.createDataFrame([(t,) for t in texts], "m string").coalesce(1)
+    got = df.select("m", assembly.ladder_arrays("m").alias("a"), masses.ladder_nano("m").alias("l")).collect()
+    for r in got:
+        if r["m"] and r["l"]["b"] is not None:
+            assert (r["a"]["b"], r["a"]["y"]) == (r["l"]["b"], r["l"]["y"]), r["m"]
+    assert [r["a"] for r in got if r["m"] is None] == [None]
+    assert spark.createDataFrame([("AUK",)], "m string").select(assembly.ladder_arrays("m").alias("a")).first()["a"] is None

@@ -141,30 +141,36 @@ def edited_fingerprints(
     document is followed by the first. Where an id repeats, every row gives a row,
     and the next document is the row of the next larger id with the smallest SHA-256.
 
-    Texts are shuffled once, with their sketches; only heads go to their neighbours.
+    Texts are shuffled once, and only heads and sketches go to their neighbours. A
+    text's own sketch is made on both sides of that, which costs less than moving it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+
+    def key(c: str) -> list[Column]:
+        """An id as two columns without nulls, so grouping and joining by them share a shuffle."""
+        return [F.coalesce(c, F.lit(0)).cast("long").alias("key"), F.isnull(c).alias("no_key")]
+
+    keys = ["key", "no_key"]
+    named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # both joins read just these columns, so they share the one shuffle of the texts
+    rows = named.select(*key("doc_id"), "text")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    links = neighbours(rows.groupBy("doc_id").agg(F.max(quarter).alias("quarter")), "doc_id")
+    links = neighbours(named.groupBy("doc_id").agg(F.max(quarter).alias("quarter")), "doc_id")
     links = written(links, "neighbours")
-    wanted = links.select(
-        F.col("next_id").alias("id"), F.col("doc_id").alias("reader"), F.col("quarter").alias("wanted")
-    )
-    sketched = rows.withColumn("sketch", sketch(F.col("text"), k, words))
+    reader = [c.alias(f"reader_{k}") for c, k in zip(key("doc_id"), keys, strict=True)]
+    wanted = links.select(*key("next_id"), *reader, F.col("quarter").alias("wanted"))
+    own = sketch(F.col("text"), k, words)
     heads = (
-        sketched.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("reader", F.expr("left(text, wanted)").alias("head"), F.sha2("text", 256).alias("rank"), F.col("sketch").alias("next_sketch"))
-        .groupBy("reader")
+        rows.join(wanted, keys)
+        .select(*[F.col(f"reader_{k}").alias(k) for k in keys], F.expr("left(text, wanted)").alias("head"), F.sha2("text", 256).alias("rank"), own.alias("next_sketch"))
+        .groupBy(*keys)
         .agg(F.min_by(F.struct("head", "next_sketch"), "rank").alias("next"))
     )
     n = F.char_length("text")
-    edited = F.concat(
-        F.left(F.col("text"), n - quarter), F.left(F.col("next.head"), quarter)
-    )
+    edited = F.concat(F.left(F.col("text"), n - quarter), F.left(F.col("next.head"), quarter))
     both = (
-        sketched.join(heads, F.col("doc_id").eqNullSafe(F.col("reader")))
-        .select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.next_sketch").alias("next_sketch"), edited.alias("edited"))
+        rows.join(heads, keys)
+        .select(F.when(~F.col("no_key"), F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), own.alias("sketch"), F.col("next.next_sketch").alias("next_sketch"), edited.alias("edited"))
         .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), k, words).alias("edited_sketch"))
     )
     return both.select(

@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ionloom.llm.files import locate, shared_folder
 
 BITS = 64
-TREES = 16
+TREES = 48
 SHARD_ROWS = 8_192
-SHARE = 0.6                 # matches of all trees together at which they stop, as a share of a shard
+SHARE = 1.0                 # matches of all trees together at which they stop, as a share of a shard
 LEAST = 400                 # and at least so many
 QUERY_ROWS = 1_024          # queries searched at a time
 

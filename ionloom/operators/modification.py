@@ -23,8 +23,9 @@ def choose_sites(
     if not variable or max_sites < 1:
         return out
     out = out.withColumn("_open", M.mod_sites("PeptideSeq", variable))
-    if max_sites > K.MAX_PEPTIDE_LEN:
-        raise ValueError(f"at most {K.MAX_PEPTIDE_LEN} variable sites can be chosen")
+    if max_sites > K.MAX_PEPTIDE_LEN:   # no more rounds than the rows have sites
+        most = peptides.agg(F.max(F.size(M.mod_sites("PeptideSeq", variable)))).first()[0]
+        max_sites = min(max_sites, most or 0)
     for _ in range(max_sites):
         stop = F.array(F.lit(-1))
         taken = F.col("_taken")

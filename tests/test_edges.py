@@ -71,10 +71,9 @@ def test_rowids_below_one_are_read(spark, tmp_path):
     assert read_dlib(spark, path, "metadata").count() == 3
 
 
-def test_site_limit_is_an_error(spark):
-    df = spark.createDataFrame([("MMM",)], "PeptideSeq string")
-    with pytest.raises(ValueError):
-        modification.choose_sites(df, {"M": 16.0}, 36)
+def test_sites_are_bounded_by_the_rows(spark):
+    df = spark.createDataFrame([("MMM" + "A" * 40 + "MM",)], "PeptideSeq string")
+    assert modification.choose_sites(df, {"M": 16.0}, 100).count() == 2**5
 
 
 def test_unknown_residues_have_no_value(spark):

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ionloom.llm.components import components
 from ionloom.llm.files import written
+from ionloom.llm.memory import worker_cache
 from ionloom.llm.rows import with_text_columns
 
 WORDS = 5
@@ -41,22 +42,16 @@ BANDS, ROWS = 28, 6
 BLOCK_DOCS = 512            # classes in a block
 BLOCK_SHINGLES = 500_000    # and their n-grams
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 500_000
-
-_WORD_CODES: dict[str, int] = {}
-
+CACHE_WORDS = 300_000
 
 def word_codes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, through a bounded cache."""
-    words = WORD.findall(text.lower())
-    if len(_WORD_CODES) > CACHE_WORDS:
-        _WORD_CODES.clear()
-    try:
-        return np.fromiter(map(_WORD_CODES.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for word in set(words).difference(_WORD_CODES):
-            _WORD_CODES[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(_WORD_CODES.__getitem__, words), np.uint64, len(words))
+    words, codes = WORD.findall(text.lower()), worker_cache(("words",), dict)
+    if len(codes) > CACHE_WORDS:
+        codes.clear()
+    for word in set(words).difference(codes):
+        codes[word] = xxhash.xxh3_64_intdigest(word)
+    return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ionloom.llm.codes import SPACE, hashed, padded_letters
+from ionloom.llm.memory import bounded_batches
 from ionloom.llm.rows import with_text_columns
 from ionloom.llm.tokens import blocks
 
@@ -118,6 +119,7 @@ def fit_languages(train: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModel:
     languages are counted in full. Counts are added up on the cluster, and only the
     model, whose size is that of its buckets and languages, comes to the driver.
     """
+    bounded_batches(train.sparkSession)
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)

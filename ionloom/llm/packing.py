@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ionloom.llm.files import written
+from ionloom.llm.memory import bounded_batches
 from ionloom.llm.rows import slices
 from ionloom.llm.tokens import blocks, encode_texts
 
@@ -107,6 +108,7 @@ def pack_documents(
     text_col: str = "text",
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = partial(_pieces, path=path, end_id=end_id, capacity=capacity)
     pieces = written(rows.mapInArrow(cut, PIECES), "pieces")

@@ -8,6 +8,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ionloom.llm.memory import bounded_batches
 from ionloom.llm.tokens import blocks
 
 
@@ -37,6 +38,7 @@ def with_text_columns(
     fields: Sequence[T.StructField],
 ) -> DataFrame:
     """The columns ``keep`` and the arrays that ``compute`` gives for blocks of texts (null: empty)."""
+    bounded_batches(df.sparkSession)
     rows = df.select(*keep, (F.col(text) if isinstance(text, str) else text).alias("_text"))
     shape = [*rows.schema.fields[:-1], *fields]
     # by place while Python works, so that no name clashes and a dot is no path

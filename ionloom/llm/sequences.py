@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ionloom.llm.files import locate, new_file, shared_folder, written
+from ionloom.llm.memory import bounded_batches
 from ionloom.llm.rows import slices
 from ionloom.llm.tokens import blocks, encode_texts
 
@@ -136,6 +137,7 @@ def write_sequences(
     The manifest is a table in the shared folder: files that a lost or repeated task
     left behind are in no manifest and are never read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     parts = max(
         int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ionloom.llm.memory import bounded_batches, worker_cache
 from ionloom.llm.rows import slices, with_text_columns
 from ionloom.llm.tokens import TextEncoder, blocks, id_counts
 
@@ -90,14 +91,11 @@ class Shared:
         return self.broadcast.value
 
 
-_COUNTERS: dict[tuple, TextEncoder] = {}
-
-
 def _counts(texts: list[str], path: str, table) -> tuple:
-    if (path, table.id) not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[path, table.id] = TextEncoder(path, id_counts, known=table.value.lookup())
-    return (np.array(_COUNTERS[path, table.id].encode(texts, sum), dtype=np.int64),)
+    encoder = worker_cache(
+        ("counts", path, table.id), lambda: TextEncoder(path, id_counts, known=table.value.lookup())
+    )
+    return (np.array(encoder.encode(texts, sum), dtype=np.int64),)
 
 
 def count_tokens(
@@ -109,6 +107,7 @@ def count_tokens(
     entries: int = TABLE_ENTRIES,
 ) -> DataFrame:
     """Per row: its id, bytes, tokens, and whether it has more than ``limit`` tokens."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text")

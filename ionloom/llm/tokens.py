@@ -10,8 +10,10 @@ from contextlib import suppress
 
 import numpy as np
 
+from ionloom.llm.memory import worker_cache
+
 BATCH_CHARS = 1_000_000     # texts are encoded in blocks of about this size
-CACHE_ENTRIES = 500_000     # pre-tokens in each half of a worker's cache
+CACHE_ENTRIES = 400_000     # pre-tokens in each half of a worker's cache
 JOINED = 2_000              # new pre-tokens encoded in one call
 
 # Letters, numbers and white space below U+0250. Texts with other characters go to the
@@ -152,14 +154,9 @@ def id_counts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int
     return (ends - starts).tolist()
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
-
-
 def byte_encoder(path: str) -> TextEncoder:
     """One encoder per worker process, kept from task to task."""
-    if ("bytes", path) not in _ENCODERS:
-        _ENCODERS["bytes", path] = TextEncoder(path, id_bytes)
-    return _ENCODERS["bytes", path]
+    return worker_cache(("ids", path), lambda: TextEncoder(path, id_bytes))
 
 
 def encode_texts(path: str, texts: Sequence[str | None]) -> list[bytes]:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ionloom.llm.files import locate, new_file, shared_folder, written
+from ionloom.llm.memory import bounded_batches
 
 ARC_BYTES, ARC_RECORDS = 64 << 20, 20_000     # a task opens a new archive beyond these
 REVISIT_BYTES = 100                          # shorter payloads are never revisits
@@ -246,6 +247,7 @@ def _write_arcs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
 
 def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
     """Pages (page_id, url, html) as ARC files of both versions; returns the manifest (path, n)."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return written(rows.mapInArrow(partial(_write_arcs, folder=folder), "path string, n long"), "arcs")
 

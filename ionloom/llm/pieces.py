@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from ionloom.llm.memory import worker_cache
 from ionloom.llm.rows import with_text_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0      # fixed value of the format: below the smallest score
-CACHE_UNITS = 400_000       # units in each half of a worker's cache
+CACHE_UNITS = 600_000       # units in each half of a worker's cache
 BEST = 4
 
 
@@ -56,13 +57,14 @@ class PieceModel:
         self.unknown = self.library.unk_id()
         scores = {n: self.library.get_score(i) for n, i in self.ids.items()}
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.trie: tuple[dict, float | None] = ({}, None)   # (next character -> node, score if a piece ends here)
+        # (next character -> node, score and id if a piece ends here)
+        self.trie: tuple[dict, float | None, int] = ({}, None, -1)
         for name, score in scores.items():
             path = [self.trie]
             for c in name:
-                path.append(path[-1][0].setdefault(c, ({}, None)))
+                path.append(path[-1][0].setdefault(c, ({}, None, -1)))
             parent = path[-2][0]
-            parent[name[-1]] = (parent[name[-1]][0], score)
+            parent[name[-1]] = (parent[name[-1]][0], score, self.ids[name])
         self.surface = [b"" if s else n.replace(MARK, " ").encode() for n, s in zip(names, special, strict=True)]
         for value, i in self.bytes.items():
             self.surface[i] = bytes([value])
@@ -89,20 +91,20 @@ class PieceModel:
     def units(self, normalised: str) -> list[str]:
         return self.unit.findall(normalised) if self.unit else [normalised] if normalised else []
 
-    def edges(self, unit: str) -> list[tuple[int, int, float]]:
-        """(from, to, score) of every piece in the unit, by place, shortest first.
+    def edges(self, unit: str) -> list[tuple[int, int, float, int]]:
+        """(from, to, score, id) of every piece in the unit, by place, shortest first.
 
-        A character that is no piece by itself gets an edge with the unknown score.
+        A character that is no piece by itself gets an edge with the unknown score and id -1.
         """
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, float, int]] = []
         root, unknown, n = self.trie[0], self.unknown_score, len(unit)
         for i in range(n):
             node, j = root.get(unit[i]), i + 1
             if node is None or node[1] is None:
-                out.append((i, j, unknown))
+                out.append((i, j, unknown, -1))
             while node is not None:
                 if node[1] is not None:
-                    out.append((i, j, node[1]))
+                    out.append((i, j, node[1], node[2]))
                 if j == n:
                     break
                 node = node[0].get(unit[j])
@@ -112,24 +114,28 @@ class PieceModel:
     def solve(self, unit: str) -> tuple[bytes, int, float, float]:
         """Ids of the best segmentation, their number, its score, and what the second best loses."""
         edges, n = self.edges(unit), len(unit)
-        forward, came = [0.0] + [-np.inf] * n, [0] * (n + 1)
-        for i, j, value in edges:
+        forward, came = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        for edge in edges:
+            i, j, value, _ = edge
             value += forward[i]
             if value > forward[j]:
-                forward[j], came[j] = value, i
-        cuts, after = [n], [0] * (n + 1)
-        while cuts[-1]:
-            after[came[cuts[-1]]] = cuts[-1]
-            cuts.append(came[cuts[-1]])
+                forward[j], came[j] = value, edge
+        path, after, j = [], [0] * (n + 1), n
+        while j:
+            path.append(came[j])
+            i = came[j][0]
+            after[i], j = j, i
         backward, second = [-np.inf] * n + [0.0], -np.inf
-        for i, j, value in reversed(edges):
+        for i, j, value, _ in reversed(edges):
             value += backward[j]
             if value > backward[i]:
                 backward[i] = value
             # any other segmentation has an edge that the best has not
             if forward[i] + value > second and after[i] != j:
                 second = forward[i] + value
-        ids = self.ids_of(unit, cuts[::-1])
+        ids = [edge[3] for edge in reversed(path)]
+        if -1 in ids:
+            ids = self.ids_of(unit, [0, *[edge[1] for edge in reversed(path)]])
         return id_bytes(ids), len(ids), forward[n], forward[n] - second
 
     def ids_of(self, unit: str, cuts: Sequence[int]) -> list[int]:
@@ -151,7 +157,7 @@ class PieceModel:
         edges, size = self.edges(unit), len(unit)
         forward: list[float] = [0.0] + [-np.inf] * size
         into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for i, j, value in edges:
+        for i, j, value, _ in edges:
             forward[j] = max(forward[j], forward[i] + value)
             into[j].append((i, value))
         # (minus what the whole will score, position, order, score so far, cuts from here to the end);
@@ -181,11 +187,14 @@ class PieceModel:
 
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text (fewer if there are fewer): score and ids as bytes."""
-        units = self.units(self.library.normalize(text))
+        return self.encode_normalised(self.library.normalize(text), n)
+
+    def encode_normalised(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
+        units = self.units(text)
         self._learn(set(units))
-        found = list(map(self.cache.__getitem__, units))
-        parts, score = [f[0] for f in found], sum(f[2] for f in found)
-        loss = [f[3] for f in found]
+        columns = zip(*map(self.cache.__getitem__, units), strict=True) if units else ((), (), (), ())
+        parts, _, scores, loss = map(list, columns)
+        score = sum(scores)
         free = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__) if n > 1 else []
         free = [i for i in free if loss[i] < np.inf]
         choices = [self.n_best(units[i], n) for i in free]
@@ -214,14 +223,9 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
     """One model per worker process, kept from task to task."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return worker_cache(("pieces", path), lambda: PieceModel(path))
 
 
 FIELDS = [
@@ -237,8 +241,8 @@ FIELDS = [
 def _encode(texts: list[str], path: str, n: int) -> tuple:
     model, rows = piece_model(path), []
     for text in texts:
-        best = model.encode(text, n)
-        whole = model.library.normalize(text).replace(MARK, " ")
+        normalised = model.library.normalize(text)
+        best, whole = model.encode_normalised(normalised, n), normalised.replace(MARK, " ")
         decoded = model.decode(best[0][1])
         same = decoded == (whole[1:] if model.prefix and whole.startswith(" ") else whole)
         sums = [zlib.crc32(ids) for _, ids in best]

@@ -148,15 +148,16 @@ def _roots(found: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(rows: list[tuple], threshold: float) -> list[tuple]:
+def _compare(unit: tuple | None, rows: list[tuple], threshold: float) -> list[tuple]:
     """Links and forest of one unit of work: rows are (class, copies, side, set)."""
     rows = list({r[0]: r for r in rows}.values())
-    if len(rows) < 2:
+    within = unit is not None and unit[1:3] == unit[3:5]
+    if len(rows) < 2 or not within and len({r[2] for r in rows}) < 2:
         return []
     rows.sort(key=lambda r: r[0])
     found = linked([np.frombuffer(r[3], np.uint64) for r in rows], threshold)
-    side = np.array([r[2] for r in rows])
-    if side.any() and not side.all():   # two blocks: pairs within each are another unit's
+    if not within:      # two blocks: pairs within each are another unit's, also if the other block is empty
+        side = np.array([r[2] for r in rows])
         found &= side[:, None] != side[None]
     copies = np.array([r[1] for r in rows], np.int64)
     root = _roots(found)
@@ -182,13 +183,13 @@ def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
             if row[:5] != unit:
-                out += _compare(held, threshold)
+                out += _compare(unit, held, threshold)
                 unit, held = row[:5], []
             held.append(row[5:])
         if len(out) > 10_000:
             yield flush()
             out = []
-    out += _compare(held, threshold)
+    out += _compare(unit, held, threshold)
     yield flush()
 
 

@@ -162,6 +162,19 @@ def test_join_of_one_hot_group(spark, monkeypatch):
     assert got == brute_join(rows) and got[0] == (0, 149)
 
 
+@pytest.mark.parametrize("texts", [2, 3])
+def test_join_of_blocks_of_one_text(spark, monkeypatch, texts):
+    """Few texts of many n-grams: some of the hash blocks are empty."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 210)
+    rows = []
+    for g in range(12):
+        words = sentence(70 + g, 200).split()
+        rows += [(10 * g + i, " ".join([*words, *[f"w{i}"] * (i % 2)])) for i in range(texts)]
+        rows.append((10 * g + 9, " ".join(words[:170])))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute_join(rows)
+
+
 def test_join_of_awkward_rows(awkward, empty):
     got = Counter(map(tuple, jaccard.jaccard_join(awkward).collect()))
     assert got[(6, 1, 1, 2)] == 2 and got[(1, 1, 1, 2)] == 1

@@ -41,13 +41,15 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies, once; a document without an id stays."""
+    """Keeps one row of each group of near copies, of the smallest id; one without an id if none has one."""
     ship_package(spark)
-    groups = jaccard.jaccard_join(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64(*_judged(docs)))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_place", F.row_number().over(same_id))
-    return kept.where("_place = 1").select(*_judged(docs)).unionByName(docs.where(F.col("doc_id").isNull()))
+    first = jaccard.first_of_groups(docs.select("doc_id", "text"))
+    whole = docs.select(F.struct(*_judged(docs)).alias("doc"))
+    doc_id, text_hash = F.col("doc.doc_id").cast("long"), jaccard.text_hash(F.col("doc.text"))
+    of_first = doc_id.eqNullSafe(F.col("first_id")) & (text_hash == F.col("first_hash"))
+    same_text = Window.partitionBy(doc_id, text_hash).orderBy(F.xxhash64("doc"))
+    kept = whole.join(first, of_first, "left_semi").withColumn("place", F.row_number().over(same_text))
+    return kept.where("place = 1").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

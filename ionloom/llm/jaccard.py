@@ -13,9 +13,10 @@ split by set size and by hash into blocks of bounded size, and each pair of bloc
 is one unit of work, which returns counts and a spanning forest, never the pairs.
 
 Null text counts as empty. Texts without words are copies of each other. Repeated
-rows are copies. A null id gives a row and counts as a copy, but stands for a class
-only if no other member has an id. ``doc_id`` has to identify a text: where rows of
-one id differ in text, their classes count as one. Other columns are ignored.
+rows are copies. Classes have keys of their own, so rows without an id are linked
+like any other, and rows of one id that differ in text stay apart; ids only name the
+result. A null id names a class or a group only if no member has an id. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ionloom.llm.components import components
 from ionloom.llm.files import written
 from ionloom.llm.memory import worker_cache
 from ionloom.llm.rows import with_text_columns
+from ionloom.operators.frames import bounded_broadcast
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -103,6 +105,11 @@ def _signatures(texts: list[str], words: int, bands: int, rows: int) -> tuple:
     return sizes, pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))
 
 
+def text_hash(text: Column) -> Column:
+    """With the id it tells which rows hold a text."""
+    return F.xxhash64(text)
+
+
 def _sets(texts: list[str], words: int) -> tuple:
     return (pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary()),)
 
@@ -149,7 +156,7 @@ def _roots(found: np.ndarray) -> np.ndarray:
 
 
 def _compare(unit: tuple | None, rows: list[tuple], threshold: float) -> list[tuple]:
-    """Links and forest of one unit of work: rows are (class, copies, side, set)."""
+    """Links and forest of one unit of work: rows are (class key, copies, side, set)."""
     rows = list({r[0]: r for r in rows}.values())
     within = unit is not None and unit[1:3] == unit[3:5]
     if len(rows) < 2 or not within and len({r[2] for r in rows}) < 2:
@@ -166,7 +173,7 @@ def _compare(unit: tuple | None, rows: list[tuple], threshold: float) -> list[tu
 
 
 UNIT = "comp long, sa int, a int, sb int, b int"
-LINKS = "class_id long, links long, root long"
+LINKS = "key long, links long, root long"
 
 
 def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -176,7 +183,7 @@ def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["class_id", "links", "root"]
+            [pa.array(c, pa.int64()) for c in columns], names=["key", "links", "root"]
         )
 
     for batch in batches:
@@ -194,7 +201,7 @@ def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
 
 
 def _units(members: DataFrame, threshold: float) -> DataFrame:
-    """Each member (class_id, comp, n, copies) once per unit of work it belongs to, with its side.
+    """Each member (key, comp, n, copies) once per unit of work it belongs to, with its side.
 
     Sets of sizes p <= q reach the threshold only if p >= threshold * q, so sizes are
     cut into bands of that ratio, and only equal or adjacent bands meet.
@@ -208,7 +215,7 @@ def _units(members: DataFrame, threshold: float) -> DataFrame:
     above = blocks.select("comp", (F.col("s") - 1).alias("s"), F.col("blocks").alias("above"))
     below = blocks.select("comp", (F.col("s") + 1).alias("s"), F.col("blocks").alias("below"))
     shape = blocks.join(above, ["comp", "s"], "left").join(below, ["comp", "s"], "left")
-    mine = F.pmod(F.xxhash64("class_id"), F.col("blocks").cast("bigint")).cast("int")
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks").cast("bigint")).cast("int")
 
     def upto(n):
         n = F.coalesce(F.col(n), F.lit(0))
@@ -226,59 +233,56 @@ def _units(members: DataFrame, threshold: float) -> DataFrame:
     return (
         banded.join(shape, ["comp", "s"])
         .withColumn("mine", mine)
-        .select("class_id", "comp", "copies", F.explode(units).alias("unit"))
-        .select("class_id", "comp", "copies", "unit.*")
+        .select("key", "comp", "copies", F.explode(units).alias("unit"))
+        .select("key", "comp", "copies", "unit.*")
     )
 
 
-def jaccard_join(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = WORDS,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Per row: doc_id, class_id, copy_class, n_links.
+def _joined(
+    docs: DataFrame, threshold: float, words: int, bands: int, rows: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, digest), and each class (digest, first, group, class_id, copy_class, n_links).
 
-    ``class_id`` is the smallest id that the document reaches over links, ``copy_class``
-    the smallest with the same n-grams, and ``n_links`` the number of other documents
-    whose similarity is at least the threshold, copies included.
+    ``first`` is the smallest (no_id, doc_id, text_hash) of the class; ``group`` is equal
+    for classes that reach each other.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("text_hash", text_hash(F.col("text")))
     fields = [
         T.StructField("n", T.IntegerType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
     compute = partial(_signatures, words=words, bands=bands, rows=rows)
-    signed = written(with_text_columns(texts, ["doc_id"], "text", compute, fields), "signatures")
+    signed = written(with_text_columns(texts, ["doc_id", "text_hash"], "text", compute, fields), "signatures")
+    # the keys are fixed because the classes are a table
     classes = written(
         signed.groupBy("digest").agg(
-            F.min("doc_id").alias("class_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
-        ),
+        ).withColumn("key", F.monotonically_increasing_id()),
         "classes",
     )
-    keys = classes.where(F.col("class_id").isNotNull()).select(
-        "class_id", F.posexplode("bands").alias("band", "hash")
-    ).select("class_id", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = keys.groupBy("bucket").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"))
+    keys = classes.select("key", F.posexplode("bands").alias("band", "hash"))
+    keys = keys.select("key", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = keys.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     buckets = buckets.where(F.col("least") < F.col("most")).select("bucket", "least")
-    candidates = components(keys.join(buckets, "bucket").select(F.col("class_id").alias("u"), F.col("least").alias("v")))
+    candidates = components(keys.join(buckets, "bucket").select(F.col("key").alias("u"), F.col("least").alias("v")))
     members = written(
-        candidates.select(F.col("u").alias("class_id"), F.col("root").alias("comp")).join(
-            classes.groupBy("class_id").agg(F.max("n").alias("n"), F.sum("copies").alias("copies")), "class_id"
+        candidates.select(F.col("u").alias("key"), F.col("root").alias("comp")).join(
+            classes.select("key", "n", "copies", "first"), "key"
         ),
         "members",
     )
-    units = _units(members, threshold)
+    units = _units(members.drop("first"), threshold)
+    first = members.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    first = bounded_broadcast(written(first, "firsts"))     # while it is small, the texts are not shuffled
+    of_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     sets = with_text_columns(
-        texts.join(members.select("class_id"), F.col("doc_id") == F.col("class_id")),
-        ["class_id"],
+        texts.join(first, of_first).groupBy("key").agg(F.first("text").alias("text")),
+        ["key"],
         "text",
         partial(_sets, words=words),
         [T.StructField("set", T.BinaryType())],
@@ -286,24 +290,55 @@ def jaccard_join(
     order = [part.split()[0] for part in UNIT.split(", ")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = (
-        units.join(sets, "class_id")
-        .select(*order, "class_id", "copies", "side", "set")
+        units.join(sets, "key")
+        .select(*order, "key", "copies", "side", "set")
         .repartition(parts, *order)
         .sortWithinPartitions(*order)
     )
     found = written(work.mapInArrow(partial(_compare_units, threshold=threshold), LINKS), "links")
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
-    groups = groups.select(F.col("u").alias("class_id"), F.col("root").alias("group"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    groups = groups.select(F.col("u").alias("key"), F.col("root").alias("group"))
+    named = groups.join(classes.select("key", "first"), "key").groupBy("group").agg(F.min("first.doc_id").alias("group_id"))
+    named = written(named, "groups")
     known = (
-        classes.select("digest", "class_id", "copies")
-        .join(links, "class_id", "left")
-        .join(groups, "class_id", "left")
+        classes.select("digest", "key", "first", "copies")
+        .join(links, "key", "left")
+        .join(groups, "key", "left")
+        .join(named, "group", "left")
         .select(
             "digest",
-            F.coalesce("group", "class_id").alias("class_id"),
-            F.col("class_id").alias("copy_class"),
+            "first",
+            F.coalesce("group", "key").alias("group"),
+            F.coalesce("group_id", "first.doc_id").alias("class_id"),
+            F.col("first.doc_id").alias("copy_class"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    return signed.select("doc_id", "digest").join(known, "digest").drop("digest")
+    return signed.select("doc_id", "digest"), known
+
+
+def jaccard_join(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Per row: doc_id, class_id, copy_class, n_links.
+
+    ``class_id`` is the smallest id that the document reaches over links, ``copy_class``
+    the smallest with the same n-grams, and ``n_links`` the number of other documents
+    whose similarity is at least the threshold, copies included.
+    """
+    signed, known = _joined(docs, threshold, words, bands, rows, id_col, text_col)
+    return signed.join(known, "digest").select("doc_id", "class_id", "copy_class", "n_links")
+
+
+def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """first_id, first_hash: the smallest id (null last) and ``text_hash`` of each group of near copies."""
+    known = _joined(docs, threshold, WORDS, BANDS, ROWS, id_col, text_col)[1]
+    first = known.groupBy("group").agg(F.min("first").alias("first"))
+    return first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))

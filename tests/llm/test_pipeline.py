@@ -76,6 +76,16 @@ def test_stages_with_awkward_rows(spark, folder, awkward, empty):
     assert left == {1: 1, 2: 1, 5: 1, None: 1, 9: 1}
 
 
+def test_near_copies_of_null_and_repeated_ids(spark, folder):
+    a, b, c, d = (words(60, 900 + i) for i in range(4))
+    rows = [(None, a), (None, a), (None, a + " x"), (None, b + " x"), (8, b), (5, c), (5, d), (5, d), (6, c + " z"), (7, d + " z")]
+    docs = spark.createDataFrame(rows, DOC).withColumn("place", F.lit(7)).withColumn("_place", F.lit(8)).withColumn("a.b", F.lit(9))
+    left = pipeline.keep_one_of_near_copies(spark, docs, folder)
+    assert left.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"] if r["doc_id"] else r["text"][:50], r["place"], r["_place"]) for r in left.collect())
+    assert left == Counter({(None, a[:50], 7, 8): 1, (8, b, 7, 8): 1, (5, c, 7, 8): 1, (5, d, 7, 8): 1})
+
+
 @here
 def test_registered_names():
     names = {n: entry.queries()[n] for n in entry.queries() if n.startswith("op") or n == "pipeline"}

@@ -183,6 +183,16 @@ def test_join_of_awkward_rows(awkward, empty):
     assert jaccard.jaccard_join(empty).collect() == []
 
 
+def test_join_of_null_and_repeated_ids(spark):
+    """Near copies of rows without an id, and different texts of one id."""
+    a, b, c = (sentence(90 + i, 60) for i in range(3))
+    rows = [(None, a), (None, a), (None, a + " x"), (8, a + " y"), (5, b), (5, c), (6, b + " z"), (7, c + " z"), (None, sentence(95, 60)), (None, sentence(95, 60) + " x")]
+    got = Counter(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, DOC).repartition(3)).collect()))
+    assert got == Counter({
+        (None, 8, None, 3): 3, (8, 8, 8, 3): 1, (5, 5, 5, 1): 2, (6, 5, 6, 1): 1, (7, 5, 7, 1): 1, (None, None, None, 1): 2,
+    })
+
+
 def test_linked_pairs_of_frequent_and_rare_grams():
     rng = np.random.default_rng(3)
     core = rng.integers(1 << 60, size=120, dtype=np.uint64)

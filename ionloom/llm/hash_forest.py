@@ -11,9 +11,10 @@ For inner products of unequal norms vectors get one more component that makes th
 norms equal, which leaves the order of products as it is.
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows without
-an id, take no part. A repeated id is one query, and never its own neighbour; as a
-candidate it appears once, with its best score. Vectors of different length are never
-compared. Ties go to the smaller id.
+an id, take no part. A repeated id is one query, of all its vectors, and never its own
+neighbour; as a candidate it appears once, with its best score. The search counts ids,
+not rows, and where its candidates hold fewer than k ids, the whole shard is scored.
+Vectors of different length are never compared. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ionloom.llm.files import locate, shared_folder
+from ionloom.llm.files import locate, shared_folder, written
 
 BITS = 64
 TREES = 48
@@ -40,8 +41,10 @@ QUERY_ROWS = 1_024          # queries searched at a time
 class Forest:
     """Sorted hash strings of one shard's vectors (rows of equal length, none of them zero)."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 17):
+    def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 17, ids: np.ndarray | None = None):
         self.vectors = vectors
+        ids = np.arange(len(vectors)) if ids is None else ids
+        self.names, self.name_of, rows = np.unique(ids, return_inverse=True, return_counts=True)
         norms = np.linalg.norm(vectors, axis=1)
         self.most = norms.max()
         rest = np.sqrt(np.maximum(1 - (norms / self.most) ** 2, 0))
@@ -49,6 +52,9 @@ class Forest:
         hashes = self._hash(np.column_stack([vectors / self.most, rest]))
         self.order = np.argsort(hashes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(hashes, self.order, axis=1)
+        # ids before each place of a tree: a row of an id that has several counts as a part of it
+        parts = (1 / rows)[self.name_of][self.order]
+        self.before = np.concatenate([np.zeros((trees, 1)), np.cumsum(parts, axis=1)], axis=1)
 
     def _hash(self, lifted: np.ndarray) -> np.ndarray:
         weight = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
@@ -87,7 +93,8 @@ class Forest:
         left = np.arange(len(queries))
         for level in range(self._longest(hashes), -1, -1):     # all trees ascend by the same bit
             a, b = self._ranges(hashes[:, left], level)
-            done = ((b - a).sum(axis=0) >= wanted) | (level == 0)
+            ids = np.take_along_axis(self.before, b, axis=1) - np.take_along_axis(self.before, a, axis=1)
+            done = (ids.sum(axis=0) >= wanted - 1e-6) | (level == 0)
             begin[:, left[done]], end[:, left[done]] = a[:, done], b[:, done]
             left = left[~done]
             if not len(left):
@@ -100,22 +107,26 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def _best(forest: Forest, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> list[np.ndarray]:
+def _best(forest: Forest, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> list[np.ndarray]:
     """Arrays of (query id, vector id, score) of each query's best candidates in the shard."""
-    wanted = max(LEAST, int(share * len(ids)))
+    names, wanted = forest.names, max(LEAST, int(share * len(forest.names)))
     query, found, score = [], [], []
     for name, vector, places in zip(query_ids, queries, forest.candidates(queries, wanted), strict=True):
-        places = places[ids[places] != name]
-        value = forest.vectors[places] @ vector
-        if len(places) > 4 * k:
-            least = np.partition(value, len(value) - 4 * k)[len(value) - 4 * k]
-            places, value = places[value >= least], value[value >= least]
-        order = np.lexsort((ids[places], -value))
-        _, first = np.unique(ids[places][order], return_index=True)     # a repeated id once
-        order = order[np.sort(first)[:k]]
-        query.append(np.full(len(order), name))
-        found.append(ids[places][order])
-        score.append(value[order])
+        own = names == name
+        seen = np.zeros(len(names), bool)
+        seen[forest.name_of[places]] = True
+        if (seen & ~own).sum() < min(k, (~own).sum()):
+            places = np.arange(len(forest.vectors))
+        best = np.full(len(names), -np.inf)     # a repeated id once
+        np.maximum.at(best, forest.name_of[places], forest.vectors[places] @ vector)
+        best[own] = -np.inf
+        near = np.flatnonzero(best > -np.inf)
+        if len(near) > k:
+            near = near[best[near] >= np.partition(best[near], len(near) - k)[len(near) - k]]
+        near = near[np.lexsort((names[near], -best[near]))[:k]]
+        query.append(np.full(len(near), name))
+        found.append(names[near])
+        score.append(best[near])
     return [np.concatenate(x) for x in (query, found, score)]
 
 
@@ -144,12 +155,11 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, k: int, trees: int,
 
     def results() -> Iterator[pa.RecordBatch]:
         shard = _by_length(pa.Table.from_batches(held))
-        forests = {length: (ids, Forest(vectors, trees)) for length, ids, vectors in shard}
+        forests = {length: Forest(vectors, trees, ids=ids) for length, ids, vectors in shard}
         for block in _query_blocks(folder):
             for length, query_ids, queries in _by_length(pa.Table.from_batches([block])):
                 if length in forests:
-                    ids, forest = forests[length]
-                    columns = _best(forest, ids, query_ids, queries, k, share)
+                    columns = _best(forests[length], query_ids, queries, k, share)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NAMES)
 
     for batch in batches:
@@ -189,8 +199,8 @@ def nearest(
     vector = F.col(vector_col).cast("array<double>")
     shape = [F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("length"), vector.alias("vector")]
     folder = shared_folder(spark, "queries")
-    known.where(queries).select(*shape).dropDuplicates(["id"]).write.parquet(folder)
-    rows = known.select(*shape)
+    known.where(queries).select(*shape).distinct().write.parquet(folder)
+    rows = written(known.select(*shape).distinct(), "vectors")
     shards = max(-(-rows.count() // shard_rows), 1)
     search = partial(_search, folder=folder, k=k, trees=trees, share=share, rows=shard_rows)
     # dealt by turns, so equal vectors and repeated ids are spread too

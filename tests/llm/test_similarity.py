@@ -241,6 +241,24 @@ def test_forest_recall_and_scores(spark):
         assert np.mean([len(set(found[q]) & set(want[q])) / 20 for q in want]) >= least
 
 
+def test_forest_of_an_id_with_many_rows(spark):
+    """One id has most of a shard's rows, equal and different ones, all nearer than any other's."""
+    rng = np.random.default_rng(4)
+    near = np.array([5.0] + [0.0] * 7)
+    rows = [(0, near.tolist()), (0, (-near).tolist())]
+    rows += [(1, (near * 2 + rng.normal(size=8) * 0.01).tolist()) for _ in range(1500)] + [(1, (near * 2).tolist())] * 300
+    rows += [(i, rng.normal(size=8).tolist()) for i in range(2, 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, hash_forest.nearest(table, F.col("vec_id") == 0, shard_rows=1000).collect()))
+    best = {}
+    for q in (near, -near):
+        for i, v in rows[2:]:
+            best[i] = max(best.get(i, -np.inf), float(q @ np.array(v)))
+    want = sorted(best, key=lambda i: (-best[i], i))[:20]
+    assert [r[1] for r in got] == list(range(1, 21)) and [r[2] for r in got] == want
+    assert [r[3] for r in got] == pytest.approx([best[i] for i in want])
+
+
 def test_forest_of_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 0.0]), (9, [None, 1.0]), (10, [1.0, 2.0, 3.0]), (None, [9.0, 9.0]), (2, [1.0, 0.0]), (40, [0.0, 0.0])]

@@ -39,6 +39,14 @@ def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
 
 
+def test_whole_library_has_the_documents_of_all_languages(spark):
+    """The query of the Spanish proteins gives only a part of it."""
+    name = "library_exported_and_read_back"
+    whole, part = (QUERIES[n](spark, SF).select("PeptideModSeq", "PrecursorCharge").toPandas() for n in (f"whole_{name}", name))
+    assert len(whole) > len(part) > 0 and len(whole) == len(whole.drop_duplicates())
+    assert set(whole["PeptideModSeq"]) == set(QUERIES["library_precursors"](spark, SF).select("PeptideModSeq").toPandas()["PeptideModSeq"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["PeptideModSeq", "PrecursorCharge", "mass", "PrecursorMz"]
 

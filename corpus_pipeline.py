@@ -22,9 +22,14 @@ def _judged(docs: DataFrame) -> list[str]:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts whose nearest codeword has a score below one half."""
+    """Rejects texts without a letter and texts whose nearest codeword has a score below one half.
+
+    Where no language could be learned, only texts without a letter are rejected.
+    """
     ship_package(spark)
     model = language.fit_languages(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     whole = docs.select(F.struct(*_judged(docs)).alias("doc"))
     found = language.identify(whole, model, ["doc"], F.col("doc.text"))
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)

@@ -76,6 +76,13 @@ def test_stages_with_awkward_rows(spark, folder, awkward, empty):
     assert left == {1: 1, 2: 1, 5: 1, None: 1, 9: 1}
 
 
+def test_documents_without_any_language_stay(spark, folder, awkward):
+    docs = awkward.withColumn("lang", F.lit(None).cast("string"))
+    kept = pipeline.keep_known_language(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 5: 1, 6: 2, None: 1, 9: 1}
+
+
 def test_near_copies_of_null_and_repeated_ids(spark, folder):
     a, b, c, d = (words(60, 900 + i) for i in range(4))
     rows = [(None, a), (None, a), (None, a + " x"), (None, b + " x"), (8, b), (5, c), (5, d), (5, d), (6, c + " z"), (7, d + " z")]

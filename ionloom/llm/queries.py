@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, hash_forest, jaccard, language, packing, pieces, quality, sequences, token_counts, warc
+from ionloom.llm import fingerprints, hash_forest, jaccard, language, merkle, packing, pieces, quality, sequences, token_counts, warc
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,49 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=4)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_merkle_manifest"] = r"""WITH RECURSIVE
+crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295) % 2 = 0 AS hit
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+raw AS (SELECT d.doc_id, source, text, coalesce(hit, false) AS hit,
+    coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
+hashed AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(own) || ':' || own, '-')) AS now
+  FROM (SELECT *, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS own FROM raw)),
+leaves AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+nodes(s, level, i, n, h) AS (SELECT s, 0, i, n, leaf FROM leaves UNION ALL
+  SELECT s, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY s, level, i // 3, n),
+kept AS MATERIALIZED (SELECT * FROM nodes),
+subroots AS MATERIALIZED (SELECT s, h, level AS top, count(*) OVER () AS n FROM kept WHERE n = 1),
+upper(level, i, n, h) AS (SELECT 0, s, n, h FROM subroots UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, i // 3, n),
+kept_upper AS MATERIALIZED (SELECT * FROM upper),
+steps AS MATERIALIZED (
+  SELECT l.s, l.i, k.level, string_agg(k.h, '' ORDER BY k.i) FILTER (k.i < l.i // CAST(3 ** k.level AS BIGINT)) AS a,
+    string_agg(k.h, '' ORDER BY k.i) FILTER (k.i > l.i // CAST(3 ** k.level AS BIGINT)) AS b
+  FROM leaves l JOIN kept k ON k.s = l.s AND k.n > 1 AND k.i // 3 = l.i // CAST(3 ** (k.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT l.s, l.i, r.top + k.level, string_agg(k.h, '' ORDER BY k.i) FILTER (k.i < l.s // CAST(3 ** k.level AS BIGINT)),
+    string_agg(k.h, '' ORDER BY k.i) FILTER (k.i > l.s // CAST(3 ** k.level AS BIGINT))
+  FROM leaves l JOIN subroots r ON r.s = l.s JOIN kept_upper k ON k.n > 1 AND k.i // 3 = l.s // CAST(3 ** (k.level + 1) AS BIGINT) GROUP BY ALL),
+folded(s, i, level, h) AS (SELECT s, i, 0, now FROM leaves UNION ALL
+  SELECT f.s, f.i, f.level + 1, sha256(coalesce(a, '') || h || coalesce(b, '')) FROM folded f JOIN steps p ON p.s = f.s AND p.i = f.i AND p.level = f.level),
+ends AS (SELECT s, i, max_by(h, level) AS folded_root FROM folded GROUP BY s, i),
+proofs AS (SELECT s, i, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY level) AS path FROM steps GROUP BY s, i),
+root AS (SELECT h AS root FROM kept_upper WHERE n = 1)
+SELECT doc_id, leaf, r.h AS subroot, root, sha256(coalesce(path, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots r ON r.s = l.s JOIN ends e ON e.s = l.s AND e.i = l.i
+LEFT JOIN proofs p ON p.s = l.s AND p.i = l.i CROSS JOIN root"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ionloom.llm import fingerprints, hash_forest, jaccard, language, merkle, packing, pieces, quality, sequences, token_counts, warc
+from ionloom.llm import collocations, fingerprints, hash_forest, jaccard, language, merkle, packing, pieces, quality, sequences, token_counts, toxicity, warc
 from ionloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,16 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=4)
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = language.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit_toxicity(docs, labels.where(~held_out))
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "sentence")
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
@@ -160,3 +170,31 @@ root AS (SELECT h AS root FROM kept_upper WHERE n = 1)
 SELECT doc_id, leaf, r.h AS subroot, root, sha256(coalesce(path, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM leaves l JOIN subroots r ON r.s = l.s JOIN ends e ON e.s = l.s AND e.i = l.i
 LEFT JOIN proofs p ON p.s = l.s AND p.i = l.i CROSS JOIN root"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_phrase_collocations"] = r"""WITH
+texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+pieces AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM texts),
+total AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, phrase, count(*) AS a FROM (SELECT lang,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM pieces, range(1, 5) r(k) WHERE len(w) >= k) GROUP BY ALL),
+often AS MATERIALIZED (SELECT lang, string_split(phrase, ' ') AS phrase, a FROM f WHERE a >= 30 AND contains(phrase, ' ')),
+part AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(phrase[1:k], ' ') AS x, array_to_string(phrase[k + 1:], ' ') AS y
+  FROM often JOIN range(1, 4) t(k) ON k < len(phrase)),
+half AS MATERIALIZED (SELECT p.*, f.a AS l FROM part p JOIN f ON f.lang = p.lang AND f.phrase = x),
+cut AS MATERIALIZED (SELECT p.lang, p.phrase, p.a, k, l, f.a AS r, 2000000 * CAST(p.a AS HUGEINT) // (l + f.a) AS score
+  FROM half p JOIN f ON f.lang = p.lang AND f.phrase = y),
+lowest AS MATERIALIZED (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS MATERIALIZED (SELECT lang, a, unnest(list_transform(range(1, len(phrase) - k + 2), lambda i: array_to_string(phrase[i:i + k - 1], ' '))) AS phrase
+  FROM often JOIN range(2, 4) t(k) ON k < len(phrase)),
+covers AS MATERIALIZED (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+kept AS MATERIALIZED (SELECT w.lang, array_to_string(w.phrase, ' ') AS phrase, a, l, r, score FROM lowest w
+  LEFT JOIN covers c ON c.lang = w.lang AND c.phrase = array_to_string(w.phrase, ' ') WHERE coalesce(100 * most < 80 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""

@@ -123,9 +123,9 @@ COARSE = CONTEXT[:4]
 
 
 def ion_context(
-    samples: DataFrame, rows: str = "ion_array", coded: str = "coded_seq", charge: str = "precursor_z"
+    samples: DataFrame, rows: str = "ion_array", coded: str = "coded_seq", charge: str = "precursor_z", **carried: Column
 ) -> DataFrame:
-    """One row per compatible ion: its context and intensity.
+    """One row per compatible ion: its context and intensity, and values carried along from its sample.
 
     b_i cuts after residue i and y_i after residue n - i; the context holds the
     residues on both sides of the cut.
@@ -134,6 +134,7 @@ def ion_context(
         F.col(charge).alias("charge"),
         F.upper("frag_type").alias("frag_type"),
         F.substr(F.col(coded), F.lit(2), F.length(coded) - 2).alias("_seq"),
+        *[value.alias(name) for name, value in carried.items()],
         F.posexplode(F.col(rows)).alias("channel", "_row"),
     ).select("*", F.posexplode("_row").alias("_i", "intensity"))
     n = F.length("_seq")
@@ -149,6 +150,7 @@ def ion_context(
             F.substr(F.col("_seq"), F.col("_cut"), F.lit(1)).alias("residue_left"),
             F.substr(F.col("_seq"), F.col("_cut") + 1, F.lit(1)).alias("residue_right"),
             "intensity",
+            *carried,
         )
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ionloom import constants as K
 from ionloom.operators.frames import attach, seeded_key
+from ionloom.session import stored
 
 DIGITS = 4          # hex digits per level: at most 65,536 counts per group
 COPIES_PER_TASK = 100_000
@@ -42,6 +43,9 @@ def exact_split(
     which the quota is reached, and rows are compared with that hash. Each count
     is combined on the map side and has at most 65,536 rows per group.
 
+    ``df`` is evaluated twice: once for the table of its groups and hashes (a few
+    bytes per row), from which all counts are taken, and once to mark the rows.
+
     ``key`` has to identify a row. With ``unique_key=False`` it may repeat: the
     whole row takes part in the hash, and where equal rows meet the boundary the
     right number of copies is marked.
@@ -51,7 +55,9 @@ def exact_split(
     if not unique_key:
         ranked_by = [*key, *[c for c in columns if c not in key]]
     hashed = df.withColumn("_h", seeded_key(ranked_by, seed))
-    thin = hashed.select(*groups, "_h")
+    names = [f"_g{i}" for i in range(len(groups))]
+    thin = stored(hashed.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], F.unhex("_h").alias("_h")), "hashes")
+    thin = thin.select(*[F.col(n).alias(g) for g, n in zip(groups, names)], F.lower(F.hex("_h")).alias("_h"))
 
     edge, prefix = None, 0
     for digits in (DIGITS, 2 * DIGITS, 32):

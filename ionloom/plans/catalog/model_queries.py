@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ionloom import constants as K
 from ionloom.functions import encoding as E, spectra as P
-from ionloom.operators import models
+from ionloom.operators import energy, models
 from ionloom.operators.modification import expand_charges
+from ionloom.operators.robust import fit_robust_retention
 from ionloom.operators.splits import exact_split
 from ionloom.plans.build_library import append_library, build_library, save_library, score_entries
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.registry import query
 from ionloom.plans.catalog.tables import CAM, Tables
-from ionloom.plans.training import train_fragments, train_retention
+from ionloom.plans.training import evaluate_retention, train_fragments, train_retention
 from ionloom.plans.training_sets import samples_from_tables
 from ionloom.session import materialise, scratch_path
 from ionloom.sources import blobs, library
@@ -250,6 +251,56 @@ def retention_training(t: Tables):
     )
 
 
+@query(
+    "robust_retention_fit",
+    f"""WITH {Q.RETENTION}, letters AS (SELECT unnest(string_split({_CODED}, '')) AS symbol FROM retention)
+SELECT symbol, count(*) AS n, 0.0::DOUBLE AS gap, TRUE AS likelihood_falls, TRUE AS better_than_least_squares FROM letters GROUP BY symbol""",
+)
+def robust_retention_fit(t: Tables):
+    """Weights, scales and mask fitted together, checked by the weighted normal equations of the last round.
+
+    For every symbol the weighted errors must add up to nothing (``gap``, as a share of the
+    weighted absolute errors), and the masked likelihood must have fallen in every round.
+    """
+    fit = fit_robust_retention(_retention_rows(t))
+    scores = [r.score for r in fit.rounds]
+    falls = all(b < a for a, b in zip(scores, scores[1:]))
+    symbols = fit.weighted().select(
+        F.explode("codes").alias("code"), F.col("weight"), (F.col("weight") * (F.col("y") - F.col("pred"))).alias("part")
+    )
+    sums = symbols.where("code > 0").groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("part") / F.greatest(F.sum(F.abs("part")), F.lit(K.EPSILON))).alias("gap")
+    )
+    return sums.select(
+        F.substr(F.lit(K.ALPHABET), F.col("code"), F.lit(1)).alias("symbol"),
+        "n",
+        (F.round("gap", 5) + 0.0).alias("gap"),
+        F.lit(falls).alias("likelihood_falls"),
+        F.lit(len(scores) > 1 and scores[-1] < scores[0]).alias("better_than_least_squares"),
+    )
+
+
+@query(
+    "retention_evaluation",
+    f"""WITH {Q.RETENTION}, split AS (SELECT *, row_number() OVER (ORDER BY {Q.shuffle_key("doc_id")}) <= round_even(count(*) OVER () * 0.2::DOUBLE, 0) AS is_test,
+  {_RT} AS p FROM retention),
+s AS (SELECT Source, greatest(avg(abs(p - HI)), 1e-7) AS b FROM split WHERE NOT is_test GROUP BY Source),
+e AS (SELECT abs(p - HI) / coalesce(b, pooled) AS x, abs(p - HI) / coalesce(b, pooled) + ln(2 * coalesce(b, pooled)) AS nll, b IS NULL AS unseen
+  FROM split LEFT JOIN s USING (Source), (SELECT avg(b) AS pooled FROM s) WHERE is_test),
+f AS (SELECT any_value(mu) AS mu, avg(abs(x - mu)) AS s FROM e, (SELECT avg(x) AS mu FROM e)),
+k AS (SELECT nll, unseen, x < mu - s * ln(2 - 2 * (1 - 0.01)) AS kept FROM e, f)
+SELECT round((sum(CASE WHEN kept THEN nll ELSE 0 END) + 1e-7) / (count(*) FILTER (kept) + 1e-7), 5) AS score,
+count(*) FILTER (kept) AS n_kept, count(*) AS n, count(*) FILTER (unseen) AS n_unseen FROM k""",
+)
+def retention_evaluation(t: Tables):
+    """The evaluation of the training job, of a model with a closed form: scales of the training part, score of the test part."""
+    rows = materialise(_retention_rows(t).withColumn("codes", E.integer_codes("CodedPeptideSeq")))
+    scored = rows.withColumn("pred", models.score_retention_time(plain_retention_model))
+    split = materialise(exact_split(scored, K.VALIDATION_FRACTION, ["doc_id"]))
+    _, found = evaluate_retention(split.where(~F.col("is_test")), split.where("is_test"))
+    return found.select(F.round("score", 5).alias("score"), "n_kept", "n", "n_unseen")
+
+
 _CONTEXTS = """contexts AS (
   SELECT channel, PrecursorCharge AS charge, upper(frag_type) AS frag_type, n, cell, coded_seq,
          CASE WHEN channel % 2 = 0 THEN i ELSE n - i END AS cut FROM filled WHERE cell >= 0),
@@ -332,6 +383,66 @@ def fragment_training(t: Tables):
     return found.select(F.round("score", 3).alias("score"), F.round("mean_cosine", 5).alias("mean_cosine"), "n_kept", "n")
 
 
+_ENERGY = """20.0 + 5 * (spectrum_id // 2 % 4)"""
+_LINES = f"""{_CONTEXTS.replace("SELECT channel, PrecursorCharge", "SELECT spectrum_id, channel, PrecursorCharge").replace("SELECT channel, charge,", "SELECT spectrum_id, channel, charge,")},
+points AS (SELECT *, CASE WHEN frag_type = 'HCD' THEN {_ENERGY} ELSE 0.0 END::DOUBLE AS e FROM keyed),
+fine AS (SELECT channel, charge, frag_type, position_bin, residue_left, residue_right, count(*)::DOUBLE AS n, sum(e) AS x, sum(e * e) AS xx,
+  sum(cell) AS y, sum(e * cell) AS xy FROM points GROUP BY ALL),
+coarse AS (SELECT channel, charge, frag_type, position_bin, sum(n) AS n, sum(x) AS x, sum(xx) AS xx, sum(y) AS y, sum(xy) AS xy FROM fine GROUP BY ALL),
+top AS (SELECT channel, frag_type, sum(n) AS n, sum(x) AS x, sum(xx) AS xx, sum(y) AS y, sum(xy) AS xy FROM fine GROUP BY ALL),
+c2 AS (SELECT c.channel, charge, frag_type, position_bin, c.n + 20 AS n, c.x + 20 / t.n * t.x AS x, c.xx + 20 / t.n * t.xx AS xx,
+  c.y + 20 / t.n * t.y AS y, c.xy + 20 / t.n * t.xy AS xy FROM coarse c JOIN top t USING (channel, frag_type)),
+f2 AS (SELECT channel, charge, frag_type, position_bin, residue_left, residue_right, f.n AS ions, f.n + 20 AS n, f.x + 20 / c.n * c.x AS x,
+  f.xx + 20 / c.n * c.xx AS xx, f.y + 20 / c.n * c.y AS y, f.xy + 20 / c.n * c.xy AS xy
+  FROM fine f JOIN c2 c USING (channel, charge, frag_type, position_bin)),
+slopes AS (SELECT *, CASE WHEN xx / n - (x / n) ** 2 > 1e-6 THEN (xy / n - x / n * (y / n)) / (xx / n - (x / n) ** 2) ELSE 0 END AS slope FROM f2),
+lines AS (SELECT *, y / n - slope * x / n AS base FROM slopes)"""
+
+
+def _energy_samples(t: Tables):
+    """Samples at four collision energies."""
+    samples = samples_from_tables(t.spectra(), t.peaks(), "spectrum_id", "low")
+    return materialise(samples.withColumn("nce", F.expr("20.0D + 5 * (spectrum_id div 2 % 4)")))
+
+
+@query(
+    "energy_fragment_fit",
+    f"""WITH {_samples_sql()}, {_LINES}
+SELECT CAST(channel AS INTEGER) AS channel, CAST(charge AS INTEGER) AS charge, frag_type, position_bin, residue_left, residue_right,
+CAST(ions AS BIGINT) AS n, round(base, 6) + 0.0 AS base, round(slope, 6) + 0.0 AS slope FROM lines""",
+)
+def energy_fragment_fit(t: Tables):
+    """A line in the collision energy per ion context, drawn towards the coarser contexts."""
+    table = energy.fit_energy(energy.energy_sums(energy.energy_context(_energy_samples(t))))
+    return table.select(*models.CONTEXT, "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("base", "slope")])
+
+
+@query(
+    "energy_fragment_scores",
+    f"""WITH {_samples_sql()}, {_LINES},
+scored AS (SELECT spectrum_id, least(greatest(base + slope * 20, 0), 1) AS low, least(greatest(base + slope * 40, 0), 1) AS high
+  FROM points JOIN lines USING (channel, charge, frag_type, position_bin, residue_left, residue_right) WHERE frag_type = 'HCD')
+SELECT spectrum_id, round(sum(low), 3) + 0.0 AS at_20, round(sum(high), 3) + 0.0 AS at_40, count(*) FILTER (abs(low - high) > 0.0001) > 0 AS differ
+FROM scored GROUP BY spectrum_id""",
+)
+def energy_fragment_scores(t: Tables):
+    """Every beam-type sample's peptide scored in batches at two energies."""
+    samples = _energy_samples(t)
+    table = materialise(energy.fit_energy(energy.energy_sums(energy.energy_context(samples))))
+    model = energy.load_energy_model(table)
+    features = samples.where("upper(frag_type) = 'HCD'").select(
+        "spectrum_id", E.integer_codes("coded_seq").alias("codes"), E.charge_one_hot("precursor_z").alias("charge")
+    )
+    for name, value in (("low", 20.0), ("high", 40.0)):
+        features = features.withColumn(name, models.score_fragments(model.make_model(), "codes", "charge", F.lit(value)))
+
+    def total(name: str):
+        return F.round(F.aggregate(name, F.lit(0.0), lambda a, v: a + v.cast("double")), 3) + 0.0
+
+    differ = F.exists(F.zip_with("low", "high", lambda a, b: F.abs(a - b) > 0.0001), lambda d: d)
+    return features.select("spectrum_id", total("low").alias("at_20"), total("high").alias("at_40"), differ.alias("differ"))
+
+
 @query(
     "library_grown_by_stream",
     f"""WITH {Q.VARIANTS}, {Q.RESIDUES},

@@ -89,6 +89,17 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there.
+
+    Its input is evaluated by that one write only, and tasks that are repeated leave
+    nothing behind that is read.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ionloom.operators.frames import bounded_broadcast
-from ionloom.session import materialise
+from ionloom.operators.frames import BROADCAST_BYTES, measured_bytes
+from ionloom.session import stored
 
 RECORD_SEPARATOR = "\n>"
 
@@ -35,24 +35,53 @@ def raw_records(reader) -> DataFrame:
     )
 
 
+def _seen_twice(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hashes of headers that occur more than once, and (file, hash) of what a file opens with where that is no record.
+
+    Only hashes and places are kept of each record, and none of its sequence is moved.
+    """
+    heads = stored(placed.select(_name("ProteinAccession"), "file", "place", "opened"), "headers")
+    repeated = heads.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    first = F.min_by(F.struct("name", "opened"), "place").alias("first")
+    opening = heads.where("place.block = 0").groupBy("file").agg(first)
+    return stored(repeated, "repeated"), stored(opening.where("NOT first.opened").select("file", "first.name"), "stray")
+
+
+def _name(header: str) -> Column:
+    return F.unhex(F.md5(F.col(header).cast("binary"))).alias("name")
+
+
 def proteins_of(records: DataFrame) -> DataFrame:
     """(ProteinAccession, sequence) of raw records.
 
     Text before a file's first '>' is no record, and a record without a header is
     dropped. Of records with one header the last one is kept, by file, then by
     position in the file.
+
+    Records with a header of their own stay where they are. A first reading finds the
+    headers that repeat, and what stands before a file's first record; only the records
+    of these are brought together. If the repeated headers are too many to be broadcast,
+    all records are.
     """
     place = F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
-    placed = records.select("value", "file", "block", place.alias("place"))
-    # what a file opens with, where that is not a record; for most inputs there is none
-    opening = placed.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("_opening"))
-    stray = materialise(opening.where(~F.startswith("_opening", F.lit(">"))))
-    if not stray.isEmpty():
-        stray = bounded_broadcast(stray.withColumnRenamed("file", "_file"))
-        same = (F.col("file") == F.col("_file")) & (F.col("value") == F.col("_opening")) & (F.col("block") == 0)
-        placed = placed.join(stray, same, "left_anti")
-    parsed = parse_records(placed, F.col("place")).where(F.length("ProteinAccession") > 0)
-    return parsed.groupBy("ProteinAccession").agg(F.max_by("sequence", "place").alias("sequence"))
+    placed = records.select("value", "file", place.alias("place"), F.startswith("value", F.lit(">")).alias("opened"))
+    parsed = parse_records(placed, *map(F.col, ("file", "place", "opened")))
+    repeated, stray = _seen_twice(parsed)
+    special = stored(repeated.union(stray.select("name")).distinct(), "special")
+    named = parsed.withColumn("name", _name("ProteinAccession"))
+    alone = named.where(F.length("ProteinAccession") > 0)
+    if special.isEmpty():
+        return alone.select("ProteinAccession", "sequence")
+    few = measured_bytes(special) <= BROADCAST_BYTES
+    together = stored(named.join(F.broadcast(special), "name", "left_semi"), "together") if few else named
+    # the opening text is the first of all rows of its file, so also of those with its header
+    firsts = together.join(stray, ["file", "name"], "left_semi").groupBy("file", "name").agg(F.min("place").alias("place"))
+    together = together.join(firsts, ["file", "name", "place"], "left_anti").where(F.length("ProteinAccession") > 0)
+    last = together.groupBy("ProteinAccession").agg(F.max_by("sequence", "place").alias("sequence"))
+    if not few:
+        return last
+    alone = alone.join(F.broadcast(special), "name", "left_anti")
+    return alone.select("ProteinAccession", "sequence").union(last)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -279,3 +279,17 @@ def test_hot_bin_is_split_by_aqe(spark):
     assert "skew=true" in plan or "isSkewJoin=true" in plan
     assert len(rows) == 80
     assert {r["ion"]: r["intensity"] for r in rows if r["spectrum_id"] == 1}[0] == 2.0
+
+
+@pytest.mark.parametrize("groups, unique", [([], True), (["g"], True), (["g"], False)])
+def test_split_evaluates_its_input_twice(spark, groups, unique):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(3000).withColumn("g", F.col("id") % 5).mapInPandas(count, "id long, g long")
+    exact_split(rows, 0.2, ["id"], groups, unique_key=unique).write.format("noop").mode("overwrite").save()
+    assert seen.value == 3000 * (2 if unique else 3)    # copies at the boundary are written apart

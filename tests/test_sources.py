@@ -46,6 +46,43 @@ def test_fasta(spark, tmp_path, split_bytes):
     assert got == brute_fasta(text.replace("\r\n", "\n")) and len(got) == 270
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("P1\nMKV\n>P1\nMKV\n>P2\nAAA", {"P1": "MKV", "P2": "AAA"}),     # opening text equal to a record
+        ("P1\nMKV\n>P2\nAAA\n>P1\nCCC\n>P1\nDDD", {"P1": "DDD", "P2": "AAA"}),
+        ("\n\n>P1\nMKV\n>\nQQQ\n>P2\n", {"P1": "MKV", "P2": ""}),
+        (">P1\nMKV\n>P1\nAAA", {"P1": "AAA"}),
+        ("no record at all", {}),
+    ],
+)
+def test_opening_text_is_dropped_by_place(spark, tmp_path, text, want):
+    path = tmp_path / "in.fasta"
+    path.write_text(text)
+    assert {r["ProteinAccession"]: r["sequence"] for r in read_fasta(spark, str(path)).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_last_of_many_files_and_repeated_headers(spark, tmp_path, monkeypatch, limit):
+    from ionloom.sources import fasta
+
+    monkeypatch.setattr(fasta, "BROADCAST_BYTES", limit)
+    want = {}
+    for f in range(3):
+        rows = [(f"P{i % (40 + f)}", f"M{f}K{i}") for i in range(100)]
+        (tmp_path / f"{f}.fasta").write_text("stray\nMK\n" * (f == 1) + "".join(f">{h}\n{s}\n" for h, s in rows))
+        want |= dict(rows)
+    got = read_fasta(spark, str(tmp_path / "*.fasta"))
+    assert {r["ProteinAccession"]: r["sequence"] for r in got.collect()} == want
+
+
+def test_records_with_headers_of_their_own_are_not_shuffled(spark, tmp_path):
+    path = tmp_path / "in.fasta"
+    path.write_text("".join(f">P{i}\nMK{i}\n" for i in range(200)))
+    plan = read_fasta(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_empty_fasta(spark, tmp_path):
     path = tmp_path / "empty.fasta"
     path.write_text("")

@@ -36,3 +36,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(files: DataFrame, column: str | list[str], n: int, each: int = 8) -> DataFrame:
+    """``n`` rows that name work for a whole task (a file, a shard), one to a task or a few.
+
+    Their bytes say nothing about that work, so the number of partitions is given: adaptive
+    execution would join the few small rows into one task. It grows with the files, beyond
+    the session's partitions by one for every ``each`` of them. By a list of columns rows
+    are dealt in their order.
+    """
+    usual = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(n, max(usual, -(-n // each))))
+    if isinstance(column, str):
+        return files.repartition(tasks, column)
+    return files.repartitionByRange(tasks, *column).sortWithinPartitions(*column)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ionloom.llm.files import locate, new_file, shared_folder, written
+from ionloom.llm.files import dealt, locate, new_file, shared_folder, written
 from ionloom.llm.memory import bounded_batches
 
 ARC_BYTES, ARC_RECORDS = 64 << 20, 20_000     # a task opens a new archive beyond these
@@ -301,7 +301,8 @@ def convert_arcs(arcs: DataFrame, folder: str, least: int = REVISIT_BYTES) -> Da
     Of equal HTTP payloads of at least ``least`` bytes, the one with the smallest page
     id (then record id) stays a response. A file's own decisions go with the file.
     """
-    spread = arcs.select("path").repartition("path")
+    n = arcs.count()
+    spread = dealt(arcs.select("path"), "path", n)
     index = written(spread.mapInArrow(_index, ", ".join(f"{f.name} {'long' if pa.types.is_int64(f.type) else 'string'}" for f in INDEX)), "index")
     known = index.where(F.col("bytes") >= least)
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record_id", "url", "date")
@@ -314,7 +315,7 @@ def convert_arcs(arcs: DataFrame, folder: str, least: int = REVISIT_BYTES) -> Da
     )
     # one row per file, with at most as many decisions as the file has records
     per_file = revisits.groupBy("path").agg(F.collect_list("revisit").alias("revisits"))
-    work = arcs.select("path").join(per_file, "path", "left").repartition("path")
+    work = dealt(arcs.select("path").join(per_file, "path", "left"), "path", n)
     return written(work.mapInArrow(partial(_convert, folder=folder), "path string, n long"), "warcs")
 
 
@@ -357,7 +358,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warcs(warcs: DataFrame) -> DataFrame:
     """Per response or revisit in the WARC files of a manifest: what it holds and the page it refers to."""
     shape = ", ".join(f"{f.name} {'long' if pa.types.is_int64(f.type) else 'string'}" for f in READ)
-    records = written(warcs.select("path").repartition("path").mapInArrow(_read, shape), "records")
+    records = written(dealt(warcs.select("path"), "path", warcs.count()).mapInArrow(_read, shape), "records")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     rest = ["record_id", "target_uri", "date"]
     responses = records.where("target IS NULL")

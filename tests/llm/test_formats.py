@@ -172,3 +172,13 @@ def test_segmentations_of_awkward_rows(awkward, empty, model, pieces_path):
     assert Counter((r["doc_id"], r["n_ids"], tuple(r["nbest_scores"]), tuple(r["nbest_crc32"])) for r in rows) == want
     assert all(r["decodes"] and r["score"] == r["nbest_scores"][0] for r in rows)
     assert pieces.segmentations(empty, pieces_path).collect() == []
+
+
+def test_files_are_dealt_to_as_many_tasks(spark):
+    from ionloom.llm.files import dealt
+
+    paths = spark.range(300).select(F.concat(F.lit("p"), F.col("id")).alias("path"))
+    for n, least in ((300, 20), (1, 1)):
+        some = dealt(paths.limit(n), "path", n).mapInArrow(lambda batches: batches, "path string")
+        assert some.count() == n
+        assert some.select(F.spark_partition_id().alias("t")).distinct().count() >= least

@@ -20,9 +20,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ionloom.llm.files import locate, new_file, shared_folder, written
+from ionloom.llm.files import dealt, locate, new_file, shared_folder, written
 from ionloom.llm.memory import bounded_batches
 from ionloom.llm.rows import slices
 from ionloom.llm.tokens import blocks, encode_texts
@@ -30,9 +31,10 @@ from ionloom.llm.tokens import blocks, encode_texts
 LENGTH = 2048               # ids in a sequence
 BATCH_SEQUENCES = 256       # sequences in a record batch
 SHARD_SEQUENCES = 32_768    # a task opens a new shard after so many
-PART_ROWS = 10_000          # documents of one range partition, about
+PART_BYTES = 16 << 20       # of the stored input that one range partition takes, about
+UNKNOWN_BYTES = 1 << 50     # a plan's size from which it is a guess
 
-MANIFEST = "shard string, docs string, first_key long, n_docs long, n_ids long"
+MANIFEST = "shard string, docs string, first_key long, n_docs long, n_ids long, part int, turn int"
 
 
 def tokens_schema(length: int, vocabulary: int) -> pa.Schema:
@@ -119,10 +121,18 @@ def _write_shards(
                     writer = None
     if writer:
         done.append(writer.close())
-    rows = pd.DataFrame(done, columns=names).astype({"first_key": "Int64"})
+    done = [(*shard, TaskContext.get().partitionId(), turn) for turn, shard in enumerate(done)]
+    rows = pd.DataFrame(done, columns=names).astype({"first_key": "Int64", "part": "int32", "turn": "int32"})
     yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
 
+def _parts(docs: DataFrame) -> int:
+    """Range partitions, by the bytes that the plan expects to read."""
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(usual, -(-size // PART_BYTES)) if size < UNKNOWN_BYTES else usual
+
+
 def write_sequences(
     docs: DataFrame,
     path: str,
@@ -139,11 +149,9 @@ def write_sequences(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    parts = max(
-        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        -(-docs.select(F.count(F.lit(1))).first()[0] // PART_ROWS),
-    )
-    ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    # rows of one id, or without one, may keep any order, so a number of the row parts them
+    ordered = rows.withColumn("tie", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(_parts(docs), "key", "tie").sortWithinPartitions("key", "tie").drop("tie")
     shards = ordered.mapInArrow(
         partial(_write_shards, folder=folder, path=path, end_id=end_id, length=length), MANIFEST
     )
@@ -217,15 +225,18 @@ def _read_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32.
 
-    The running sum is over the shards, of which there is one per 67 million ids.
+    The running sum is over the shards, of which there is one per range partition, and one
+    more per 67 million ids in it.
     """
-    order = Window.orderBy(F.col("first_key").asc_nulls_first(), "place")
-    placed = manifest.withColumn("place", F.col("shard")).select(
+    order = Window.orderBy("part", "turn")
+    placed = manifest.select(
+        "part",
+        "turn",
         "shard",
         "docs",
         F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    return placed.repartition("shard").mapInPandas(
+    return dealt(placed, ["part", "turn"], manifest.count()).mapInPandas(
         _read_docs, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

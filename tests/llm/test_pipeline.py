@@ -96,7 +96,7 @@ def test_near_copies_of_null_and_repeated_ids(spark, folder):
 @here
 def test_registered_names():
     names = {n: entry.queries()[n] for n in entry.queries() if n.startswith("op") or n == "pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert len(pipeline.STAGES) == 4 and pipeline.ORACLE_SQL is None
 
 

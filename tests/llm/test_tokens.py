@@ -169,3 +169,20 @@ def test_packing_is_close_to_the_bound():
 def test_pre_tokens_join_to_the_text():
     for text in texts():
         assert "".join(PRE_TOKEN.findall(text)) == text
+
+
+def test_shards_are_read_by_many_tasks_in_order_of_the_ids(spark, bpe):
+    docs = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 150)).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows = sequences.round_trip(docs, bpe, end_id=2, length=64)
+    got = rows.withColumn("task", F.spark_partition_id()).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and len(ids) == 400
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(400)]
+    assert len({r["task"] for r in got}) > 3
+
+
+def test_equal_rows_are_dealt_to_all_packs(spark, bpe, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    packed = packing.pack_documents(docs, bpe, end_id=0).groupBy("sequence_id").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in packed) == 4000 and len(packed) == 8

@@ -111,9 +111,10 @@ def pack_documents(
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = partial(_pieces, path=path, end_id=end_id, capacity=capacity)
-    pieces = written(rows.mapInArrow(cut, PIECES), "pieces")
+    pieces = written(rows.mapInArrow(cut, PIECES).withColumn("turn", F.monotonically_increasing_id()), "pieces")
     groups = -(-pieces.count() // GROUP_PIECES) or 1
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # by turns, so that equal rows do not meet; the turns are those of the written table
+    dealt = pieces.withColumn("pack", F.pmod("turn", F.lit(groups))).drop("turn")
 
     def pack(group: pa.Table) -> pa.Table:
         return _pack(group, capacity)

@@ -12,7 +12,7 @@ from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.matching_queries import _SAMPLES_SQL, _SELF_ENTRIES
 from ionloom.plans.catalog.registry import query
 from ionloom.plans.catalog.tables import Tables
-from ionloom.plans.training_sets import samples_from_tables
+from ionloom.plans.training_sets import library_to_samples, samples_from_tables
 from ionloom.session import scratch_path
 from ionloom.sources import blobs, library
 from ionloom.sources.dlib import read_dlib, write_dlib
@@ -198,3 +198,67 @@ def dataset_from_file_name(t: Tables):
         ).alias("file_name"),
     )
     return dataset_from_name(names).select("event_id", "dataset", "frag_type", "nce")
+
+
+_OBSERVED = f"""{Q.FIRST}, observed AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS RT, PeptideSeq, '-' || replace(PeptideSeq, 'C', 'c') || '_' AS coded_seq,
+  CASE WHEN doc_id % 13 = 3 THEN 'length' WHEN doc_id % 7 = 0 THEN 'modification' WHEN doc_id % 11 = 5 THEN 'no ion' ELSE 'kept' END AS reason
+  FROM first_peptides)"""
+
+
+def library_samples(t: Tables, shards: int):
+    """Spectra of first peptides exported as so many library files and made into samples.
+
+    Some entries are no samples: every thirteenth has a sequence that is too short, every
+    seventh an unknown modification, every eleventh a spectrum without an ion.
+    """
+    of = lambda n, i: F.col("doc_id") % n == i
+    peak = lambda m, i: F.struct(
+        F.when(of(11, 5), F.lit(1.0)).otherwise(S.mz_from_nano(m, 1)).alias("mz"), (i + 1).cast("float").alias("intensity")
+    )
+    ladder = t.first_peptides().withColumn("l", S.ladder_nano("PeptideModSeq"))
+    entries = ladder.select(
+        "doc_id",
+        F.when(of(13, 3), F.substr("PeptideSeq", F.lit(1), F.lit(4))).otherwise(F.col("PeptideSeq")).alias("PeptideSeq"),
+        F.concat("PeptideModSeq", F.when(of(7, 0), "[+99.900000]").otherwise("")).alias("PeptideModSeq"),
+        F.lit(2).alias("PrecursorCharge"),
+        F.col("n_chars").cast("double").alias("RTInSeconds"),
+        blobs.pack_peaks(F.concat(F.transform("l.b", peak), F.transform("l.y", peak))).alias("blob"),
+    )
+    ordered = entries.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    files = scratch_path(t.spark, "observed")
+    write_dlib(ordered.select("PeptideSeq", "PeptideModSeq", "PrecursorCharge", "RTInSeconds", "blob.*"), files)
+    return library_to_samples(t.spark, files, scratch_path(t.spark, "samples"), "hcd", 30.0, "observed")
+
+
+@query(
+    "library_files_to_samples",
+    f"""WITH {_OBSERVED}, last_ones AS (SELECT coded_seq, max_by(RT, doc_id) AS RT, any_value(length(PeptideSeq)) AS n
+  FROM observed WHERE reason = 'kept' GROUP BY coded_seq)
+SELECT coded_seq, 2 AS precursor_z, RT, n - 1 AS n_b, n - 1 AS n_y, 34 - (n - 1) AS n_padded, 'observed' AS dataset, 'hcd' AS frag_type, 30.0::DOUBLE AS nce FROM last_ones""",
+)
+def library_files_to_samples(t: Tables):
+    """Of entries with one peptide and charge, in whichever of 50 files, the last one is the sample."""
+    samples, _ = library_samples(t, 50)
+    ions = lambda c: F.filter(F.element_at("ion_array", c), lambda v: v > 0)
+    return samples.select(
+        "coded_seq",
+        "precursor_z",
+        "RT",
+        F.size(ions(1)).cast("bigint").alias("n_b"),
+        F.size(ions(2)).cast("bigint").alias("n_y"),
+        F.size(F.filter(F.element_at("ion_array", 1), lambda v: v < 0)).cast("bigint").alias("n_padded"),
+        "dataset",
+        "frag_type",
+        "nce",
+    )
+
+
+@query(
+    "library_file_rejections",
+    f"""WITH {_OBSERVED} SELECT r.reason, count(o.reason) AS n FROM (VALUES ('length'), ('modification'), ('no ion'), ('kept')) r(reason)
+LEFT JOIN observed o ON o.reason = r.reason GROUP BY r.reason""",
+)
+def library_file_rejections(t: Tables):
+    """What the job counts while it writes the samples."""
+    _, counts = library_samples(t, 5)
+    return t.spark.createDataFrame(sorted(counts.items()), "reason string, n long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ionloom import constants as K
 from ionloom.functions import encoding as E, masses as S, spectra as P
@@ -12,6 +12,8 @@ from ionloom.operators.frames import keep_computed, last_per_key
 from ionloom.operators.ladder import fragment_ions
 from ionloom.operators.matching import match_arrays, match_ions
 from ionloom.sources import blobs
+from ionloom.sources.dlib import PATH, ROW, read_dlib
+from ionloom.sources.samples import read_samples, write_samples
 
 CHANNELS = {"b1": 0, "y1": 1, "b2": 2, "y2": 3}
 SAMPLE_KEY = ["coded_seq", "precursor_z"]
@@ -42,13 +44,17 @@ def rows_from_flat(flat: Column, n_ions: Column) -> Column:
 
 def samples_from_entries(
     entries: DataFrame, frag_type: str, nce: float, dataset: str, resolution: str = "high",
-    order: Column | None = None,
+    order: Column | None = None, counts: tuple[Observation, Observation] | None = None,
 ) -> DataFrame:
     """Samples of library entries, where a spectrum is one row with two blobs or arrays.
 
     Unpacking, the ladder and the match all happen in the row; the only shuffle
-    is the last one, which keeps the last sample per peptide and charge.
+    is the last one, which keeps the last sample per peptide and charge. "Last" goes by ``order``,
+    else by the file and row of entries read with ``provenance``, else by the order of reading.
+    ``counts`` observe, in the same pass, what is rejected before and after the match.
     """
+    if order is None and PATH in entries.columns:
+        order = F.struct(PATH, ROW)
     arrays = F.struct("mzs", "intensities") if "mzs" in entries.columns else blobs.unpack_arrays()
     spectra = entries.select(
         F.col("PeptideModSeq").alias("peptide_mod_seq"),
@@ -58,7 +64,11 @@ def samples_from_entries(
         E.coded_sequence("PeptideModSeq").alias("coded_seq"),
         arrays.alias("_spectrum"),
         (F.monotonically_increasing_id() if order is None else order).alias("_order"),
-    ).where(rejection(F.col("_seq"), F.col("coded_seq")) == NO_REASON)
+    )
+    reason = rejection(F.col("_seq"), F.col("coded_seq"))
+    if counts:
+        spectra = spectra.observe(counts[0], *[F.count_if(reason == r).alias(r) for r in ("length", "modification")])
+    spectra = spectra.where(reason == NO_REASON)
     cells = F.flatten(
         S.ladder_matrix(S.ladder_nano("peptide_mod_seq"), fragment_charge_cap("precursor_z"), 2)
     )
@@ -69,7 +79,10 @@ def samples_from_entries(
     )
     n_ions = F.length("_seq") - 1
     rows = rows_from_flat(P.matched_normalise("_found"), n_ions)
-    samples = matched.where(F.exists("_found", lambda v: v > 0)).select(
+    any_ion = F.exists("_found", lambda v: v > 0)
+    if counts:
+        matched = matched.observe(counts[1], F.count_if(~any_ion).alias("no ion"), F.count_if(any_ion).alias(NO_REASON))
+    samples = matched.where(any_ion).select(
         "coded_seq",
         "peptide_mod_seq",
         "precursor_z",
@@ -83,6 +96,17 @@ def samples_from_entries(
     return last_per_key(samples, SAMPLE_KEY, F.col("_order")).drop("_order")
 
 
+def library_to_samples(
+    spark: SparkSession, files: str, path: str, frag_type: str, nce: float, dataset: str, resolution: str = "high",
+) -> tuple[DataFrame, dict[str, int]]:
+    """Library files to a folder of training samples: the samples written, and how many entries were kept
+    and rejected for what reason. The files are read once; the counts come with the write."""
+    seen = Observation(), Observation()
+    entries = read_dlib(spark, files, provenance=True)
+    write_samples(samples_from_entries(entries, frag_type, nce, dataset, resolution, counts=seen), path)
+    return read_samples(spark, path), {**seen[0].get, **seen[1].get}
+
+
 def matched_channels(
     spectra: DataFrame, peaks: DataFrame, keys: Sequence[str], resolution: str = "high"
 ) -> DataFrame:

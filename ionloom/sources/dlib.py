@@ -8,8 +8,8 @@ Writing: every task writes complete library files of bounded size (shards with a
 three tables), which the driver only renames on commit. SQLite has a single writer,
 so one file for a whole library would be one task.
 
-Shards are made in memory, and files on a remote file system are read into memory,
-so no task needs a folder of its own. Paths are full URIs: ``read_dlib`` and
+Shards are made in memory, and files on a remote file system are read into memory (and
+refused beyond 1 GB), so no task needs a folder of its own. Paths are full URIs: ``read_dlib`` and
 ``write_dlib`` resolve a plain path by the cluster's own file system settings.
 """
 
@@ -25,6 +25,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -41,7 +42,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ionloom import constants as K
 from ionloom.session import qualified
@@ -53,9 +54,14 @@ ROWS_PER_SHARD = 50_000         # about 100 MB of spectra in memory
 ROWS_PER_BATCH = 2_048
 LARGE_BYTES = 128 << 20         # a larger file on a local disk is read by ranges of rows
 PACKED_BYTES = 8 << 20          # smaller files are read together, about so many bytes a task
+REMOTE_BYTES = 1 << 30          # a larger file that is not on a local disk is refused; export shards instead
+RANGE_BYTES = 1 << 20           # of a file for each of its ranges at least, however sparse its row numbers are
 SQL_TYPES = {"integer": "int", "double": "double", "string": "string", "binary": "blob", "boolean": "boolean"}
 COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
+PATH, ROW = "_path", "_rowid"
+PROVENANCE = [StructField(PATH, StringType()), StructField(ROW, LongType())]
+
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a full URI (see ``session.qualified``) and the path in it."""
@@ -84,6 +90,9 @@ def _connect(path: str) -> sqlite3.Connection:
     fs, inner = _file_system(path)
     if isinstance(fs, pafs.LocalFileSystem):
         return sqlite3.connect(f"file:{quote(inner)}?mode=ro", uri=True)
+    size = fs.get_file_info(inner).size
+    if size > REMOTE_BYTES:
+        raise ValueError(f"{path} has {size} bytes; a library file that is not on a local disk may have {REMOTE_BYTES}")
     con = sqlite3.connect(":memory:")
     with fs.open_input_stream(inner) as source:
         con.deserialize(source.read())
@@ -114,7 +123,7 @@ class LibraryReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             name = getattr(f, "attribute", (None,))
-            known = len(name) == 1 and name[0] in self.schema.names
+            known = len(name) == 1 and name[0] in self.schema.names and name[0] not in (PATH, ROW)
             if known and type(f) in COMPARISONS:
                 self.where.append(f'"{name[0]}" {COMPARISONS[type(f)]} ?')
                 self.values.append(f.value)
@@ -136,6 +145,8 @@ class LibraryReader(DataSourceReader):
                 with closing(_connect(path)) as con:
                     first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
                 if first is not None:
+                    if not step:
+                        rows = max(rows, -(-(last - first + 1) // max(n_bytes // RANGE_BYTES, 1)))
                     out += [Ranges([RowRange(path, lo, lo + rows)]) for lo in range(first, last + 1, rows)]
                 continue
             held.append(RowRange(path))
@@ -151,7 +162,9 @@ class LibraryReader(DataSourceReader):
 
     def _read_range(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.schema)
-        names = ", ".join(f'"{n}"' for n in self.schema.names)
+        # where a row comes from is no column of the file
+        parts = {PATH: f"'{part.path.replace(chr(39), chr(39) * 2)}'", ROW: "rowid"}
+        names = ", ".join(parts.get(n, f'"{n}"') for n in self.schema.names)
         where, values = list(self.where), list(self.values)
         if part.start is not None:
             where = ["rowid >= ?", "rowid < ?", *where]
@@ -185,7 +198,7 @@ class LibraryWriter(DataSourceArrowWriter):
         self.schema, self.overwrite = schema, overwrite
         self.table = options.get("table", "entries")
         self.path = options["path"].rstrip("/")
-        self.job = uuid.uuid4().hex
+        self.job, self.shards = uuid.uuid4().hex, 0
         table_schema(self.table)
 
     def _pending(self, name: str) -> str:
@@ -205,7 +218,9 @@ class LibraryWriter(DataSourceArrowWriter):
 
     def _store(self, con: sqlite3.Connection) -> str:
         # a task that runs twice writes two names; only the committed one is renamed
-        name = f"{self.table}-{uuid.uuid4().hex}{SUFFIX}"
+        # names order like the tasks and their shards, so that rows keep their order in a folder
+        self.shards += 1
+        name = f"{self.table}-{TaskContext.get().partitionId():06d}-{self.shards:06d}-{uuid.uuid4().hex}{SUFFIX}"
         con.commit()
         fs, inner = _file_system(self._pending(name))
         fs.create_dir(os.path.dirname(inner), recursive=True)
@@ -252,7 +267,8 @@ class LibraryWriter(DataSourceArrowWriter):
 
 
 class LibraryFiles(DataSource):
-    """Options: ``path`` (full URI of a file or folder), ``table``, ``columns``, ``rows_per_partition``."""
+    """Options: ``path`` (full URI of a file or folder), ``table``, ``columns``, ``rows_per_partition``,
+    ``provenance`` (``true``: also the file and the row number each row comes from)."""
 
     @classmethod
     def name(cls) -> str:
@@ -261,7 +277,8 @@ class LibraryFiles(DataSource):
     def schema(self) -> StructType:
         full = table_schema(self.options.get("table", "entries"))
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        return StructType([full[c] for c in wanted]) if wanted else full
+        chosen = [full[c] for c in wanted] if wanted else full.fields
+        return StructType([*chosen, *PROVENANCE] if self.options.get("provenance") == "true" else chosen)
 
     def reader(self, schema: StructType) -> LibraryReader:
         return LibraryReader(schema, dict(self.options))
@@ -275,11 +292,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LibraryFiles)
 
 
-def read_dlib(spark: SparkSession, path: str, table: str = "entries", columns: list[str] | None = None):
+def read_dlib(spark: SparkSession, path: str, table: str = "entries", columns: list[str] | None = None, provenance: bool = False):
+    """Rows of library files; with ``provenance`` also ``_path`` and ``_rowid``, which order all rows of a folder."""
     register(spark)
     reader = spark.read.format("dlib").option("path", qualified(spark, path)).option("table", table)
     if columns:
         reader = reader.option("columns", ",".join(columns))
+    if provenance:
+        reader = reader.option("provenance", "true")
     return reader.load()
 
 

@@ -5,7 +5,7 @@ from ionloom.plans.build_library import append_library, build_library, save_libr
 from ionloom.plans.catalog.model_queries import plain_fragment_model, plain_retention_model
 from ionloom.plans.training_sets import samples_from_entries, samples_from_tables
 from ionloom.sources import blobs, library
-from ionloom.sources.dlib import read_dlib
+from ionloom.sources.dlib import read_dlib, write_dlib
 from ionloom.streaming.incremental import stream_library
 
 PROTEINS = [("p1", "MAAAAAKCCCCDDDKPEEEEEERGGGGGGSK"), ("p2", "MAAAAAKWWWWWWR"), ("p3", "LLLLLLLK")]
@@ -97,3 +97,34 @@ def test_result_does_not_depend_on_partitions(spark, parts):
     seen = test_result_does_not_depend_on_partitions.__dict__.setdefault("seen", set())
     seen.add(digest)
     assert len(seen) == 1
+
+
+def test_samples_do_not_depend_on_how_entries_lie_in_files(spark):
+    from ionloom.plans.catalog.source_queries import library_samples
+    from ionloom.plans.catalog.tables import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    found = [library_samples(tables, n) for n in (1, 50)]
+    one, many = (sorted(map(str, s.collect())) for s, _ in found)
+    assert one == many and found[0][1] == found[1][1]
+    assert found[0][1]["kept"] > found[0][1]["no ion"] > 0
+
+
+def test_rows_say_where_they_come_from(spark, tmp_path):
+    rows = spark.createDataFrame([(f"PEPTIDE{i}", 2) for i in range(90)], "PeptideSeq string, PrecursorCharge int").repartitionByRange(3, "PeptideSeq").sortWithinPartitions("PeptideSeq")
+    write_dlib(rows, str(tmp_path / "d'lib"))
+    back = read_dlib(spark, str(tmp_path / "d'lib"), columns=["PeptideSeq"], provenance=True)
+    got = back.where("PrecursorCharge IS NULL" if "PrecursorCharge" in back.columns else "PeptideSeq > 'A'").orderBy("_path", "_rowid").collect()
+    assert [r["PeptideSeq"] for r in got] == sorted(f"PEPTIDE{i}" for i in range(90))
+    assert len({r["_path"] for r in got}) == 3 and back.where("_rowid = 1").count() == 3
+
+
+def test_a_large_remote_library_file_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from ionloom.sources import dlib
+
+    store = SimpleNamespace(get_file_info=lambda _: SimpleNamespace(size=dlib.REMOTE_BYTES + 1))
+    monkeypatch.setattr(dlib, "_file_system", lambda path: (store, path))
+    with pytest.raises(ValueError, match="not on a local disk"):
+        dlib._connect("s3://store/big.dlib")

@@ -12,7 +12,7 @@ from ionloom.functions import encoding as E, masses as S
 from ionloom.operators import assembly, digestion, modification
 from ionloom.operators.frames import keep_computed, new_rows
 from ionloom.session import materialise
-from ionloom.sources import library
+from ionloom.sources import library, versions
 from ionloom.sources.schemas import METADATA
 
 DEFAULT_FIXED = {"C": K.MOD_MASSES["CAM"]}
@@ -157,34 +157,48 @@ def save_library(spark: SparkSession, built: Library, base: str, overwrite: bool
     library.append_table(built.score(digestion.unique_peptides(relation)), "entries", base)
 
 
-def append_library(
-    spark: SparkSession, proteins: DataFrame, base: str, retention_model: Callable,
+def missing_rows(
+    proteins: DataFrame, known_relation: DataFrame, known_entries: DataFrame, retention_model: Callable,
     fragment_model: Callable, charges: Sequence[int] = (2, 3), protease: str = "trypsin",
     missed_cleavages: int = 1, decoys: bool = False, fixed: Mapping[str, float] | None = None,
     variable: Mapping[str, float] | None = None, max_variable: int = 2, **scoring,
-) -> None:
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """What a library lacks of the precursors of proteins: rows of the relation, and a function that gives
+    the entries. Modified forms and charges that it holds are not scored."""
+    relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
+    relation = materialise(relation.distinct())  # read several times, but digested once
+
+    def entries() -> DataFrame:
+        forms = modification.apply_mods(
+            digestion.unique_peptides(relation), DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
+        ).select("PeptideSeq", "PeptideModSeq")
+        asked = F.explode(F.array(*[F.lit(int(z)) for z in charges])).alias("PrecursorCharge")
+        fresh = new_rows(forms.select("*", asked), known_entries.select(*ENTRY_KEY), ENTRY_KEY)
+        # a form is scored once for all the charges it lacks
+        wanted = fresh.groupBy("PeptideSeq", "PeptideModSeq").agg(F.collect_set("PrecursorCharge").alias("_wanted"))
+        return entry_arrays(score_forms(wanted, retention_model, fragment_model, charges, wanted="_wanted", **scoring))
+
+    return new_rows(relation, known_relation, ["PeptideSeq", "isDecoy", "ProteinAccession"]), entries
+
+
+def append_library(spark: SparkSession, proteins: DataFrame, base: str, retention_model: Callable, fragment_model: Callable, **options) -> None:
     """Add the precursors of proteins; a modified form and charge the library holds is not scored again.
 
     Running it twice with the same proteins adds nothing, so a repeated batch
     after a failure is harmless. Other charges or modified forms of a known
-    peptide are new precursors.
+    peptide are new precursors. For the options see ``missing_rows``.
     """
-    relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
-    relation = materialise(relation.distinct())  # read several times, but digested once
-    known = library.read_table(spark, base, "peptidetoprotein")
-    library.append_table(
-        new_rows(relation, known, ["PeptideSeq", "isDecoy", "ProteinAccession"]),
-        "peptidetoprotein",
-        base,
-    )
-    forms = modification.apply_mods(
-        digestion.unique_peptides(relation), DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
-    ).select("PeptideSeq", "PeptideModSeq")
-    asked = F.explode(F.array(*[F.lit(int(z)) for z in charges])).alias("PrecursorCharge")
-    fresh = new_rows(
-        forms.select("*", asked), library.read_table(spark, base, "entries").select(*ENTRY_KEY), ENTRY_KEY
-    )
-    # a form is scored once for all the charges it lacks
-    wanted = fresh.groupBy("PeptideSeq", "PeptideModSeq").agg(F.collect_set("PrecursorCharge").alias("_wanted"))
-    scored = score_forms(wanted, retention_model, fragment_model, charges, wanted="_wanted", **scoring)
-    library.append_table(entry_arrays(scored), "entries", base)
+    known = [library.read_table(spark, base, t) for t in ("peptidetoprotein", "entries")]
+    relation, entries = missing_rows(proteins, *known, retention_model, fragment_model, **options)
+    library.append_table(relation, "peptidetoprotein", base)
+    library.append_table(entries(), "entries", base)
+
+
+def append_library_version(
+    spark: SparkSession, proteins: DataFrame, base: str, retention_model: Callable, fragment_model: Callable, **options
+) -> versions.Version:
+    """The same on a library of versions: relation and entries appear together."""
+    before = versions.latest(spark, base)
+    known = [versions.read_version(spark, base, t, before) for t in ("peptidetoprotein", "entries")]
+    relation, entries = missing_rows(proteins, *known, retention_model, fragment_model, **options)
+    return versions.append_version(spark, base, {"peptidetoprotein": relation, "entries": entries})

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ionloom import constants as K
 from ionloom.functions import encoding as E, spectra as P
 from ionloom.operators import energy, models
+from ionloom.operators.frames import union_frames
 from ionloom.operators.modification import expand_charges
 from ionloom.operators.robust import fit_robust_retention
 from ionloom.operators.splits import exact_split
-from ionloom.plans.build_library import append_library, build_library, save_library, score_entries
+from ionloom.plans.build_library import append_library, append_library_version, build_library, save_library, score_entries
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.registry import query
@@ -19,7 +21,7 @@ from ionloom.plans.catalog.tables import CAM, Tables
 from ionloom.plans.training import evaluate_retention, train_fragments, train_retention
 from ionloom.plans.training_sets import samples_from_tables
 from ionloom.session import materialise, scratch_path
-from ionloom.sources import blobs, library
+from ionloom.sources import blobs, library, versions
 from ionloom.sources.dlib import read_dlib
 from ionloom.streaming.incremental import stream_library
 
@@ -478,3 +480,43 @@ def library_grown_by_stream(t: Tables):
     return entries.join(owners, "PeptideSeq").select(
         "PeptideModSeq", "PrecursorCharge", "n_proteins", F.round("PrecursorMz", 6).alias("PrecursorMz")
     )
+
+
+def broken_retention_model():
+    """A user model that ends in an error."""
+    raise RuntimeError("no model")
+
+
+_VERSION_COUNTS = "count(*) AS n_relation, 2 * count(DISTINCT PeptideSeq) AS n_entries"
+
+
+@query(
+    "library_version_appends",
+    f"""WITH {Q.DIGEST}, en AS (SELECT relation.* FROM relation JOIN documents USING (doc_id) WHERE lang = 'en')
+SELECT 'english' AS step, {_VERSION_COUNTS} FROM en UNION ALL SELECT 'after a failure', {_VERSION_COUNTS} FROM en
+UNION ALL SELECT 'all', {_VERSION_COUNTS} FROM relation UNION ALL SELECT 'english again', {_VERSION_COUNTS} FROM en
+UNION ALL SELECT 'in one folder', {_VERSION_COUNTS} FROM relation""",
+)
+def library_version_appends(t: Tables):
+    """Versions of a library: an append that fails between its tables shows nothing, and old versions stay readable."""
+    spark, base = t.spark, scratch_path(t.spark, "versions")
+    proteins = t.proteins().select("ProteinAccession", "sequence", "lang")
+    versions.create_versions(spark, base)
+    english = append_library_version(spark, proteins.where("lang = 'en'"), base, plain_retention_model, plain_fragment_model)
+    try:
+        append_library_version(spark, proteins, base, broken_retention_model, plain_fragment_model)
+        raise AssertionError("the append did not fail")
+    except PySparkException:
+        failed = versions.latest(spark, base)
+    whole = append_library_version(spark, proteins, base, plain_retention_model, plain_fragment_model)
+    versions.compact(spark, base, "entries")
+    steps = [("english", english), ("after a failure", failed), ("all", whole), ("english again", english.number), ("in one folder", None)]
+
+    def count(table: str, version):
+        return versions.read_version(spark, base, table, version).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    rows = [
+        spark.range(1).select(F.lit(step).alias("step"), count("peptidetoprotein", v).alias("n_relation"), count("entries", v).alias("n_entries"))
+        for step, v in steps
+    ]
+    return union_frames(*rows)

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -99,11 +99,50 @@ def nearest_intensities(
     return out
 
 
+def _joined(parts: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """All values of arrays in a row (NULL: none), and how many each has."""
+    arrays = [np.zeros(0) if p is None else np.asarray(p, "float64") for p in parts]
+    return np.concatenate([np.zeros(0), *arrays]), np.array([len(p) for p in arrays], np.int64)
+
+
+def nearest_in_batch(wanted: Sequence, mzs: Sequence, intensities: Sequence, resolution: str) -> list[np.ndarray]:
+    """``nearest_intensities`` of many spectra at once: one sort and one sweep over all of them."""
+    want, n_want = _joined(wanted)
+    mz, n_mz = _joined(mzs)
+    height, _ = _joined(intensities)
+    out = np.zeros(len(want))
+    ends = np.cumsum(n_want)[:-1]
+    if not len(want) or not len(mz):
+        return np.split(out, ends)
+    row_want, row_mz = (np.repeat(np.arange(len(n)), n) for n in (n_want, n_mz))
+    stop = np.cumsum(n_mz)
+    begin = stop - n_mz
+    # by spectrum and m/z; an ion stands before the peaks of its own m/z
+    peak = np.append(np.zeros(len(want), bool), np.ones(len(mz), bool))
+    order = np.lexsort((peak, np.append(want, mz), np.append(row_want, row_mz)))
+    is_peak = peak[order]
+    by_mz = order[is_peak] - len(want)
+    right = np.empty(len(want), np.int64)
+    right[order[~is_peak]] = np.cumsum(is_peak)[~is_peak]
+    # of equal peaks of a spectrum the first one counts
+    new = np.append(True, (mz[by_mz][1:] != mz[by_mz][:-1]) | (row_mz[by_mz][1:] != row_mz[by_mz][:-1]))
+    first = by_mz[np.maximum.accumulate(np.where(new, np.arange(len(by_mz)), 0))]
+    lo, hi = np.maximum(right - 1, 0), np.minimum(right, len(mz) - 1)
+    d_lo = np.where(right - 1 >= begin[row_want], np.abs(mz[by_mz[lo]] - want), np.inf)
+    d_hi = np.where(right < stop[row_want], np.abs(mz[by_mz[hi]] - want), np.inf)
+    index = np.where((d_lo < d_hi) | ((d_lo == d_hi) & (first[lo] <= first[hi])), first[lo], first[hi])
+    tol = K.MASS_TOLERANCES[resolution]
+    tol = tol * want if resolution == "high" else np.full(len(want), tol)
+    hit = (np.minimum(d_lo, d_hi) <= tol) & (want != 0.0)
+    out[hit] = height[index[hit]]
+    return np.split(out, ends)
+
+
 def match_arrays(wanted: Column, mzs: Column, intensities: Column, resolution: str = "high") -> Column:
     """Matched intensities of an ion m/z array, for spectra that are one row each.
 
     Library files hold a spectrum as a pair of arrays; matching them in place
-    needs no shuffle at all.
+    needs no shuffle at all. A batch of spectra is matched in one sweep.
     """
     if resolution not in K.MASS_TOLERANCES:
         raise ValueError(f"resolution must be one of {sorted(K.MASS_TOLERANCES)}")
@@ -111,25 +150,17 @@ def match_arrays(wanted: Column, mzs: Column, intensities: Column, resolution: s
     @pandas_udf(ArrayType(DoubleType()))
     def matched(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for w, m, i in parts:
-            yield pd.Series(
-                [
-                    nearest_intensities(
-                        np.asarray(a, "float64"), np.asarray(b, "float64"), np.asarray(c, "float64"), resolution
-                    )
-                    for a, b, c in zip(w, m, i)
-                ],
-                dtype="object",
-            )
+            found = nearest_in_batch(w.tolist(), m.tolist(), i.tolist(), resolution)
+            yield pd.Series(found if len(w) else [], dtype="object")
 
     # keeps the optimiser from copying the call into every expression that reads it
     return matched.asNondeterministic()(wanted, mzs, intensities)
 
 
 def normalise_matches(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Divide each matched intensity by (the largest of its spectrum + epsilon)."""
-    tops = matches.groupBy(*keys).agg((F.max("intensity") + F.lit(K.EPSILON)).alias("_top"))
-    return (
-        matches.join(tops, list(keys))
-        .withColumn("norm_intensity", F.col("intensity") / F.col("_top"))
-        .drop("_top")
-    )
+    """Divide each matched intensity by (the largest of its spectrum + epsilon).
+
+    One shuffle by spectrum; a spectrum has at most a few hundred ions.
+    """
+    top = F.max("intensity").over(Window.partitionBy(*keys)) + F.lit(K.EPSILON)
+    return matches.withColumn("norm_intensity", F.col("intensity") / top)

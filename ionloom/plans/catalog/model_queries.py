@@ -189,20 +189,6 @@ def whole_library_exported_and_read_back(t: Tables):
     return _exported_and_read_back(t, t.proteins().select("ProteinAccession", "sequence"))
 
 
-@query(
-    "library_exported_and_read_back",
-    f"""WITH {Q.MODIFIED}, {_CELLS}
-SELECT PeptideModSeq, PeptideSeq, z AS PrecursorCharge, round({_RT}, 6) AS RTInSeconds,
-count(*) FILTER (CAST(v::DOUBLE / top AS FLOAT) >= 0.001) AS n_peaks,
-CAST(sum(CASE WHEN CAST(v::DOUBLE / top AS FLOAT) >= 0.001 THEN {Q.micro("CAST(v::DOUBLE / top AS FLOAT)::DOUBLE")} ELSE 0 END) AS BIGINT) AS intensity_micro
-FROM predicted JOIN tops USING (PeptideModSeq, z) JOIN modified USING (PeptideModSeq) WHERE pos < n
-  AND PeptideSeq IN (SELECT p.PeptideSeq FROM relation p JOIN documents USING (doc_id) WHERE lang = 'es') GROUP BY PeptideModSeq, PeptideSeq, z""",
-)
-def library_exported_and_read_back(t: Tables):
-    """The same of the Spanish proteins only, as its SQL has it."""
-    return _exported_and_read_back(t, t.proteins().where(F.col("lang") == "es").select("ProteinAccession", "sequence"))
-
-
 def _retention_rows(t: Tables):
     return t.retention().withColumn("CodedPeptideSeq", E.coded_sequence("PeptideModSeq"))
 

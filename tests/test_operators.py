@@ -11,7 +11,7 @@ from ionloom import constants as K
 from ionloom.functions import masses as S
 from ionloom.operators import assembly, distributions as D, frames, losses, models
 from ionloom.operators.digestion import peptides_to_proteins, unique_peptides
-from ionloom.operators.matching import match_arrays, match_ions, nearest_intensities
+from ionloom.operators.matching import match_arrays, match_ions, nearest_in_batch, nearest_intensities
 from ionloom.operators.modification import expand_charges
 from ionloom.operators.splits import exact_split
 
@@ -293,3 +293,18 @@ def test_split_evaluates_its_input_twice(spark, groups, unique):
     rows = spark.range(3000).withColumn("g", F.col("id") % 5).mapInPandas(count, "id long, g long")
     exact_split(rows, 0.2, ["id"], groups, unique_key=unique).write.format("noop").mode("overwrite").save()
     assert seen.value == 3000 * (2 if unique else 3)    # copies at the boundary are written apart
+
+
+@pytest.mark.parametrize("resolution", ["high", "low"])
+def test_a_batch_of_spectra_matches_like_each_alone(resolution):
+    rng = np.random.default_rng(5)
+    spectra = []
+    for _ in range(300):
+        peaks = np.round(rng.uniform(100, 110, rng.integers(0, 25)), rng.integers(0, 5))
+        ions = np.concatenate([np.round(rng.uniform(99, 111, rng.integers(0, 12)), 1), rng.choice(peaks, min(len(peaks), 3)), [0.0] * rng.integers(0, 2)])
+        spectra.append((rng.permutation(ions), rng.permutation(peaks), rng.uniform(1, 9, len(peaks))))
+    got = nearest_in_batch(*zip(*spectra), resolution)
+    assert len(got) == 300
+    for found, (ions, peaks, heights) in zip(got, spectra):
+        assert found.tolist() == nearest_intensities(ions, peaks, heights, resolution).tolist()
+    assert [f.tolist() for f in nearest_in_batch([None, [1.0]], [[1.0], None], [[2.0], None], resolution)] == [[], [0.0]]

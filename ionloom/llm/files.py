@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionloom.session import qualified, scratch_path
 
@@ -49,5 +49,6 @@ def dealt(files: DataFrame, column: str | list[str], n: int, each: int = 8) -> D
     usual = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(n, max(usual, -(-n // each))))
     if isinstance(column, str):
-        return files.repartition(tasks, column)
+        # by a hash of its own: after a join by the same column, dealing by it again would be left out
+        return files.repartition(tasks, F.xxhash64(column))
     return files.repartitionByRange(tasks, *column).sortWithinPartitions(*column)

@@ -187,7 +187,7 @@ def test_files_are_dealt_to_as_many_tasks(spark):
 def test_files_are_dealt_after_a_join_by_their_path(spark):
     from ionloom.llm.files import dealt
 
-    paths = spark.range(8).select(F.concat(F.lit("p"), F.col("id")).alias("path"))
-    others = spark.range(40).select(F.concat(F.lit("p"), F.col("id") % 8).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    some = dealt(paths.hint("merge").join(others, "path", "left"), "path", 8).mapInArrow(lambda batches: batches, "path string, n long")
-    assert some.select(F.spark_partition_id().alias("t")).distinct().count() > 3
+    paths = spark.range(64).select(F.concat(F.lit("p"), F.col("id")).alias("path"))
+    others = spark.range(400).select(F.concat(F.lit("p"), F.col("id") % 64).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    some = dealt(paths.hint("merge").join(others, "path", "left"), "path", 64).mapInArrow(lambda batches: batches, "path string, n long")
+    assert some.select(F.spark_partition_id().alias("t")).distinct().count() > 5

@@ -157,26 +157,33 @@ def save_library(spark: SparkSession, built: Library, base: str, overwrite: bool
     library.append_table(built.score(digestion.unique_peptides(relation)), "entries", base)
 
 
+def missing_entries(
+    peptides: DataFrame, known_entries: DataFrame, retention_model: Callable, fragment_model: Callable,
+    charges: Sequence[int] = (2, 3), fixed: Mapping[str, float] | None = None, variable: Mapping[str, float] | None = None,
+    max_variable: int = 2, **scoring,
+) -> DataFrame:
+    """Entries of unique peptides that a library lacks. Modified forms and charges that it holds are not scored."""
+    forms = modification.apply_mods(
+        peptides, DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
+    ).select("PeptideSeq", "PeptideModSeq")
+    asked = F.explode(F.array(*[F.lit(int(z)) for z in charges])).alias("PrecursorCharge")
+    fresh = new_rows(forms.select("*", asked), known_entries.select(*ENTRY_KEY), ENTRY_KEY)
+    # a form is scored once for all the charges it lacks
+    wanted = fresh.groupBy("PeptideSeq", "PeptideModSeq").agg(F.collect_set("PrecursorCharge").alias("_wanted"))
+    return entry_arrays(score_forms(wanted, retention_model, fragment_model, charges, wanted="_wanted", **scoring))
+
+
 def missing_rows(
     proteins: DataFrame, known_relation: DataFrame, known_entries: DataFrame, retention_model: Callable,
-    fragment_model: Callable, charges: Sequence[int] = (2, 3), protease: str = "trypsin",
-    missed_cleavages: int = 1, decoys: bool = False, fixed: Mapping[str, float] | None = None,
-    variable: Mapping[str, float] | None = None, max_variable: int = 2, **scoring,
+    fragment_model: Callable, protease: str = "trypsin", missed_cleavages: int = 1, decoys: bool = False, **options,
 ) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """What a library lacks of the precursors of proteins: rows of the relation, and a function that gives
-    the entries. Modified forms and charges that it holds are not scored."""
+    the entries (see ``missing_entries``)."""
     relation = digestion.peptides_to_proteins(proteins, protease, missed_cleavages, decoys)
     relation = materialise(relation.distinct())  # read several times, but digested once
 
     def entries() -> DataFrame:
-        forms = modification.apply_mods(
-            digestion.unique_peptides(relation), DEFAULT_FIXED if fixed is None else fixed, variable, max_variable
-        ).select("PeptideSeq", "PeptideModSeq")
-        asked = F.explode(F.array(*[F.lit(int(z)) for z in charges])).alias("PrecursorCharge")
-        fresh = new_rows(forms.select("*", asked), known_entries.select(*ENTRY_KEY), ENTRY_KEY)
-        # a form is scored once for all the charges it lacks
-        wanted = fresh.groupBy("PeptideSeq", "PeptideModSeq").agg(F.collect_set("PrecursorCharge").alias("_wanted"))
-        return entry_arrays(score_forms(wanted, retention_model, fragment_model, charges, wanted="_wanted", **scoring))
+        return missing_entries(digestion.unique_peptides(relation), known_entries, retention_model, fragment_model, **options)
 
     return new_rows(relation, known_relation, ["PeptideSeq", "isDecoy", "ProteinAccession"]), entries
 
@@ -186,7 +193,7 @@ def append_library(spark: SparkSession, proteins: DataFrame, base: str, retentio
 
     Running it twice with the same proteins adds nothing, so a repeated batch
     after a failure is harmless. Other charges or modified forms of a known
-    peptide are new precursors. For the options see ``missing_rows``.
+    peptide are new precursors. For the options see ``missing_rows`` and ``missing_entries``.
     """
     known = [library.read_table(spark, base, t) for t in ("peptidetoprotein", "entries")]
     relation, entries = missing_rows(proteins, *known, retention_model, fragment_model, **options)

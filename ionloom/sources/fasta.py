@@ -93,6 +93,9 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return proteins_of(raw_records(spark.read.option("lineSep", RECORD_SEPARATOR).text(path)))
 
 
-def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
+def stream_fasta(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """FASTA files that arrive in a folder, as a stream of raw records for ``proteins_of``."""
-    return raw_records(spark.readStream.option("lineSep", RECORD_SEPARATOR).text(path))
+    reader = spark.readStream.option("lineSep", RECORD_SEPARATOR)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return raw_records(reader.text(path))

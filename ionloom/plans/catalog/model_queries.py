@@ -24,6 +24,7 @@ from ionloom.session import materialise, scratch_path
 from ionloom.sources import blobs, library, versions
 from ionloom.sources.dlib import read_dlib
 from ionloom.streaming.incremental import stream_library
+from ionloom.streaming.proteins import current_relation, live_entries, score_relation, stream_relation
 
 
 def plain_retention_model():
@@ -506,3 +507,37 @@ def library_version_appends(t: Tables):
         for step, v in steps
     ]
     return union_frames(*rows)
+
+
+_CHANGED = f"""{Q.PROTEINS.replace("proteins AS (", "first_texts AS (", 1)},
+proteins AS (SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id % 3 = 1 THEN reverse(sequence) WHEN doc_id % 13 = 5 THEN '' ELSE sequence END AS sequence
+  FROM first_texts), {Q.fragments()}, {Q.RUNS}, {Q.RELATION}"""
+
+
+@query(
+    "library_of_changed_proteins",
+    f"""WITH {_CHANGED}, owners AS (SELECT PeptideSeq, count(*) AS n_proteins FROM relation GROUP BY PeptideSeq)
+SELECT replace(PeptideSeq, 'C', 'C{Q.CAM_TEXT}') AS PeptideModSeq, z AS PrecursorCharge, n_proteins FROM owners, (VALUES (2), (3)) c(z)""",
+)
+def library_of_changed_proteins(t: Tables):
+    """Proteins of all documents arrive in a stream; then a third of them with another sequence, some without
+    one, and some as they were. Entries are live while a protein still has their peptide."""
+    spark = t.spark
+    log, incoming, progress, base = (scratch_path(spark, name) for name in ("changes", "arriving", "progress", "followed"))
+    library.create_library(spark, base)
+    of = lambda n, i: F.col("doc_id") % n == i
+    header = F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit("\n"))
+    later = F.when(of(3, 1), F.reverse("sequence")).when(of(13, 5), F.lit("")).otherwise(F.col("sequence"))
+    proteins = t.proteins()
+    arrivals = [
+        proteins.select(F.concat(header, "sequence")),
+        proteins.where(of(3, 1) | of(13, 5) | of(4, 2)).select(F.concat(header, later)),
+    ]
+    for arrival in arrivals:
+        arrival.write.mode("append").text(incoming)
+        stream_relation(spark, incoming, log, progress).awaitTermination()
+        score_relation(spark, base, current_relation(spark, log), plain_retention_model, plain_fragment_model)
+    relation = current_relation(spark, log)
+    owners = relation.groupBy("PeptideSeq").agg(F.count(F.lit(1)).alias("n_proteins"))
+    live = live_entries(library.read_table(spark, base, "entries"), relation)
+    return live.join(owners, "PeptideSeq").select("PeptideModSeq", "PrecursorCharge", "n_proteins")

@@ -8,7 +8,8 @@ are packed independently, so no task sees more than one group.
 
 Null text counts as empty, so it has only the end id. Rows that repeat are packed
 each for themselves; an empty table gives no row. Without an end id an empty text
-has no ids and gives one piece of length 0.
+has no ids and gives one piece of length 0. Other columns of the input are not read, so
+their names may be any; a text of megabytes is only cut into more pieces.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ from ionloom.llm.tokens import blocks, encode_texts
 CAPACITY = 2048
 GROUP_PIECES = 100_000      # pieces that are packed together, about
 
+WEIGHED, LATE = "weighed", "if none fits"
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_NAMES = [part.split()[0] for part in PIECES.split(", ")]
+PLACES = "sequence_id long, offset long"
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, capacity: int
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, capacity: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
     end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
     for batch in slices(batches):
-        texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
+        texts, rows, kept = [t or "" for t in batch.column(1).to_pylist()], [], []
         for start, stop in blocks(texts):
             for i, ids in enumerate(encode_texts(path, texts[start:stop]), start):
                 raw = ids + end
@@ -46,21 +50,34 @@ def _pieces(
                 while True:
                     take = (n - at) % capacity or min(capacity, n - at)
                     rows.append((i, piece, at, take, zlib.crc32(raw[4 * at : 4 * (at + take)])))
+                    if with_ids:
+                        kept.append(np.frombuffer(raw, "<u4", take, 4 * at).astype(np.int32))
                     at, piece = at + take, piece + 1
                     if at >= n:
                         break
         row, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
         columns = [batch.column(0).take(pa.array(row)), piece.astype(np.int32), start, length, crc]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PIECE_NAMES)
+        names = PIECE_NAMES
+        if with_ids:
+            ends = np.concatenate([[0], length.cumsum()]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, np.concatenate([*kept, np.array([], np.int32)])))
+            names = [*names, "ids"]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(
+    lengths: np.ndarray, capacity: int = CAPACITY, new_bins: str = LATE
+) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each piece, placed in the given order.
 
     ``open_bins[g]`` counts the open bins with gap ``g``. Moving a bin from gap g to
     g - s changes the sum of squares by 2 (open[g - s] - open[g]) + 2, or by
-    1 - 2 open[g] if that fills it. On a tie the smallest gap wins.
+    1 - 2 open[g] if that fills it; a new bin changes it by 2 open[capacity - s] + 1. On a
+    tie the smallest gap wins and a new bin (if weighed) loses. A piece of length 0 changes nothing
+    and opens a bin only if none is open.
     """
+    if new_bins not in (WEIGHED, LATE):
+        raise ValueError(f"new_bins is {WEIGHED!r} or {LATE!r}")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     open_bins = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -74,7 +91,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
             if len(gaps):
                 change = 2 * (open_bins[gaps - size] - open_bins[gaps]) + 2
                 change[gaps == size] = 1 - 2 * open_bins[size]
-                gap = int(gaps[change.argmin()])
+                best = change.argmin()
+                if new_bins == LATE or size == 0 or change[best] <= 2 * open_bins[capacity - size] + 1:
+                    gap = int(gaps[best])
         if gap < 0:
             gap, number, made = capacity, made, made + 1
         else:
@@ -87,10 +106,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-def _pack(group: pa.Table, capacity: int) -> pa.Table:
+def _pack(group: pa.Table, capacity: int, new_bins: str) -> pa.Table:
     order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]]
     group = group.sort_by(order)
-    bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
+    bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity, new_bins)
     numbers = (group["pack"].to_numpy() << 32) + bins
     return (
         group.drop_columns(["pack"])
@@ -99,6 +118,27 @@ def _pack(group: pa.Table, capacity: int) -> pa.Table:
     )
 
 
+def _cut(docs: DataFrame, path: str, end_id: int | None, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    """The written pieces, each with its turn."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cut = partial(_pieces, path=path, end_id=end_id, capacity=capacity, with_ids=with_ids)
+    pieces = rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return written(pieces.withColumn("turn", F.monotonically_increasing_id()), "pieces")
+
+
+def _place(pieces: DataFrame, capacity: int, new_bins: str) -> DataFrame:
+    groups = -(-pieces.count() // GROUP_PIECES) or 1
+    # by turns, so that equal rows do not meet; the turns are those of the written table
+    dealt = pieces.withColumn("pack", F.pmod("turn", F.lit(groups)))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+
+    def pack(group: pa.Table) -> pa.Table:
+        return _pack(group, capacity, new_bins)
+
+    return dealt.groupBy("pack").applyInArrow(pack, f"{shape}, {PLACES}")
+
+
 def pack_documents(
     docs: DataFrame,
     path: str,
@@ -106,17 +146,35 @@ def pack_documents(
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
+    new_bins: str = LATE,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = partial(_pieces, path=path, end_id=end_id, capacity=capacity)
-    pieces = written(rows.mapInArrow(cut, PIECES).withColumn("turn", F.monotonically_increasing_id()), "pieces")
-    groups = -(-pieces.count() // GROUP_PIECES) or 1
-    # by turns, so that equal rows do not meet; the turns are those of the written table
-    dealt = pieces.withColumn("pack", F.pmod("turn", F.lit(groups))).drop("turn")
+    pieces = _cut(docs, path, end_id, capacity, id_col, text_col, with_ids=False)
+    return _place(pieces, capacity, new_bins).drop("turn")
 
-    def pack(group: pa.Table) -> pa.Table:
-        return _pack(group, capacity)
 
-    return dealt.groupBy("pack").applyInArrow(pack, f"{PIECES}, sequence_id long, offset long")
+def packed_sequences(
+    docs: DataFrame,
+    path: str,
+    end_id: int | None = None,
+    capacity: int = CAPACITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    new_bins: str = LATE,
+) -> DataFrame:
+    """Per sequence: sequence_id, its ids, and its pieces (doc_id, piece, start, length, offset) in order.
+
+    Places are found without the ids, which come back by the turns of the written pieces. With
+    an end id no piece is empty, so a sequence gathers at most ``capacity`` ids.
+    """
+    pieces = _cut(docs, path, end_id, capacity, id_col, text_col, with_ids=True)
+    places = _place(pieces.drop("ids"), capacity, new_bins)
+    whole = places.join(pieces.select("turn", "ids"), "turn")
+    part = F.struct("offset", "length", "turn", "doc_id", "piece", "start", "ids")
+    gathered = whole.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    names = ("doc_id", "piece", "start", "length", "offset")
+    return gathered.select(
+        "sequence_id",
+        F.flatten("parts.ids").alias("ids"),
+        F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n in names])).alias("pieces"),
+    )

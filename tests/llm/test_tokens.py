@@ -141,23 +141,50 @@ def test_packing_of_an_empty_table(empty, bpe):
     assert packing.pack_documents(empty, bpe, end_id=0).collect() == []
 
 
-def test_every_piece_takes_the_smallest_sum_of_squares():
+def test_packed_sequences_hold_the_ids(awkward, empty, bpe, library):
+    docs = awkward.withColumn("ids", F.lit("clash")).withColumn("parts", F.lit(1)).withColumn("turn", F.lit(2))
+    rows = packing.packed_sequences(docs, bpe, end_id=0, capacity=100).collect()
+    got = defaultdict(list)
+    for r in rows:
+        assert len(r["ids"]) == sum(p["length"] for p in r["pieces"]) <= 100
+        for p in r["pieces"]:
+            got[p["doc_id"]].append((p["start"], r["ids"][p["offset"] : p["offset"] + p["length"]]))
+    want = defaultdict(list)
+    for key, text in AWKWARD:
+        want[key] += ids_of(library, text, [0])
+    assert {k: sorted(i for _, ids in v for i in ids) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    alone = [k for k in want if sum(k == key for key, _ in AWKWARD) == 1]
+    assert all([i for _, ids in sorted(got[k]) for i in ids] == want[k] for k in alone)
+    assert packing.packed_sequences(empty, bpe, end_id=0).collect() == []
+
+
+@pytest.mark.parametrize("new_bins", [packing.WEIGHED, packing.LATE])
+@pytest.mark.parametrize("order", ["as drawn", "longest first"])
+def test_every_piece_takes_the_smallest_sum_of_squares(new_bins, order):
     random.seed(2)
     capacity, sizes = 20, np.array([random.randint(0, 20) for _ in range(400)])
-    bins, offsets = packing.sum_of_squares(sizes, capacity)
-    gap, made = {}, 0
+    if order == "longest first":
+        sizes = np.sort(sizes)[::-1]
+    bins, offsets = packing.sum_of_squares(sizes, capacity, new_bins)
+    gap, made, news = {}, 0, 0
 
     def total(gaps):
         return sum(n * n for g, n in Counter(gaps.values()).items() if 0 < g < capacity)
 
     for size, number, offset in zip(sizes.tolist(), bins.tolist(), offsets.tolist()):
-        options = [total({**gap, b: g - size}) for b, g in gap.items() if g >= max(size, 1)]
-        if not options:
+        fits = [total({**gap, b: g - size}) for b, g in gap.items() if max(size, 1) <= g < capacity]
+        options = list(fits)
+        if not fits or (new_bins == packing.WEIGHED and size):
             options.append(total({**gap, made: capacity - size}))
         assert offset == capacity - gap.get(number, capacity)
-        made += number not in gap
+        new = number not in gap
+        made, news = made + new, news + (new and bool(fits))
         gap[number] = gap.get(number, capacity) - size
         assert gap[number] >= 0 and total(gap) == min(options)
+        assert not (new and fits) or min(fits) > min(options)
+    assert (news > 0) == (new_bins == packing.WEIGHED) or order == "longest first"
+    with pytest.raises(ValueError):
+        packing.sum_of_squares(sizes, capacity, "other")
 
 
 def test_packing_is_close_to_the_bound():

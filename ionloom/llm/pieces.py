@@ -16,6 +16,18 @@ byte pieces where the model has them. Null text counts as empty and has one
 segmentation, the one of the normalised empty text. Ties are ordered by the search
 and are the same on every run. Decoding gives the normalised text, in which the
 white space mark is a space.
+
+Two things are not the same: the best path of the lattice, and what the sentencepiece
+library encodes. For a vocabulary of merges (as ``piece_bpe_32k.model``) the scores are
+merge ranks, so the lattice ranks segmentations by the sum of their ranks, and the
+library's own encoding joins the pair of best rank first. ``encode_pieces`` gives that
+encoding, ``n_best_pieces`` the lattice's segmentations, ``decode_pieces`` the text of
+ids; ``segmentations`` gives checksums of the n best. Vocabularies of unigrams, whose
+own encoding is the best path, are told apart by ``merges=False``.
+
+Rows that repeat give repeated rows, an empty table gives none, and further columns pass
+through by place, so their names may clash with those that are added. A text of megabytes
+is solved unit by unit; long units are solved each time and not kept.
 """
 
 from __future__ import annotations
@@ -24,19 +36,20 @@ import heapq
 import re
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ionloom.llm.memory import worker_cache
-from ionloom.llm.rows import with_text_columns
+from ionloom.llm.memory import bounded_batches, worker_cache
+from ionloom.llm.rows import slices, with_text_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0      # fixed value of the format: below the smallest score
 CACHE_UNITS = 600_000       # units in each half of a worker's cache
+LONG_UNIT = 256             # longer units are not kept
 BEST = 4
 
 
@@ -55,7 +68,8 @@ class PieceModel:
         self.bytes = {int(names[i][3:5], 16): i for i in size if self.library.is_byte(i)}
         self.ids = {n: i for i, n in enumerate(names) if not special[i] and not self.library.is_byte(i)}
         self.unknown = self.library.unk_id()
-        scores = {n: self.library.get_score(i) for n, i in self.ids.items()}
+        self.names = pa.array(names)
+        self.scores = scores = {n: self.library.get_score(i) for n, i in self.ids.items()}
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         # (next character -> node, score and id if a piece ends here)
         self.trie: tuple[dict, float | None, int] = ({}, None, -1)
@@ -73,6 +87,8 @@ class PieceModel:
         self.unit = self._unit_pattern()
         self.cache: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.passing: list[str] = []        # long units of the text at hand
+        self.merged: dict[str, bytes] = {}
 
     def _unit_pattern(self) -> re.Pattern | None:
         """What splits a text so that no piece crosses a boundary; None if only the whole text does."""
@@ -177,6 +193,48 @@ class PieceModel:
                 heapq.heappush(queue, (-(forward[i] + value + done), i, pushed, value + done, (i, link)))
         return out
 
+    def merge(self, unit: str) -> list[int]:
+        """Ids of a unit by merges: of all adjacent pairs that are a piece, the best one joins, the leftmost of equals."""
+        n = len(unit)
+        end, before = list(range(1, n + 1)), list(range(-1, n))   # a part's end; the part that ends at a place
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(left: int, middle: int, stop: int) -> None:
+            score = self.scores.get(unit[left:stop])
+            if score is not None:
+                heapq.heappush(queue, (-score, left, middle, stop))
+
+        for i in range(n - 1):
+            offer(i, i + 1, i + 2)
+        while queue:
+            _, left, middle, stop = heapq.heappop(queue)
+            if end[left] != middle or end[middle] != stop:
+                continue        # one of its parts has grown or gone meanwhile
+            end[left], end[middle], before[stop] = stop, -1, left
+            if stop < n:
+                offer(left, stop, end[stop])
+            if left:
+                offer(before[left], left, stop)
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(end[cuts[-1]])
+        return self.ids_of(unit, cuts)
+
+    def merge_text(self, text: str) -> bytes:
+        """Ids of a whole text as the library gives them, where its scores are merge ranks."""
+        units = self.units(self.library.normalize(text))
+        out = []
+        for unit in units:
+            ids = self.merged.get(unit)
+            if ids is None:
+                ids = id_bytes(self.merge(unit))
+                if len(unit) <= LONG_UNIT:
+                    if len(self.merged) >= CACHE_UNITS:
+                        self.merged = {}
+                    self.merged[unit] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def _learn(self, units: set[str]) -> None:
         new = units.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_UNITS:
@@ -184,6 +242,8 @@ class PieceModel:
             new = units
         for unit in new:
             self.cache[unit] = self.older.get(unit) or self.solve(unit)
+            if len(unit) > LONG_UNIT:
+                self.passing.append(unit)
 
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text (fewer if there are fewer): score and ids as bytes."""
@@ -194,6 +254,8 @@ class PieceModel:
         self._learn(set(units))
         columns = zip(*map(self.cache.__getitem__, units), strict=True) if units else ((), (), (), ())
         parts, _, scores, loss = map(list, columns)
+        while self.passing:
+            self.cache.pop(self.passing.pop(), None)
         score = sum(scores)
         free = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__) if n > 1 else []
         free = [i for i in free if loss[i] < np.inf]
@@ -257,3 +319,60 @@ def segmentations(docs: DataFrame, path: str, n: int = BEST, keep: Sequence[str]
     and checksums of their ids; of the best also its number of ids and whether it decodes to
     the normalised text."""
     return with_text_columns(docs, keep, text_col, partial(_encode, path=path, n=n), FIELDS)
+
+
+def _id_lists(parts: list[bytes]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(parts), np.int32))
+
+
+def _encode_ids(texts: list[str], path: str, merges: bool) -> tuple:
+    model = piece_model(path)
+    parts = [model.merge_text(t) if merges else model.encode(t, 1)[0][1] for t in texts]
+    ids = _id_lists(parts)
+    return ids, pa.ListArray.from_arrays(ids.offsets, model.names.take(ids.values))
+
+
+def encode_pieces(
+    docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", merges: bool = True
+) -> DataFrame:
+    """Per row the columns ``keep``, and the ids and pieces that the sentencepiece library gives for its text."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("pieces", T.ArrayType(T.StringType()))]
+    return with_text_columns(docs, keep, text_col, partial(_encode_ids, path=path, merges=merges), fields)
+
+
+def _n_best(texts: list[str], path: str, n: int) -> tuple:
+    model = piece_model(path)
+    found = [model.encode(t, n) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    scores = pa.array([s for f in found for s, _ in f], pa.float64())
+    ids = _id_lists([i for f in found for _, i in f])
+    return (pa.ListArray.from_arrays(ends, scores), pa.ListArray.from_arrays(ends, ids))
+
+
+def n_best_pieces(docs: DataFrame, path: str, n: int = BEST, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Per row the columns ``keep``, and scores and ids of its n best segmentations, best first."""
+    ids = T.ArrayType(T.ArrayType(T.IntegerType()))
+    fields = [T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("ids", ids)]
+    return with_text_columns(docs, keep, text_col, partial(_n_best, path=path, n=n), fields)
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    model = piece_model(path)
+    for batch in slices(batches):
+        texts = [None if ids is None else model.decode(id_bytes(ids)) for ids in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
+
+
+def decode_pieces(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+    """Per row the columns ``keep`` and the text of its ids. Null ids give a null text, no ids an empty one.
+
+    Byte pieces that are no UTF-8 become replacement characters; an id that the model has not is an error.
+    """
+    bounded_batches(encoded.sparkSession)
+    rows = encoded.select(*keep, F.col(ids_col).cast("array<long>").alias("_ids"))
+    kept = rows.schema.fields[:-1]
+    places = [f"c{i}" for i in range(len(kept) + 1)]
+    shape = T.StructType([*[T.StructField(p, f.dataType) for p, f in zip(places, kept, strict=False)], T.StructField(places[-1], T.StringType())])
+    out = rows.toDF(*places).mapInArrow(partial(_decode_batches, path=path, names=places), shape)
+    return out.toDF(*[f.name for f in kept], "text")

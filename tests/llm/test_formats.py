@@ -174,6 +174,67 @@ def test_segmentations_of_awkward_rows(awkward, empty, model, pieces_path):
     assert pieces.segmentations(empty, pieces_path).collect() == []
 
 
+def odd_texts():
+    rng = random.Random(9)
+    symbols = [*"abethiouns 12  .,-'é²\n\tﬁ", "你", "𠀀", "<s>", "</s>", "<unk>", "<0x41>", "▁", "ing", " the ", "\u200b", "e\u0301"]
+    return [*short_texts(), *("".join(rng.choices(symbols, k=rng.randint(0, 60))) for _ in range(2000)), "x" * 5000, "ab" * 3000 + "é" * 900]
+
+
+def test_merges_equal_the_library(model):
+    for text in odd_texts():
+        assert np.frombuffer(model.merge_text(text), "<u4").tolist() == model.library.encode(text), text
+
+
+def test_whole_documents_are_encoded_as_by_the_library_and_decoded(spark, model, pieces_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    encoded = pieces.encode_pieces(docs, pieces_path, ["doc_id", "text"])
+    rows = encoded.collect()
+    assert len(rows) == docs.count() > 0
+    for r in rows:
+        assert r["ids"] == model.library.encode(r["text"] or "")
+        assert r["pieces"] == [model.library.id_to_piece(i) for i in r["ids"]]
+    texts = pieces.decode_pieces(encoded, pieces_path, ["doc_id"]).collect()
+    whole = {r["doc_id"]: model.library.normalize(r["text"] or "").replace("▁", " ") for r in rows}
+    lead = 1 if model.prefix else 0
+    assert {r["doc_id"]: r["text"] for r in texts} == {k: w[lead:] if w.startswith(" ") else w for k, w in whole.items()}
+
+
+def test_pieces_of_awkward_rows(awkward, empty, model, pieces_path):
+    docs = awkward.withColumn("ids", F.lit("clash")).withColumn("scores", F.lit(1))
+    best = pieces.n_best_pieces(docs, pieces_path, 3, ["doc_id", "scores"])
+    got = Counter((r[0], tuple(r[2]), tuple(map(tuple, r[3]))) for r in best.collect())
+    want = Counter()
+    for key, text in AWKWARD:
+        found = model.encode(text or "", 3)
+        want[key, tuple(s for s, _ in found), tuple(tuple(np.frombuffer(i, "<u4").tolist()) for _, i in found)] += 1
+    assert got == want
+    encoded = pieces.encode_pieces(docs, pieces_path, ["doc_id", "ids"])
+    assert Counter((r[0], tuple(r[2])) for r in encoded.collect()) == Counter((k, tuple(model.library.encode(t or ""))) for k, t in AWKWARD)
+    for frame in (pieces.encode_pieces(empty, pieces_path), pieces.n_best_pieces(empty, pieces_path)):
+        assert frame.collect() == []
+
+
+def test_decoding_of_awkward_ids(spark, model, pieces_path):
+    cat = model.library.encode("the cat 你")
+    ids = spark.createDataFrame([(1, cat, "x"), (1, cat, "x"), (2, [], None), (3, None, "y"), (None, [model.bytes[0xFF]], "z")], "doc_id long, ids array<int>, text string")
+    rows = pieces.decode_pieces(ids, pieces_path, ["text", "doc_id"]).collect()
+    want = Counter({("x", 1, "the cat 你"): 2, (None, 2, ""): 1, ("y", 3, None): 1, ("z", None, "\ufffd"): 1})
+    assert Counter(map(tuple, rows)) == want
+    assert pieces.decode_pieces(ids.limit(0), pieces_path).collect() == []
+
+
+def test_long_units_are_not_kept(model, pieces_path):
+    fresh = pieces.PieceModel(pieces_path)
+    long_text = "the " + "".join(random.Random(1).choices("abcdefgh", k=300_000)) + " cat"
+    assert fresh.merge_text(long_text) == id_bytes_of(fresh.library.encode(long_text))
+    assert fresh.encode(long_text, 2)[0] == model.encode(long_text, 2)[0]
+    assert max(map(len, [*fresh.cache, *fresh.merged])) <= pieces.LONG_UNIT
+
+
+def id_bytes_of(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
 def test_files_are_dealt_to_as_many_tasks(spark):
     from ionloom.llm.files import dealt
 

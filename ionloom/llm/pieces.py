@@ -22,7 +22,7 @@ library encodes. For a vocabulary of merges (as ``piece_bpe_32k.model``) the sco
 merge ranks, so the lattice ranks segmentations by the sum of their ranks, and the
 library's own encoding joins the pair of best rank first. ``encode_pieces`` gives that
 encoding, ``n_best_pieces`` the lattice's segmentations, ``decode_pieces`` the text of
-ids; ``segmentations`` gives checksums of the n best. Vocabularies of unigrams, whose
+ids; ``segmentations`` gives checksums of both. Vocabularies of unigrams, whose
 own encoding is the best path, are told apart by ``merges=False``.
 
 Rows that repeat give repeated rows, an empty table gives none, and further columns pass
@@ -222,7 +222,9 @@ class PieceModel:
 
     def merge_text(self, text: str) -> bytes:
         """Ids of a whole text as the library gives them, where its scores are merge ranks."""
-        units = self.units(self.library.normalize(text))
+        return self.merge_units(self.units(self.library.normalize(text)))
+
+    def merge_units(self, units: list[str]) -> bytes:
         out = []
         for unit in units:
             ids = self.merged.get(unit)
@@ -247,10 +249,9 @@ class PieceModel:
 
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text (fewer if there are fewer): score and ids as bytes."""
-        return self.encode_normalised(self.library.normalize(text), n)
+        return self.encode_units(self.units(self.library.normalize(text)), n)
 
-    def encode_normalised(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
-        units = self.units(text)
+    def encode_units(self, units: list[str], n: int = BEST) -> list[tuple[float, bytes]]:
         self._learn(set(units))
         columns = zip(*map(self.cache.__getitem__, units), strict=True) if units else ((), (), (), ())
         parts, _, scores, loss = map(list, columns)
@@ -297,6 +298,8 @@ FIELDS = [
     T.StructField("nbest_scores", T.ArrayType(T.DoubleType())),
     T.StructField("nbest_crc32", T.ArrayType(T.LongType())),
     T.StructField("decodes", T.BooleanType()),
+    T.StructField("n_merged", T.LongType()),
+    T.StructField("merged_crc32", T.LongType()),
 ]
 
 
@@ -304,20 +307,22 @@ def _encode(texts: list[str], path: str, n: int) -> tuple:
     model, rows = piece_model(path), []
     for text in texts:
         normalised = model.library.normalize(text)
-        best, whole = model.encode_normalised(normalised, n), normalised.replace(MARK, " ")
+        units, whole = model.units(normalised), normalised.replace(MARK, " ")
+        best, merged = model.encode_units(units, n), model.merge_units(units)
         decoded = model.decode(best[0][1])
         same = decoded == (whole[1:] if model.prefix and whole.startswith(" ") else whole)
         sums = [zlib.crc32(ids) for _, ids in best]
-        rows.append((len(best[0][1]) // 4, sums[0], best[0][0], [s for s, _ in best], sums, same))
+        scores = [s for s, _ in best]
+        rows.append((len(best[0][1]) // 4, sums[0], best[0][0], scores, sums, same, len(merged) // 4, zlib.crc32(merged)))
     columns = list(zip(*rows, strict=True))
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64()]
     return tuple(pa.array(c, t) for c, t in zip(columns, types, strict=True))
 
 
 def segmentations(docs: DataFrame, path: str, n: int = BEST, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row the columns ``keep`` and, of its n best segmentations, best first: their scores
     and checksums of their ids; of the best also its number of ids and whether it decodes to
-    the normalised text."""
+    the normalised text; and number and checksum of the ids of the encoding by merges."""
     return with_text_columns(docs, keep, text_col, partial(_encode, path=path, n=n), FIELDS)
 
 

@@ -171,6 +171,8 @@ def test_segmentations_of_awkward_rows(awkward, empty, model, pieces_path):
         want[key, len(best[0][1]) // 4, tuple(s for s, _ in best), tuple(zlib.crc32(i) for _, i in best)] += 1
     assert Counter((r["doc_id"], r["n_ids"], tuple(r["nbest_scores"]), tuple(r["nbest_crc32"])) for r in rows) == want
     assert all(r["decodes"] and r["score"] == r["nbest_scores"][0] for r in rows)
+    merged = [model.library.encode(text or "") for _, text in AWKWARD]
+    assert Counter((r["n_merged"], r["merged_crc32"]) for r in rows) == Counter((len(i), zlib.crc32(id_bytes_of(i))) for i in merged)
     assert pieces.segmentations(empty, pieces_path).collect() == []
 
 

@@ -33,6 +33,7 @@ is solved unit by unit; long units are solved each time and not kept.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 import zlib
@@ -49,6 +50,7 @@ from ionloom.llm.rows import slices, with_text_columns
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0      # fixed value of the format: below the smallest score
 CACHE_UNITS = 600_000       # units in each half of a worker's cache
+SHORT_UNIT = 32             # units up to here are merged without a queue
 LONG_UNIT = 256             # longer units are not kept
 BEST = 4
 
@@ -196,6 +198,8 @@ class PieceModel:
     def merge(self, unit: str) -> list[int]:
         """Ids of a unit by merges: of all adjacent pairs that are a piece, the best one joins, the leftmost of equals."""
         n = len(unit)
+        if n <= SHORT_UNIT:
+            return self._merge_short(unit)
         end, before = list(range(1, n + 1)), list(range(-1, n))   # a part's end; the part that ends at a place
         queue: list[tuple[float, int, int, int]] = []
 
@@ -220,6 +224,26 @@ class PieceModel:
             cuts.append(end[cuts[-1]])
         return self.ids_of(unit, cuts)
 
+    def _merge_short(self, unit: str) -> list[int]:
+        """The same by looking at all pairs for each merge, which is faster for a few characters."""
+        parts, score, none = list(unit), self.scores.get, -np.inf
+        ranks = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = max(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = score(parts[i] + parts[i + 1], none)
+        ids = list(map(self.ids.get, parts))
+        if None in ids:
+            return self.ids_of(unit, [0, *itertools.accumulate(map(len, parts))])
+        return ids
+
     def merge_text(self, text: str) -> bytes:
         """Ids of a whole text as the library gives them, where its scores are merge ranks."""
         return self.merge_units(self.units(self.library.normalize(text)))

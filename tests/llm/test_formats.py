@@ -182,7 +182,10 @@ def odd_texts():
     return [*short_texts(), *("".join(rng.choices(symbols, k=rng.randint(0, 60))) for _ in range(2000)), "x" * 5000, "ab" * 3000 + "é" * 900]
 
 
-def test_merges_equal_the_library(model):
+@pytest.mark.parametrize("short", [0, 32])
+def test_merges_equal_the_library(model, short, monkeypatch):
+    monkeypatch.setattr(pieces, "SHORT_UNIT", short)
+    model.merged.clear()
     for text in odd_texts():
         assert np.frombuffer(model.merge_text(text), "<u4").tolist() == model.library.encode(text), text
 

@@ -50,6 +50,7 @@ from ionloom.llm.rows import slices, with_text_columns
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0      # fixed value of the format: below the smallest score
 CACHE_UNITS = 600_000       # units in each half of a worker's cache
+CACHE_CHOICES = 50_000      # units whose n best are kept
 SHORT_UNIT = 32             # units up to here are merged without a queue
 LONG_UNIT = 256             # longer units are not kept
 BEST = 4
@@ -91,6 +92,7 @@ class PieceModel:
         self.older: dict[str, tuple] = {}
         self.passing: list[str] = []        # long units of the text at hand
         self.merged: dict[str, bytes] = {}
+        self.chosen: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def _unit_pattern(self) -> re.Pattern | None:
         """What splits a text so that no piece crosses a boundary; None if only the whole text does."""
@@ -271,6 +273,20 @@ class PieceModel:
             if len(unit) > LONG_UNIT:
                 self.passing.append(unit)
 
+    def _choices(self, unit: str, n: int, best: bytes) -> list[tuple[float, bytes]]:
+        """The n best of a unit, ids as bytes; of ties the cached best stays first."""
+        found = self.chosen.get((unit, n))
+        if found is None:
+            found = [(score, id_bytes(ids)) for score, ids in self.n_best(unit, n)]
+            at = next((p for p, (_, ids) in enumerate(found) if ids == best), None)
+            if at is not None:
+                found.insert(0, found.pop(at))
+            if len(unit) <= LONG_UNIT:
+                if len(self.chosen) >= CACHE_CHOICES:
+                    self.chosen = {}
+                self.chosen[unit, n] = found
+        return found
+
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text (fewer if there are fewer): score and ids as bytes."""
         return self.encode_units(self.units(self.library.normalize(text)), n)
@@ -284,17 +300,13 @@ class PieceModel:
         score = sum(scores)
         free = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__) if n > 1 else []
         free = [i for i in free if loss[i] < np.inf]
-        choices = [self.n_best(units[i], n) for i in free]
-        for i, choice in zip(free, choices, strict=True):     # ties: the cached best stays first
-            at = next((p for p, (_, ids) in enumerate(choice) if id_bytes(ids) == parts[i]), None)
-            if at is not None:
-                choice.insert(0, choice.pop(at))
+        choices = [self._choices(units[i], n, parts[i]) for i in free]
         out, start = [], (0,) * len(free)
         queue, seen = [(0.0, start)], {start}
         while queue and len(out) < n:
             lost, picks = heapq.heappop(queue)
             for i, choice, pick in zip(free, choices, picks, strict=True):
-                parts[i] = id_bytes(choice[pick][1])
+                parts[i] = choice[pick][1]
             out.append((score - lost, b"".join(parts)))
             for place, pick in enumerate(picks):
                 following = (*picks[:place], pick + 1, *picks[place + 1 :])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ionloom import constants as K
 from ionloom.functions import encoding as E, masses as S
+from ionloom.operators import assembly
 from ionloom.plans.catalog import sql as Q
 from ionloom.plans.catalog.digestion_queries import micro
 from ionloom.plans.catalog.matching_queries import _SAMPLES_SQL
@@ -56,8 +57,8 @@ coded AS (SELECT m, c, CASE WHEN strpos(w, '[') = 0 THEN w END AS coded FROM tok
 def coded_sequences(t: Tables):
     return _varied(t).select(
         "m",
-        E.coded_sequence("m", terminals=False).alias("renamed"),
-        F.coalesce(E.coded_sequence("m"), F.lit("unknown")).alias("coded"),
+        assembly.renamed_texts("m").alias("renamed"),
+        F.coalesce(assembly.coded_texts("m"), F.lit("unknown")).alias("coded"),
     )
 
 
@@ -67,10 +68,8 @@ def coded_sequences(t: Tables):
 SELECT m AS PeptideModSeq, array_to_string({Q.codes('coded')}, ' ') AS codes FROM coded""",
 )
 def integer_encoded_peptides(t: Tables):
-    codes = E.integer_codes(E.coded_sequence("PeptideModSeq"))
-    return t.variants().select(
-        "PeptideModSeq", F.array_join(F.transform(codes, lambda c: c.cast("string")), " ").alias("codes")
-    )
+    codes = assembly.code_arrays(assembly.coded_texts("PeptideModSeq"))
+    return t.variants().select("PeptideModSeq", F.array_join(codes.cast("array<string>"), " ").alias("codes"))
 
 
 @query(

@@ -50,7 +50,8 @@ from ionloom.sources.schemas import LIBRARY_TABLES, table_schema
 
 SUFFIX = ".dlib"
 ROWS_PER_PARTITION = 100_000
-ROWS_PER_SHARD = 50_000         # about 100 MB of spectra in memory
+ROWS_PER_SHARD = 50_000
+SHARD_BYTES = 16 << 20          # of the batches in a shard, which is in memory twice while it is stored
 ROWS_PER_BATCH = 2_048
 LARGE_BYTES = 128 << 20         # a larger file on a local disk is read by ranges of rows
 PACKED_BYTES = 8 << 20          # smaller files are read together, about so many bytes a task
@@ -220,13 +221,16 @@ class LibraryWriter(DataSourceArrowWriter):
         # a task that runs twice writes two names; only the committed one is renamed
         # names order like the tasks and their shards, so that rows keep their order in a folder
         self.shards += 1
-        name = f"{self.table}-{TaskContext.get().partitionId():06d}-{self.shards:06d}-{uuid.uuid4().hex}{SUFFIX}"
+        context = TaskContext.get()     # None outside a task
+        task = context.partitionId() if context else 0
+        name = f"{self.table}-{task:06d}-{self.shards:06d}-{uuid.uuid4().hex}{SUFFIX}"
         con.commit()
         fs, inner = _file_system(self._pending(name))
         fs.create_dir(os.path.dirname(inner), recursive=True)
+        image = con.serialize()
+        con.close()     # the rows are in memory twice only while they are serialised
         with fs.open_output_stream(inner) as out:
-            out.write(con.serialize())
-        con.close()
+            out.write(image)
         return name
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
@@ -234,13 +238,16 @@ class LibraryWriter(DataSourceArrowWriter):
         names = ", ".join(f'"{n}"' for n in self.schema.names)
         marks = ", ".join("?" * len(self.schema.names))
         insert = f'INSERT INTO "{self.table}" ({names}) VALUES ({marks})'
-        done, con, count = [], None, 0
-        for batch in batches:
+        done, con, count, size = [], None, 0, 0
+        # few rows at a time become Python objects, however many a batch holds
+        parts = (batch.slice(i, ROWS_PER_BATCH) for batch in batches for i in range(0, batch.num_rows, ROWS_PER_BATCH))
+        for part in parts:
             if con is None:
-                con, count = self._shard(), 0
-            con.executemany(insert, zip(*[c.to_pylist() for c in batch.columns]))
-            count += batch.num_rows
-            if count >= ROWS_PER_SHARD:
+                con, count, size = self._shard(), 0, 0
+            con.executemany(insert, zip(*[c.to_pylist() for c in part.columns]))
+            count += part.num_rows
+            size += part.nbytes
+            if count >= ROWS_PER_SHARD or size >= SHARD_BYTES:
                 done.append(self._store(con))
                 con = None
         if con is not None and count:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ionloom import constants as K
 from ionloom.functions import masses as S
+from ionloom.operators import assembly
 from ionloom.operators.assembly import ladder_arrays
 
 
@@ -67,6 +69,25 @@ def fragment_ions(
     ).select(*keys, "ion_type", "ordinal", "frag_z", S.mz_from_nano(F.col("nano"), F.col("frag_z")).alias("mz"))
 
 
+def ion_totals(
+    peptides: DataFrame,
+    max_fragment_z: int = K.MAX_FRAGMENT_CHARGE,
+    phos_loss: bool = False,
+    modseq: str = "PeptideModSeq",
+    charge: str = "PrecursorCharge",
+) -> DataFrame:
+    """(ion_type, ordinal, frag_z, n, mz_micro): the ions of ``fragment_ions`` counted, and their m/z summed in whole millionths.
+
+    Ions are made and summed per Arrow batch of peptides, so what is grouped is one row
+    per batch, type, ordinal and charge, not one per ion.
+    """
+    rows = peptides.select(F.col(modseq), F.least(F.col(charge), F.lit(max_fragment_z)).cast("int"))
+    partial_sums = rows.mapInArrow(
+        partial(assembly.ion_totals, max_fragment_z=max_fragment_z, losses=phos_loss), assembly.ION_TOTALS
+    )
+    return partial_sums.groupBy("ion_type", "ordinal", "frag_z").agg(F.sum("n").alias("n"), F.sum("mz_micro").alias("mz_micro"))
+
+
 def residue_table(spark) -> DataFrame:
     """The 37 residue masses as a table (a fixed size, safe to broadcast)."""
     rows = [(symbol, mass) for symbol, mass in K.RESIDUE_NANO.items()]

@@ -10,6 +10,7 @@ from ionloom import constants as K
 from ionloom.functions import masses as S, mods as M, peptides as P
 from ionloom.functions.expr import let
 from ionloom.operators import digestion, modification
+from ionloom.operators.cleavage import digest_totals
 from ionloom.operators.frames import keep_computed, union_frames
 from ionloom.plans.build_library import precursors
 from ionloom.plans.catalog import sql as Q
@@ -71,16 +72,8 @@ def _rule_sql(rule: str) -> str:
 )
 def digest_per_protease(t: Tables):
     """All rules in one pass over the proteins."""
-    digests = F.array(
-        *[F.struct(F.lit(rule).alias("protease"), P.digest("sequence", rule).alias("found")) for rule in ORACLE_RULES]
-    )
-    found = t.proteins().select("doc_id", F.inline(digests)).where(F.size("found") > 0)
-    return found.select(
-        "protease",
-        "doc_id",
-        F.size("found").cast("bigint").alias("n_peptides"),
-        F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("n_residues"),
-    )
+    found = t.proteins().select("doc_id", digest_totals("sequence", ORACLE_RULES).alias("found"))
+    return found.select("doc_id", F.inline("found")).select("protease", "doc_id", "n_peptides", "n_residues")
 
 
 def _site_sql(rule: str) -> str:
@@ -107,16 +100,8 @@ SELECT protease, doc_id, count(*) AS n_peptides, CAST(sum(length(p)) AS BIGINT)
 )
 def digest_every_protease(t: Tables):
     """Every rule of the table, each document in one pass."""
-    digests = F.array(
-        *[F.struct(F.lit(r).alias("protease"), P.digest("sequence", r).alias("found")) for r in K.PROTEASES]
-    )
-    found = t.proteins().select("doc_id", F.inline(digests)).where(F.size("found") > 0)
-    return found.select(
-        "protease",
-        "doc_id",
-        F.size("found").cast("bigint").alias("n_peptides"),
-        F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("n_residues"),
-    )
+    found = t.proteins().select("doc_id", digest_totals("sequence", list(K.PROTEASES)).alias("found"))
+    return found.select("doc_id", F.inline("found")).select("protease", "doc_id", "n_peptides", "n_residues")
 
 
 TWO_MISSED = f"""{Q.PROTEINS}, {Q.fragments()},

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionloom.operators import assembly, ladder as L
+from ionloom import constants as K
+from ionloom.functions.peptides import digest
+from ionloom.operators import assembly, cleavage, ladder as L
+from ionloom.operators.cleavage import digest_totals
 from ionloom.plans.catalog import QUERIES
 from ionloom.plans.catalog.digestion_queries import micro
 
@@ -44,3 +47,35 @@ def test_sums_beyond_doubles():
 @pytest.mark.parametrize("name", ["phospho_loss_ladder", "fragment_ion_ladder"])
 def test_no_row_per_ion(spark, name):
     assert "Generate inline" not in _plan(QUERIES[name](spark, SF))
+
+
+def test_digest_totals(spark):
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), n)) for n in (0, 1, 5, 6, 7, 40, 400, 3000)]
+    texts += ["".join(rng.choice(list("DEKGRPVAHL"), 2000)), "PEPTIDEK" * 30, "K" * 50, "MKRWKPWAAAAAAK", None]
+    texts += ["aaaaaak cdefghiR\nPEPTIDEKD DEKAAAAAA", "MÄKAAAAAAK😀DAAAAAAAKß" * 3, "".join(rng.choice([*"DEKGXz *\n\r\u0085é😀_1"], 900))]
+    proteins = spark.createDataFrame(list(enumerate(texts)), "doc_id int, sequence string").repartition(3)
+    digests = F.array(*[F.struct(F.lit(r).alias("protease"), digest("sequence", r).alias("found")) for r in K.PROTEASES])
+    want = proteins.select("doc_id", F.inline(digests)).where(F.size("found") > 0).select(
+        "doc_id", "protease", F.size("found").cast("bigint"), F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)))
+    got = proteins.select("doc_id", F.inline(digest_totals("sequence", list(K.PROTEASES))))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 150
+    for missed, shortest, longest in [(0, 1, 3), (2, 4, 80)]:
+        peptides = digest("sequence", "trypsin", missed, shortest, longest)
+        want = {r[0]: r[1] for r in proteins.select("doc_id", F.size(peptides)).collect() if (r[1] or 0) > 0}
+        got = proteins.select("doc_id", F.inline(digest_totals("sequence", ["trypsin"], missed, shortest, longest)))
+        assert {r["doc_id"]: r["n_peptides"] for r in got.collect()} == want
+
+
+def test_distinct_where_mixes_meet(monkeypatch):
+    monkeypatch.setattr(cleavage, "_MIX", np.zeros(3, "uint64"))     # every row has the same mix
+    keys = [np.array([1, 2, 1, 2, 3]), np.array([7, 7, 7, 8, 7], "uint64")]
+    assert sorted({(int(keys[0][i]), int(keys[1][i])) for i in cleavage.distinct(keys)}) == [(1, 7), (2, 7), (2, 8), (3, 7)]
+    assert len(cleavage.distinct(keys)) == 4
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["digest_every_protease", "digest_per_protease"])
+def test_no_peptides_are_made(spark, name):
+    assert "split(" not in _plan(QUERIES[name](spark, SF))

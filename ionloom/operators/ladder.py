@@ -95,15 +95,18 @@ def residue_table(spark) -> DataFrame:
 
 
 def residue_rows(peptides: DataFrame, keys: Sequence[str], modseq: str = "PeptideModSeq") -> DataFrame:
-    """keys + (position, residue, mass_nano): the residue masses joined from their table."""
+    """keys + (position, residue, mass_nano): the residue masses joined from their table.
+
+    They are joined by character code, because a broadcast table is looked up much faster by a number.
+    """
     tokens = peptides.select(
-        *keys, F.posexplode(F.split(modseq, "(?=[A-Za-z])")).alias("position", "token")
-    ).withColumn("residue", F.left("token", F.lit(1)))
-    table = F.broadcast(residue_table(peptides.sparkSession))
-    return tokens.join(table, "residue", "left").select(
+        *keys, F.posexplode(S.residue_tokens(modseq)).alias("position", "token")
+    ).withColumn("_code", F.ascii("token").cast("bigint"))
+    table = F.broadcast(residue_table(peptides.sparkSession).select(F.ascii("residue").cast("bigint").alias("_code"), "mass_nano"))
+    return tokens.join(table, "_code", "left").select(
         *keys,
         "position",
-        "residue",
+        F.left("token", F.lit(1)).alias("residue"),
         (F.coalesce("mass_nano", F.lit(0)) + S._token_delta(F.col("token"))).alias("mass_nano"),
         S._is_phospho(F.col("token")).alias("is_phospho"),
     )

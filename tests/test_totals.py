@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom import constants as K
+from ionloom.functions import masses
 from ionloom.functions.peptides import digest
 from ionloom.operators import assembly, cleavage, ladder as L
 from ionloom.operators.cleavage import digest_totals
@@ -79,3 +80,17 @@ def test_distinct_where_mixes_meet(monkeypatch):
 @pytest.mark.parametrize("name", ["digest_every_protease", "digest_per_protease"])
 def test_no_peptides_are_made(spark, name):
     assert "split(" not in _plan(QUERIES[name](spark, SF))
+
+
+def test_residues_are_joined_by_number(spark):
+    peptides = spark.createDataFrame([(p,) for p in [*PEPTIDES, "Äé😀", "A[+1.5]B"]], "PeptideModSeq string").distinct()
+    got = L.residue_rows(peptides, ["PeptideModSeq"])
+    tokens = peptides.select("PeptideModSeq", F.posexplode(F.split("PeptideModSeq", "(?=[A-Za-z])")).alias("position", "token"))
+    plain = tokens.where("token rlike '^([A-Za-z].*|\\\\[.*|)$'").withColumn("residue", F.left("token", F.lit(1)))
+    want = plain.join(L.residue_table(spark), "residue", "left").select(
+        "PeptideModSeq", "position", "residue", F.coalesce("mass_nano", F.lit(0)) + masses._token_delta(F.col("token")))
+    known = {tuple(r)[:4] for r in got.where("PeptideModSeq != 'Äé😀'").collect()}
+    assert known == set(map(tuple, want.collect())) and len(known) > 300
+    assert [tuple(r) for r in got.where("PeptideModSeq = 'Äé😀'").select("residue", "mass_nano").collect()] == [("Ä", 0), ("é", 0), ("😀", 0)]
+    join = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_code#" in join and "BroadcastHashJoin [residue#" not in join

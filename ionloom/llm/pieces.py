@@ -7,7 +7,8 @@ complete segmentations off its queue in order of score.
 
 No piece crosses certain boundaries (a new word; from letters to other characters),
 which is checked against the vocabulary, so the lattice falls into units that a
-worker solves once and keeps in a bounded cache. The n best of a whole text combine
+worker solves once and keeps in a bounded cache. The short new units of a block of texts
+are solved together (see ``lattices``), with the same results. The n best of a whole text combine
 those of its units by the same kind of search: only the n - 1 units whose second
 best costs least can differ from their best.
 
@@ -37,21 +38,24 @@ import itertools
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ionloom.llm.lattices import IDS, Solved, UnitArrays
 from ionloom.llm.memory import bounded_batches, worker_cache
 from ionloom.llm.rows import slices, with_text_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0      # fixed value of the format: below the smallest score
 CACHE_UNITS = 600_000       # units in each half of a worker's cache
+CACHE_IDS = 8_000_000       # ids in each half
 CACHE_CHOICES = 50_000      # units whose n best are kept
-SHORT_UNIT = 32             # units up to here are merged without a queue
+SHORT_UNIT = 32             # units up to here are solved and merged many at a time, or merged without a queue
 LONG_UNIT = 256             # longer units are not kept
 BEST = 4
 
@@ -60,6 +64,13 @@ def id_bytes(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def numbered(split: Iterable[list[str]]) -> tuple[list[str], np.ndarray, list[int]]:
+    """Of texts, given as their units: the distinct units, the number of each unit among them, and where each text's units end."""
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
+    places = [np.fromiter(map(number.__getitem__, units), np.int64, len(units)) for units in split]
+    return list(number), np.concatenate(places), list(itertools.accumulate(map(len, places)))
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -86,12 +97,17 @@ class PieceModel:
         for value, i in self.bytes.items():
             self.surface[i] = bytes([value])
         self.surface[self.unknown] = " ⁇ ".encode()
+        self.surface_sizes = np.array(list(map(len, self.surface)))
         self.prefix = self.library.normalize("x").startswith(MARK)
         self.unit = self._unit_pattern()
-        self.cache: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.passing: list[str] = []        # long units of the text at hand
-        self.merged: dict[str, bytes] = {}
+        self.arrays = UnitArrays(self.ids, scores)
+        # unit -> row of the best segmentations
+        self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.solved, self.older_solved = Solved(), Solved()
+        # unit -> row of the encodings by merges
+        self.merged: dict[str, int] = {}
+        self.merges = Solved()
         self.chosen: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def _unit_pattern(self) -> re.Pattern | None:
@@ -111,6 +127,9 @@ class PieceModel:
     def units(self, normalised: str) -> list[str]:
         return self.unit.findall(normalised) if self.unit else [normalised] if normalised else []
 
+    def block(self, normalised: Sequence[str]) -> tuple[list[str], np.ndarray, list[int]]:
+        return numbered(map(self.units, normalised))
+
     def edges(self, unit: str) -> list[tuple[int, int, float, int]]:
         """(from, to, score, id) of every piece in the unit, by place, shortest first.
 
@@ -251,27 +270,77 @@ class PieceModel:
         return self.merge_units(self.units(self.library.normalize(text)))
 
     def merge_units(self, units: list[str]) -> bytes:
-        out = []
-        for unit in units:
-            ids = self.merged.get(unit)
-            if ids is None:
-                ids = id_bytes(self.merge(unit))
-                if len(unit) <= LONG_UNIT:
-                    if len(self.merged) >= CACHE_UNITS:
-                        self.merged = {}
-                    self.merged[unit] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, units: set[str]) -> None:
-        new = units.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_UNITS:
+        distinct, places, _ = numbered([units])
+        return self.merge_all(distinct, places)[0].tobytes()
+
+    def merge_all(self, distinct: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by merges of the units at the places, one after the other, and the number of each."""
+
+        def learn(new: list[str], full: bool) -> None:
+            if full:
+                self.merged, self.merges = {}, Solved()
+            easy, hard = self.arrays.sort(new, SHORT_UNIT)
+            if easy:
+                self._enter(self.merged, self.merges, easy, *self.arrays.merge(easy))
+            if hard:
+                found = [self.merge(unit) for unit in hard]
+                ids = np.array(list(itertools.chain.from_iterable(found)), IDS)
+                self._enter(self.merged, self.merges, hard, ids, np.array(list(map(len, found))))
+
+        rows = self._rows(distinct, lambda: self.merged, lambda: self.merges, learn)
+        return self.merges.take(rows[places])
+
+    @staticmethod
+    def _enter(index: dict[str, int], table: Solved, units: list[str], *columns: np.ndarray) -> None:
+        index.update(zip(units, range(len(table), len(table) + len(units)), strict=True))
+        table.extend(*columns)
+
+    @staticmethod
+    def _rows(units: list[str], index: Callable[[], dict[str, int]], table: Callable[[], Solved], learn: Callable) -> np.ndarray:
+        """Rows of distinct units, new ones brought in by ``learn(units, whether the cache is full)``; long units are not kept."""
+        rows = np.fromiter(map(index().get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            full = len(index()) + len(missing) > CACHE_UNITS or table().ids.size > CACHE_IDS
+            if full:
+                missing = np.arange(len(units))
+            new = [units[i] for i in missing.tolist()]
+            learn(new, full)
+            rows[missing] = np.fromiter(map(index().__getitem__, new), np.int64, len(new))
+            for unit in new:
+                if len(unit) > LONG_UNIT:
+                    del index()[unit]
+        return rows
+
+    def _learn(self, new: list[str], full: bool) -> None:
+        if full:
             self.cache, self.older = {}, self.cache
-            new = units
-        for unit in new:
-            self.cache[unit] = self.older.get(unit) or self.solve(unit)
-            if len(unit) > LONG_UNIT:
-                self.passing.append(unit)
+            self.solved, self.older_solved = Solved(), self.solved
+        if self.older:
+            rows = [self.older.get(unit, -1) for unit in new]
+            kept = [unit for unit, row in zip(new, rows, strict=True) if row >= 0]
+            if kept:
+                places = np.array([row for row in rows if row >= 0])
+                self._enter(self.cache, self.solved, kept, *self.older_solved.take(places), *self.older_solved.lattice(places))
+                new = [unit for unit, row in zip(new, rows, strict=True) if row < 0]
+        easy, hard = self.arrays.sort(new, SHORT_UNIT)
+        if easy:
+            ids, sizes, scores, losses = self.arrays.solve(easy)
+            self._enter(self.cache, self.solved, easy, ids, sizes, scores, losses, self._decode(easy, ids, sizes))
+        if hard:
+            parts, sizes, scores, losses = zip(*map(self.solve, hard), strict=True)
+            ids, sizes = np.frombuffer(b"".join(parts), IDS), np.array(sizes)
+            self._enter(self.cache, self.solved, hard, ids, sizes, np.array(scores), np.array(losses), self._decode(hard, ids, sizes))
+
+    def _decode(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the ids of each unit decode to it."""
+        texts, parts = [unit.replace(MARK, " ").encode() for unit in units], list(map(self.surface.__getitem__, ids.tolist()))
+        ends = np.cumsum(sizes)
+        lengths = np.add.reduceat(self.surface_sizes[ids], ends - sizes)
+        if b"".join(parts) == b"".join(texts) and lengths.tolist() == list(map(len, texts)):
+            return np.ones(len(units), bool)
+        found = (b"".join(parts[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False))
+        return np.array([a == b for a, b in zip(found, texts, strict=True)])
 
     def _choices(self, unit: str, n: int, best: bytes) -> list[tuple[float, bytes]]:
         """The n best of a unit, ids as bytes; of ties the cached best stays first."""
@@ -292,20 +361,48 @@ class PieceModel:
         return self.encode_units(self.units(self.library.normalize(text)), n)
 
     def encode_units(self, units: list[str], n: int = BEST) -> list[tuple[float, bytes]]:
-        self._learn(set(units))
-        columns = zip(*map(self.cache.__getitem__, units), strict=True) if units else ((), (), (), ())
-        parts, _, scores, loss = map(list, columns)
-        while self.passing:
-            self.cache.pop(self.passing.pop(), None)
-        score = sum(scores)
-        free = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__) if n > 1 else []
-        free = [i for i in free if loss[i] < np.inf]
-        choices = [self._choices(units[i], n, parts[i]) for i in free]
+        return self.encode_all(*numbered([units]), n)[0][0]
+
+    def encode_all(
+        self, distinct: list[str], places: np.ndarray, stops: Sequence[int], n: int = BEST
+    ) -> list[tuple[list[tuple[float, bytes]], bool]]:
+        """Of each text, given by where its units end among the places: the n best segmentations, and whether all units decode."""
+        rows = self._rows(distinct, lambda: self.cache, lambda: self.solved, self._learn)[places]
+        ids, sizes = self.solved.take(rows)
+        scores, losses, decodes = self.solved.lattice(rows)
+        cuts, out, start = np.append(0, np.cumsum(sizes)), [], 0
+        for stop in stops:
+            here = slice(start, stop)
+            found = self._combine(distinct, places[here], ids, cuts[start : stop + 1], scores[here], losses[here], n)
+            out.append((found, bool(decodes[here].all())))
+            start = stop
+        return out
+
+    def _combine(
+        self, distinct: list[str], units: np.ndarray, ids: np.ndarray, cuts: np.ndarray, scores: np.ndarray, losses: np.ndarray, n: int
+    ) -> list[tuple[float, bytes]]:
+        """The n best of a text from those of its units, whose best ids lie between the cuts."""
+        score, free = sum(scores.tolist()), []
+        while len(free) < min(n - 1, len(units)):
+            i = int(losses.argmin())        # the first of equals
+            if losses[i] == np.inf:
+                break
+            free.append(i)
+            losses[i] = np.inf
+        choices = [self._choices(distinct[units[i]], n, ids[cuts[i] : cuts[i + 1]].tobytes()) for i in free]
+        # what lies between the free units, with a place for each of these
+        parts, at, own = [], cuts[0], {}
+        for i in sorted(free):
+            own[i] = len(parts) + 1
+            parts += [ids[at : cuts[i]].tobytes(), b""]
+            at = cuts[i + 1]
+        parts.append(ids[at : cuts[-1]].tobytes())
+        places = [own[i] for i in free]
         out, start = [], (0,) * len(free)
         queue, seen = [(0.0, start)], {start}
         while queue and len(out) < n:
             lost, picks = heapq.heappop(queue)
-            for i, choice, pick in zip(free, choices, picks, strict=True):
+            for i, choice, pick in zip(places, choices, picks, strict=True):
                 parts[i] = choice[pick][1]
             out.append((score - lost, b"".join(parts)))
             for place, pick in enumerate(picks):
@@ -341,15 +438,17 @@ FIELDS = [
 
 def _encode(texts: list[str], path: str, n: int) -> tuple:
     model, rows = piece_model(path), []
-    for text in texts:
-        normalised = model.library.normalize(text)
-        units, whole = model.units(normalised), normalised.replace(MARK, " ")
-        best, merged = model.encode_units(units, n), model.merge_units(units)
-        decoded = model.decode(best[0][1])
-        same = decoded == (whole[1:] if model.prefix and whole.startswith(" ") else whole)
-        sums = [zlib.crc32(ids) for _, ids in best]
-        scores = [s for s, _ in best]
-        rows.append((len(best[0][1]) // 4, sums[0], best[0][0], scores, sums, same, len(merged) // 4, zlib.crc32(merged)))
+    normalised = [model.library.normalize(text) for text in texts]
+    distinct, places, stops = model.block(normalised)
+    merged, sizes = model.merge_all(distinct, places)
+    cuts = np.append(0, np.cumsum(sizes))[[0, *stops]].tolist()
+    for at, (best, same) in enumerate(model.encode_all(distinct, places, stops, n)):
+        if not same:
+            whole = normalised[at].replace(MARK, " ")
+            same = model.decode(best[0][1]) == (whole[1:] if model.prefix and whole.startswith(" ") else whole)
+        sums, scores = [zlib.crc32(ids) for _, ids in best], [s for s, _ in best]
+        own = merged[cuts[at] : cuts[at + 1]]
+        rows.append((len(best[0][1]) // 4, sums[0], best[0][0], scores, sums, same, len(own), zlib.crc32(own)))
     columns = list(zip(*rows, strict=True))
     types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64()]
     return tuple(pa.array(c, t) for c, t in zip(columns, types, strict=True))
@@ -369,8 +468,13 @@ def _id_lists(parts: list[bytes]) -> pa.Array:
 
 def _encode_ids(texts: list[str], path: str, merges: bool) -> tuple:
     model = piece_model(path)
-    parts = [model.merge_text(t) if merges else model.encode(t, 1)[0][1] for t in texts]
-    ids = _id_lists(parts)
+    distinct, places, stops = model.block(list(map(model.library.normalize, texts)))
+    if merges:
+        values, sizes = model.merge_all(distinct, places)
+        ends = np.append(0, np.cumsum(sizes))[[0, *stops]].astype(np.int32)
+        ids = pa.ListArray.from_arrays(ends, values.astype(np.int32))
+    else:
+        ids = _id_lists([best[0][1] for best, _ in model.encode_all(distinct, places, stops, 1)])
     return ids, pa.ListArray.from_arrays(ids.offsets, model.names.take(ids.values))
 
 
@@ -384,7 +488,8 @@ def encode_pieces(
 
 def _n_best(texts: list[str], path: str, n: int) -> tuple:
     model = piece_model(path)
-    found = [model.encode(t, n) for t in texts]
+    block = model.block(list(map(model.library.normalize, texts)))
+    found = [best for best, _ in model.encode_all(*block, n)]
     ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
     scores = pa.array([s for f in found for s, _ in f], pa.float64())
     ids = _id_lists([i for f in found for _, i in f])

@@ -236,6 +236,60 @@ def test_long_units_are_not_kept(model, pieces_path):
     assert max(map(len, [*fresh.cache, *fresh.merged])) <= pieces.LONG_UNIT
 
 
+def test_short_units_are_solved_many_at_a_time(pieces_path, monkeypatch):
+    fresh, alone = pieces.PieceModel(pieces_path), []
+    for name in ("solve", "merge"):
+        monkeypatch.setattr(fresh, name, lambda unit, run=getattr(fresh, name): alone.append(unit) or run(unit))
+    text = "don't  STOP, the 12 cats ² sat — 你好 " + " ".join("".join(random.Random(i).choices("abeth", k=1 + i % 25)) for i in range(3000))
+    assert np.frombuffer(fresh.merge_text(text), "<u4").tolist() == fresh.library.encode(text)
+    assert fresh.decode(fresh.encode(text)[0][1]) == text and len(fresh.cache) > 2000
+    assert alone == []
+    fresh.encode("𠀀" + "x" * 40)
+    assert alone == ["▁𠀀" + "x" * 40]
+
+
+def toy_model(names, scores):
+    """A model of a few pieces, as the constructor makes it from a file."""
+    toy = pieces.PieceModel.__new__(pieces.PieceModel)
+    ids = {n: i for i, n in enumerate(names)}
+    known = dict(zip(names, scores, strict=True))
+    trie = ({}, None, -1)
+    for name in names:
+        path = [trie]
+        for c in name:
+            path.append(path[-1][0].setdefault(c, ({}, None, -1)))
+        path[-2][0][name[-1]] = (path[-1][0], known[name], ids[name])
+    arrays = pieces.UnitArrays(ids, known)
+    toy.__dict__.update(ids=ids, scores=known, trie=trie, unknown=len(ids), bytes={}, unknown_score=-50.0, arrays=arrays)
+    return toy
+
+
+def same_as_alone(model, units):
+    easy, hard = model.arrays.sort(units, pieces.SHORT_UNIT)
+    assert sorted([*easy, *hard]) == sorted(units)
+    assert all(len(u) > pieces.SHORT_UNIT or not u or any(c not in model.ids for c in u) for u in hard)
+    ids, sizes, scores, losses = model.arrays.solve(easy)
+    merged, merged_sizes = model.arrays.merge(easy)
+    ends, merged_ends = np.cumsum(sizes), np.cumsum(merged_sizes)
+    for i, unit in enumerate(easy):
+        found = id_bytes_of(ids[ends[i] - sizes[i] : ends[i]]), sizes[i], scores[i], losses[i]
+        assert found == model.solve(unit), unit
+        assert merged[merged_ends[i] - merged_sizes[i] : merged_ends[i]].tolist() == model.merge(unit), unit
+    return len(easy)
+
+
+def test_many_units_give_what_each_gives_alone(model):
+    texts = [*odd_texts(), "x" * 33, "y" * 32]
+    units = sorted({u for t in texts for u in model.units(model.library.normalize(t))})
+    assert same_as_alone(model, units) > 1000
+    rng = random.Random(2)
+    for _ in range(40):
+        names = sorted({"a", "b", "c", *("".join(rng.choices("abcd", k=rng.randint(2, 5))) for _ in range(rng.randint(0, 12)))})
+        # few values, so that many segmentations and pairs tie
+        toy = toy_model(names, [rng.choice([-1.0, -2.0, -3.1, -0.7]) for _ in names])
+        same_as_alone(toy, sorted({"".join(rng.choices("abcd" if rng.random() < 0.2 else "abc", k=rng.randint(1, 14))) for _ in range(200)}))
+
+
 def id_bytes_of(ids):
     return np.array(ids, "<u4").tobytes()
 

@@ -180,10 +180,12 @@ class ToxicityModel:
         """Of each text: the margin of its most toxic stretch; and where that begins and ends in the text."""
         stream, first, origin = streams(texts)
         sums = stretch_sums(stream, self.weights)
-        best = np.maximum.reduceat(sums, first[:-1]) if len(texts) else np.zeros(0)
+        # a stretch from a later place would reach into the next text
+        ends = first[1:] - SPAN + 1
+        best = np.maximum.reduceat(sums, np.column_stack([first[:-1], ends]).ravel())[::2] if len(texts) else np.zeros(0)
         spans = np.zeros((len(texts), 2), np.int64)
         for i in np.flatnonzero(self.chance(best + self.bias) >= THRESHOLD):
-            at = first[i] + int(np.argmax(sums[first[i] : first[i + 1]]))
+            at = first[i] + int(np.argmax(sums[first[i] : ends[i]]))
             inside = origin[at : at + WIDTH][stream[at : at + WIDTH] != OUTSIDE]
             spans[i] = inside[inside > 0].min(initial=inside.max(initial=0)), inside.max(initial=0) + 1
         return best + self.bias, spans[:, 0], spans[:, 1]

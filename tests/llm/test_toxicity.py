@@ -138,6 +138,16 @@ def test_a_long_text_is_read_to_its_end(model):
     assert score[1] > max(score[0], score[2]) and "snollig" in said[1]
 
 
+def test_the_next_text_does_not_count():
+    rng = np.random.default_rng(3)
+    model = tox.ToxicityModel((rng.random(tox.CELLS) * tox.allowed()).astype(np.float32))
+    texts = ["", "abc", " \n", "the end", "", "snollig grumpf", "x y", "", "vexquat " * 40, "!!!"]
+    alone = [model.margins([text])[0][0] for text in texts]
+    assert model.margins(texts)[0].tolist() == alone and alone[0] == alone[2] == alone[-1] == 0
+    spans = [model.margins([text])[1:] for text in texts]
+    assert np.array(model.margins(texts)[1:]).T.tolist() == [[int(a[0]), int(b[0])] for a, b in spans]
+
+
 def test_awkward_rows(spark, awkward, empty, model, corpus):
     docs = awkward.withColumn("score", F.lit("clash")).withColumn("sentence.x", F.lit(1))
     rows = tox.score_toxicity(docs, model, ["doc_id", "score", "`sentence.x`"]).toDF("id", "clash", "dot", "score", "sentence", "predicted")
